@@ -16,9 +16,9 @@ from lexloom.session import table
 BANDS, ROWS = 32, 2
 
 
-def bands(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def bands(e: np.ndarray, starts: np.ndarray, less: np.ndarray) -> np.ndarray:
     """[text, band]: a 64-bit key for each band."""
-    low = min_hashes(e, starts, BANDS * ROWS, seed=4)
+    low = min_hashes(e, starts, less, BANDS * ROWS, seed=4)
     keys = np.arange(1, BANDS + 1, dtype=U)[None, :]
     for r in range(ROWS):
         keys = mix(keys ^ low[:, r * BANDS : (r + 1) * BANDS])
