@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lexloom.llm import near_duplicates, split_overlap
+from lexloom.llm import format_duplicates, grouped_splits, near_duplicates, split_overlap, term_counts
 
 QUERIES = {
+    "p1_found": term_counts.p1_found,
+    "p1_terms": term_counts.p1_terms,
+    "p2_found": format_duplicates.p2_found,
+    "p2_entries": format_duplicates.p2_entries,
     "p4_found": split_overlap.p4_found,
     "p4_report": split_overlap.p4_report,
+    "p5_found": grouped_splits.p5_found,
+    "p5_splits": grouped_splits.p5_splits,
     "p6_found": near_duplicates.p6_found,
     "p6_groups": near_duplicates.p6_groups,
 }
