@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import format_duplicates, grouped_splits, near_duplicates, split_overlap, term_counts
+from lexloom.llm import bpe, format_duplicates, grouped_splits, leaks, near_duplicates, split_overlap, term_counts, truncation
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
@@ -15,6 +15,12 @@ QUERIES = {
     "p5_splits": grouped_splits.p5_splits,
     "p6_found": near_duplicates.p6_found,
     "p6_groups": near_duplicates.p6_groups,
+    "p7_ids": bpe.p7_ids,
+    "p8_found": leaks.p8_found,
+    "p8_matches": leaks.p8_matches,
+    "p8_clean": leaks.p8_clean,
+    "p9_found": truncation.p9_found,
+    "p9_report": truncation.p9_report,
 }
 
 ORACLES: dict[str, str] = {}
