@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe, format_duplicates, grouped_splits, leaks, near_duplicates, split_overlap, term_counts, truncation
+from lexloom.llm import bpe, format_duplicates, grouped_splits, leaks, lookalikes, near_duplicates, split_overlap, term_counts, truncation
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
     "p1_terms": term_counts.p1_terms,
     "p2_found": format_duplicates.p2_found,
     "p2_entries": format_duplicates.p2_entries,
+    "p3_found": lookalikes.p3_found,
+    "p3_canonical": lookalikes.p3_canonical,
     "p4_found": split_overlap.p4_found,
     "p4_report": split_overlap.p4_report,
     "p5_found": grouped_splits.p5_found,

@@ -16,15 +16,17 @@ NEAR, OPEN = 25, 0.6
 #: The last line of a verse is short if it has fewer words than all but this share of the other verse lines.
 SHORT_SHARE = 0.01
 
+#: All patterns are matched from the start of the reversed text, so that they take time linear in it.
 #: What may follow the last mark of a whole text: closing signs, symbols, marks of no width, white space.
 _CLOSING = r"""["'”’»)\]}*_\p{So}\p{Sk}\p{Cf}\p{M}\s]*"""
-_AFTER = _CLOSING + r"(?:\(\w{1,12}[.!]?\)" + _CLOSING + ")?"
-STOPPED = r"(?U)[.!?…]" + _AFTER + r"\z"
-MARKED = r"(?U)[.,;:!?…]" + _AFTER + r"\z"
-DOTTED = r"(?U)(?:\.\.+|…)" + _CLOSING + r"\z"
+_AFTER = r"(?U)\A" + _CLOSING + r"(?:\)[.!]?\w{1,12}\(" + _CLOSING + ")?"
+STOPPED = _AFTER + "[.!?…]"
+MARKED = _AFTER + "[.,;:!?…]"
+DOTTED = r"(?U)\A" + _CLOSING + r"(?:\.\.|…)"
 #: A whole verse may also end in a symbol, a closing sign or a line break.
-SIGNED = r"(?U)(?:\n[\s\p{Cf}]*|[”»)\]}\p{So}]" + _CLOSING + r")\z"
-BROKEN = r"(?U)(?:\x{FFFD}|&#?\w{0,8}|<[^<>\n]{0,80})\s*\z"
+SIGNED = r"(?U)\A(?:[\s\p{Cf}]*\n|" + _CLOSING + r"[”»)\]}\p{So}])"
+BROKEN = r"(?U)\A\s*(?:\x{FFFD}|\w{0,8}#?&|[^<>\n]{0,80}<)"
+_NO_WORD = r"\A[^\p{L}\p{M}\p{N}_'-]+"
 
 
 def text_ends(docs: DataFrame, key: str, text: str, source: str, genre: str, verse: tuple[str, ...]) -> DataFrame:
@@ -33,19 +35,20 @@ def text_ends(docs: DataFrame, key: str, text: str, source: str, genre: str, ver
     word is the last word in lower case; line_words the words of the last line that isn't blank. A text of unknown genre
     is verse if it has several lines.
     """
-    t = F.col("t")
-    piece = F.regexp_extract(F.lower(t), r"(?U)(\S+)\s*\z", 1)
-    word = F.regexp_replace(piece, r"(?U)^[^\p{L}\p{M}\p{N}_'-]+|[^\p{L}\p{M}\p{N}_'-]+\z", "")
-    known = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(genre).alias("g"), F.col(text).alias("t")).where(t.rlike(r"(?U)\S"))
-    is_verse = F.coalesce(F.col("g").isin(*verse), t.rlike(r"\S[^\n]*\n\s*\S"))
+    t, back = F.col("t"), F.col("back")
+    piece = F.regexp_replace(F.regexp_extract(F.lower(back), r"(?U)\A\s*(\S+)", 1), _NO_WORD, "")
+    word = F.regexp_replace(F.reverse(piece), _NO_WORD, "")
+    known = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(genre).alias("g"), F.col(text).alias("t"), F.reverse(text).alias("back")).where(t.rlike(r"(?U)\S"))
+    is_verse = F.coalesce(F.col("g").isin(*verse), F.instr(F.trim(t), "\n") > 0)
     return known.select(
-        "doc", "source", is_verse.alias("verse"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), t.rlike(STOPPED).alias("stopped"), (t.rlike(MARKED) | t.rlike(SIGNED)).alias("marked"), t.rlike(DOTTED).alias("dotted"), t.rlike(BROKEN).alias("broken"),
-        word.alias("word"), _words_in(F.regexp_extract(t, r"(?U)([^\n]*\S[^\n]*)\s*\z", 1)).alias("line_words"),
+        "doc", "source", is_verse.alias("verse"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), back.rlike(STOPPED).alias("stopped"), (back.rlike(MARKED) | back.rlike(SIGNED)).alias("marked"), back.rlike(DOTTED).alias("dotted"), back.rlike(BROKEN).alias("broken"),
+        word.alias("word"), _words_in(F.regexp_extract(back, r"(?U)\A\s*([^\n]*)", 1)).alias("line_words"),
     )
 
 
 def _words_in(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"(?U)\S*[\p{L}\p{N}]\S*"))
+    """Words of a line, read in either direction."""
+    return F.regexp_count(line, F.lit(r"(?U)[\p{L}\p{N}]\S*"))
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def truncated_texts(docs: DataFrame, key: str, text: str, source: str, genre: st
     at_limit = F.col("dots_chars").isNotNull() | F.col("dots_bytes").isNotNull()
     dots_there = F.coalesce("dots_chars", F.lit(False)) | F.coalesce("dots_bytes", F.lit(False))
     open_end = F.when(F.col("verse"), ~F.col("marked")).otherwise(~F.col("stopped"))
-    sure = F.when("broken", "broken").when(at_limit & (open_end | (F.col("dotted") & dots_there)), "limit").when(~F.col("verse") & ~F.col("stopped"), "open")
+    sure = F.when(F.col("broken"), "broken").when(at_limit & (open_end | (F.col("dotted") & dots_there)), "limit").when(~F.col("verse") & ~F.col("stopped"), "open")
     sure = sure.when(F.col("verse") & ~F.col("marked") & (F.col("line_words") < short), "line")
     judged = ends.withColumn("reason", sure)
     unsure = F.col("reason").isNull() & (F.col("word") != "") & (F.col("dotted") | (F.col("verse") & ~F.col("marked")))
