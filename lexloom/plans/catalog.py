@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lexloom.plans import q_text
+
+PARTS = [q_text]
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in PARTS for k, v in part.ORACLES.items()}
