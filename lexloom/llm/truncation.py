@@ -68,7 +68,7 @@ def length_spikes(ends: DataFrame) -> DataFrame:
 
 def _short_line(docs: DataFrame, text: str, genre: str, verse: tuple[str, ...]) -> int:
     """The least number of words that more than SHORT_SHARE of verse lines (but last ones) stay under or at."""
-    lines = docs.where(F.col(genre).isin(*verse)).select(F.explode(F.slice(F.reverse(F.split(text, "\n")), 2, 2**31 - 1)).alias("line"))
+    lines = docs.where(F.col(genre).isin(*verse)).select(F.explode(F.slice(F.reverse(F.split(text, "\n")), F.lit(2), F.size(F.split(text, "\n")))).alias("line"))
     bars = {r["w"]: r["n"] for r in lines.select(F.least(_words_in(F.col("line")), F.lit(100)).alias("w")).where("w > 0").groupBy("w").agg(F.count("*").alias("n")).collect()}
     total, below = sum(bars.values()), 0
     for w in sorted(bars):
