@@ -59,12 +59,12 @@ def fixed_blocks(docs: DataFrame, key: str, text: str, lex: DataFrame | None, bl
     return docs.fillna(0, columns), columns
 
 
-def model_zoo(n: int, c: float = 1.0, trees: int = 100, seed: int = 42) -> dict[str, Callable]:
+def model_zoo(n: int, c: float = 1.0, trees: int = 100, seed: int = 42, iterations: int = 50) -> dict[str, Callable]:
     """name -> factory of an unfitted classifier for n train rows."""
-    lr = lambda: LogisticRegression(maxIter=100, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
+    lr = lambda: LogisticRegression(maxIter=iterations, tol=1e-3, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
     return {
         "logreg": lr,
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1.0 / (c * max(n, 1)), standardization=False)),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, tol=1e-3, regParam=1.0 / (c * max(n, 1)), standardization=False)),
         "cnb": lambda: NaiveBayes(modelType="complement"),
         "rf": lambda: RandomForestClassifier(numTrees=trees, seed=seed),
     }
@@ -73,28 +73,35 @@ def model_zoo(n: int, c: float = 1.0, trees: int = 100, seed: int = 42) -> dict[
 def cross_validate(docs: DataFrame, key: str, text: str, label: str, model: str, k: int = 2, seed: int = 42, blocks: tuple[str, ...] = ("word",), lex: DataFrame | None = None, trees: int = 100) -> DataFrame:
     """(key, fold, y, yhat): out-of-fold predictions. Vocabulary and scaling are fitted on the train rows of each fold
     only; other features once. Rows without a label or text take no part."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, F.col(label).cast("string").alias("y"))
-    names = [r["y"] for r in rows.select("y").distinct().orderBy("y").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 classes")
-    index = F.array_position(F.array(*map(F.lit, names)), F.col("y")) - 1
-    base, fixed = fixed_blocks(stratified_folds(rows, key, "y", k, seed), key, text, lex, blocks)
-    base = cut(base.withColumn("label", index.cast("double")))
-    kinds = tuple(b for b in blocks if b in ("word", "char"))
-    out = None
+    base, names = labelled_folds(docs, key, text, label, k, seed)
+    base, fixed = fixed_blocks(base, key, text, lex, blocks)
+    base, kinds, out = cut(base), tuple(b for b in blocks if b in ("word", "char")), None
     for fold in range(k):
         train = base.where(F.col("fold") != fold)
         every = text_blocks(base, key, text, train, kinds) if kinds else base
-        assembler = VectorAssembler(inputCols=[*(f"v_{b}" for b in kinds), *fixed], outputCol="raw")
-        scaler = MaxAbsScaler(inputCol="raw", outputCol="features")
-        ready = cut(assembler.transform(every).select(key, "fold", "y", "label", "raw"))
-        fitted = Pipeline(stages=[scaler, model_zoo(train.count(), trees=trees, seed=seed)[model]()]).fit(ready.where(F.col("fold") != fold))
-        guess = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
-        own = fitted.transform(ready.where(F.col("fold") == fold)).select(key, "fold", "y", guess.alias("yhat"))
+        own = fit_fold(every, key, [*(f"v_{b}" for b in kinds), *fixed], fold, model_zoo(train.count(), trees=trees, seed=seed)[model](), names)
         out = own if out is None else out.union(own)
     return out
 
 
+def labelled_folds(docs: DataFrame, key: str, text: str, label: str, k: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """((key, text, y, label, fold), class names): label is the place of the class among the names."""
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, F.col(label).cast("string").alias("y"))
+    names = [r["y"] for r in rows.select("y").distinct().orderBy("y").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 classes")
+    index = F.array_position(F.array(*map(F.lit, names)), F.col("y")) - 1
+    return cut(stratified_folds(rows, key, "y", k, seed).withColumn("label", index.cast("double"))), names
+
+
+def fit_fold(every: DataFrame, key: str, inputs: list[str], fold: int, classifier, names: list[str]) -> DataFrame:
+    """(key, fold, y, yhat) of one fold by a classifier fitted to the others, on inputs scaled there."""
+    ready = cut(VectorAssembler(inputCols=inputs, outputCol="raw").transform(every).select(key, "fold", "y", "label", "raw"))
+    fitted = Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), classifier]).fit(ready.where(F.col("fold") != fold))
+    guess = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
+    return fitted.transform(ready.where(F.col("fold") == fold)).select(key, "fold", "y", guess.alias("yhat"))
+
+
 def stratified_random(folded: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """(key, fold, y, yhat): guesses drawn from the class shares by a hash of the key."""
     counts = folded.groupBy(F.col(label).alias("yhat")).agg(F.count("*").alias("n"))
@@ -131,10 +138,28 @@ ABLATIONS = {
 }
 
 
-def ablation(docs: DataFrame, key: str, text: str, label: str, lexicons: dict[str, DataFrame], k: int = 2, configs: dict | None = None) -> DataFrame:
-    """One row for each configuration: the metrics of a logistic regression."""
+def ablation(docs: DataFrame, key: str, text: str, label: str, lexicons: dict[str, DataFrame], k: int = 2, seed: int = 42, configs: dict | None = None) -> DataFrame:
+    """One row for each configuration: the metrics of a logistic regression. Features are made once and shared: those
+    without a fit once, the vocabularies once a fold."""
+    base, names = labelled_folds(docs, key, text, label, k, seed)
+    base, fixed = fixed_blocks(base, key, text, None, ("loanword", "stats"))
+    of = {"loanword": fixed[:2], "stats": fixed[2:]}
+    for name, lex in lexicons.items():
+        f = ft.lexicon_features(docs.select(key, text), key, text, lex)
+        own = [c for c in f.columns if c != key]
+        base = base.join(f.select(key, *(F.col(c).alias(f"{name}_{c}") for c in own)), key, "left")
+        of[name] = [f"{name}_{c}" for c in own]
+        base = base.fillna(0, of[name])
+    base, found = cut(base), {}
+    for fold in range(k):
+        train = base.where(F.col("fold") != fold)
+        every, n = cut(text_blocks(base, key, text, train, ("word", "char"))), train.count()
+        for name, (blocks, lex) in (configs or ABLATIONS).items():
+            inputs = [c for b in blocks for c in ([f"v_{b}"] if b in ("word", "char") else of[lex] if b == "lexicon" else of[b])]
+            own = fit_fold(every, key, inputs, fold, model_zoo(n, seed=seed, iterations=10)["logreg"](), names)
+            found[name] = own if name not in found else found[name].union(own)
     out = None
-    for name, (blocks, lex) in (configs or ABLATIONS).items():
-        one = score(cross_validate(docs, key, text, label, "logreg", k, blocks=blocks, lex=lexicons.get(lex) if lex else None), name)
+    for name, p in found.items():
+        one = score(p, name)
         out = one if out is None else out.union(one)
     return out
