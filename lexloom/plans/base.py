@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.lexicon import entries
-from lexloom.session import table
+from lexloom.session import spread, table
 
 SONG_TYPES = ("hymn", "canticle")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(unit_key, unit_type, line_no, line) of all units that have lines."""
-    return table(spark, d, "liturgical_units").select("unit_key", "unit_type", F.posexplode("lines").alias("line_no", "line"))
+    return spread(table(spark, d, "liturgical_units").select("unit_key", "unit_type", "lines")).select("unit_key", "unit_type", F.posexplode("lines").alias("line_no", "line"))
 
 
 def types(spark: SparkSession, d: str) -> DataFrame:
@@ -41,4 +41,4 @@ def unit_text() -> Column:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """(page, content): each unit as a page that begins with its title."""
-    return table(spark, d, "liturgical_units").select(F.col("unit_key").alias("page"), F.concat_ws("\n", "title", unit_text()).alias("content"))
+    return spread(table(spark, d, "liturgical_units")).select(F.col("unit_key").alias("page"), F.concat_ws("\n", "title", unit_text()).alias("content"))

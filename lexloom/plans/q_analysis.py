@@ -8,7 +8,7 @@ from lexloom.functions.text import modern_candidates, normalise, tokens
 from lexloom.operators import dedup, features, metrics, retrieval, splits
 from lexloom.operators import lexicon as lx
 from lexloom.plans import base, sql
-from lexloom.session import table
+from lexloom.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,7 +27,7 @@ _UNITS = f"units AS (SELECT unit_key, unit_type, {sql.UNIT_TEXT} AS text FROM li
 
 
 def _units(spark, d):
-    return table(spark, d, "liturgical_units").select("unit_key", "unit_type", base.unit_text().alias("text"))
+    return spread(table(spark, d, "liturgical_units").select("unit_key", "unit_type", base.unit_text().alias("text")))
 
 
 _FILLED = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
