@@ -4,8 +4,8 @@ A text is a *bag*: every pair of neighbouring words, with its number of occurren
 So the overlap of two texts (shared pairs with repetition, over those of the text with more) is the overlap of two sets.
 Texts of one bag form a *class* (a 64-bit hash of the bag, the sum of its mixed elements). The steps:
 
-1. a signature turns each bag into bucket keys; a class is sent once per task, however many copies it has. Its minima
-   are weighted: an element counts less the more often its two words occur, so common phrases bring few texts together;
+1. a signature turns each bag into bucket keys; a class is sent once per task, however many copies it has. Every
+   element counts the same in its minima, as it does in the overlap, however common its words are;
 2. rows are shuffled on the key and sorted; runs of equal keys give candidate pairs of classes (streamed, so a run is
    never held in memory beyond RUN classes);
 3. classes in longer runs take an exact way instead: a prefix join over their rarest elements, which finds every pair;
@@ -32,71 +32,25 @@ MIN_WORDS = 20
 OVERLAP = 0.6
 #: Classes of one bucket that are paired within it; the classes of larger buckets take the exact way.
 RUN = 400
-#: Words with more than one in COMMON of all words are common: fewer than COMMON, whatever the size of the data.
-COMMON = 4096
-#: An element whose words would meet by chance in more than one in 1 / EXPECTED places is weighted down to that; a word
-#: that is not common counts as one in 1 / RARE.
-EXPECTED, RARE = 1e-7, 1e-5
 #: Sides of a row: a pair needs one row that may stand left and one that may stand right.
 LEFT, RIGHT = 1, 2
 
-Signature = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-Common = tuple[np.ndarray, np.ndarray]
-NONE_COMMON: Common = (np.zeros(0, U), np.zeros(0))
+Signature = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def common_words(rows: DataFrame, text: str) -> Common:
-    """(hashes in order, shares) of the common words, counted over all texts; fewer than COMMON come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, counts, total = PieceHash(), {}, 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([_i64(np.array([0, *counts], U)), pa.array([total, *counts.values()], pa.int64())], ["word", "n"])
-
-        for b in batches:
-            h, _ = word_hashes(b.column(0).to_pylist(), pieces)
-            total += len(h)
-            for w, n in zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True):
-                counts[w] = counts.get(w, 0) + n
-            if len(counts) > 1_000_000:
-                yield out()
-                counts, total = {}, 0
-        yield out()
-
-    top = rows.select(F.col(text).alias("t")).where("t is not null").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON + 1).collect()
-    total = next((r["n"] for r in top if r["word"] == 0), 0)
-    found = sorted((r["word"] % 2**64, r["n"] / total) for r in top if r["word"] != 0 and r["n"] * COMMON > total)
-    return np.array([w for w, _ in found], U), np.array([x for _, x in found], float)
-
-
-def _share(h: np.ndarray, common: Common) -> np.ndarray:
-    """Share of each word, RARE where it isn't common."""
-    if not len(common[0]):
-        return np.full(len(h), RARE)
-    at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-    return np.where(common[0][at] == h, common[1][at], RARE)
-
-
-def elements(texts: list[str | None], pieces: PieceHash, common: Common | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(elements by text, start of each text's elements, index of each text that takes part, what each element's minima
-    are multiplied by), the whole batch at once."""
+def elements(texts: list[str | None], pieces: PieceHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements by text, start of each text's elements, index of each text that takes part), whole batch at once."""
     h, at = word_hashes(texts, pieces)
     words = np.bincount(at, minlength=len(texts)) if len(at) else np.zeros(len(texts), int)
     ok = words >= MIN_WORDS
     keep = ok[at]
     h, at = h[keep], at[keep]
     if not len(h):
-        return np.zeros(0, U), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return np.zeros(0, U), np.zeros(0, int), np.zeros(0, int)
     same = at[1:] == at[:-1]
     pair = mix(h[:-1] * U(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> U(32))))[same]
     at = at[:-1][same]
-    less = np.ones(len(pair))
-    if common is not None:
-        p = _share(h, common)
-        less = np.maximum(1, (p[:-1] * p[1:])[same] / EXPECTED)
     order = np.lexsort((pair, at))
-    less = less[order]
     pair, at = pair[order], at[order]
     fresh = np.ones(len(pair), bool)
     fresh[1:] = (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])
@@ -104,20 +58,20 @@ def elements(texts: list[str | None], pieces: PieceHash, common: Common | None =
     nth = pos - np.maximum.accumulate(np.where(fresh, pos, 0))
     e = np.where(nth > 0, mix(pair + nth.astype(U) * U(0xD6E8FEB86659FD93)), pair)
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return e, starts, at[starts], less
+    return e, starts, at[starts]
 
 
 def class_ids(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix(e ^ U(0xA5A5A5A5C3C3C3C3)), starts) if len(starts) else np.zeros(0, U)
 
 
-def min_hashes(e: np.ndarray, starts: np.ndarray, less: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """n weighted minima of each bag, [bag, n]; two bags agree in one as often as their weighted Jaccard similarity."""
+def min_hashes(e: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n minima of each bag, [bag, n]; two bags agree in one as often as their Jaccard similarity."""
     rng = np.random.default_rng(seed)
     xor, mul = rng.integers(1, 2**63, n, dtype=np.int64).view(U), rng.integers(1, 2**63, n, dtype=np.int64).view(U) | U(1)
     out = np.empty((len(starts), n), U)
     for i in range(n):
-        out[:, i] = np.minimum.reduceat(((e ^ xor[i]) * mul[i]).astype(float) * less, starts).view(U)
+        out[:, i] = np.minimum.reduceat((e ^ xor[i]) * mul[i], starts)
     return out
 
 
@@ -130,12 +84,11 @@ def bucket_rows(rows: DataFrame, text: str, side: Column, signature: Signature)
 
     meta is the number of the class's elements times 4 plus the side.
     """
-    common = common_words(rows, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = PieceHash(), set()
         for b in batches:
-            e, starts, who, less = elements(b.column(0).to_pylist(), pieces, common)
+            e, starts, who = elements(b.column(0).to_pylist(), pieces)
             if not len(starts):
                 continue
             ids = class_ids(e, starts)
@@ -147,7 +100,7 @@ def bucket_rows(rows: DataFrame, text: str, side: Column, signature: Signature)
                     new.append(k)
             if not new:
                 continue
-            keys = signature(e, starts, less)[new]
+            keys = signature(e, starts)[new]
             n = keys.shape[1]
             yield pa.RecordBatch.from_arrays([_i64(keys.ravel()), _i64(np.repeat(ids[new], n)), pa.array(np.repeat(sides[new], n))], ["bucket", "class", "meta"])
 
@@ -230,7 +183,7 @@ def bag_rows(rows: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = PieceHash(), set()
         for b in batches:
-            e, starts, who, _ = elements(b.column(0).to_pylist(), pieces)
+            e, starts, who = elements(b.column(0).to_pylist(), pieces)
             if not len(starts):
                 continue
             ids = class_ids(e, starts)
@@ -254,7 +207,7 @@ def member_rows(rows: DataFrame, key: str, text: str, side: Column) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceHash()
         for b in batches:
-            e, starts, who, _ = elements(b.column(1).to_pylist(), pieces)
+            e, starts, who = elements(b.column(1).to_pylist(), pieces)
             if len(starts):
                 pick = pa.array(who)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pick), _i64(class_ids(e, starts)), b.column(2).take(pick)], ["key", "class", "side"])

@@ -15,15 +15,15 @@ from lexloom.session import table
 
 #: Fingerprints of a text, their symbols, and the symbols that a variant drops. Two fingerprints that differ in at most
 #: DROPPED of SYMBOLS symbols lie within 2 * DROPPED deletions and insertions of each other; each emits every variant
-#: within half of that, DROPPED deletions, and both meet at what they share. Symbols are weighted minima over the text's pairs of
-#: neighbouring words, so texts of (weighted) Jaccard similarity j agree in a symbol with probability j. At overlap 0.6
+#: within half of that, DROPPED deletions, and both meet at what they share. Symbols are minima over the text's pairs of
+#: neighbouring words, so texts of Jaccard similarity j agree in a symbol with probability j. At overlap 0.6
 #: (j >= 0.43) a fingerprint meets with probability 0.58 and one of six does with 0.994; at 0.65 that is 0.998.
 FINGERPRINTS, SYMBOLS, DROPPED = 6, 4, 2
 
 
-def ball(e: np.ndarray, starts: np.ndarray, less: np.ndarray) -> np.ndarray:
+def ball(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[text, variant]: a 64-bit key for every variant of every fingerprint."""
-    symbols = min_hashes(e, starts, less, FINGERPRINTS * SYMBOLS, seed=6)
+    symbols = min_hashes(e, starts, FINGERPRINTS * SYMBOLS, seed=6)
     out = []
     for f in range(FINGERPRINTS):
         own = [symbols[:, f * SYMBOLS + i] for i in range(SYMBOLS)]

@@ -64,6 +64,24 @@ def test_near_duplicates(spark, texts, run, monkeypatch):
     assert len(want) > 15 and got == want
 
 
+def formula_rows(n):
+    """A formula of 60 words in a third of the rows, each with words of its own beside it: overlap 0.66."""
+    formula = [f"f{i}" for i in range(60)]
+    return [(i, " ".join((formula if i % 3 == 0 else [f"r{i}x{j}" for j in range(60)]) + [f"o{i}x{j}" for j in range(30)]), ["train", "test"][i // 3 % 2]) for i in range(n)]
+
+
+def test_common_formula(spark):
+    rows = formula_rows(300)
+    df = spark.createDataFrame(rows, "k bigint, t string, split string")
+    want = {(a, b) for a in range(0, 300, 3) for b in range(a + 3, 300, 3)}
+    assert overlap(rows[0][1], rows[3][1]) >= 0.6 > overlap(rows[0][1], rows[1][1])
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "k", "t").collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    crossed = {(a, b) for a, b in want if (a // 3 + b // 3) % 2}
+    got = {tuple(r) for r in split_overlap.cross_split_pairs(df, "k", "t", "split").collect()}
+    assert got <= crossed and len(got) >= 0.98 * len(crossed)
+
+
 def test_groups(spark, texts):
     df, rows = texts
     got = {r["key"]: r["group_key"] for r in near_duplicates.near_duplicate_groups(df, "k", "t").collect()}
