@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import modern_candidates, normalise, tokens
-from lexloom.operators import dedup, features, metrics, retrieval, splits
+from lexloom.operators import dedup, features, metrics, refrains, retrieval, splits
 from lexloom.operators import lexicon as lx
 from lexloom.plans import base, sql
 from lexloom.session import spread, table
@@ -300,10 +300,21 @@ def _told(spark, d):
     return lx.lookup_cascade(types, base.combined(spark, d)).select("token", F.col("priority").isNull().cast("int").alias("oov"), (F.size(modern_candidates(F.col("token"))) > 1).cast("int").alias("varied"))
 
 
+def _refrains(spark, d):
+    """(line, lo, hi): lines that the texts of several units contain, with the smallest and largest key of those."""
+    texts = table(spark, d, "liturgical_units").select(F.col("unit_key").alias("key"), normalise(base.unit_text()).alias("text"))
+    return refrains.shared(base.lines(spark, d).select(normalise(F.col("line")).alias("line")), texts)
+
+
+@query("refrain_containment", f"WITH ls AS (SELECT DISTINCT {sql.norm('line')} AS line FROM (SELECT unnest(coalesce(lines, string_split(raw_text, chr(10)))) AS line FROM liturgical_units)), tx AS (SELECT unit_key, {sql.norm(sql.UNIT_TEXT)} AS text FROM liturgical_units) SELECT line, min(unit_key) AS first_unit, max(unit_key) AS last_unit FROM ls JOIN tx ON contains(text, line) GROUP BY line HAVING count(*) > 1")
+def _(spark, d):
+    return _refrains(spark, d).select("line", F.col("lo").alias("first_unit"), F.col("hi").alias("last_unit"))
+
+
 @query("error_tags", f"WITH {_ERR} SELECT unit_key, line_no, tags FROM tagged")
 def _(spark, d):
     lt = _line_tokens(spark, d)
-    shared = lt.select("norm", "unit_key").distinct().groupBy("norm").agg(F.count("*").alias("k")).where("k > 1").select("norm", F.lit(1).alias("shared"))
+    shared = _refrains(spark, d).select(F.col("line").alias("norm"), F.lit(1).alias("shared"))
     each = lt.select("unit_key", "line_no", F.explode("ts").alias("token")).join(_told(spark, d), "token")
     ag = each.groupBy("unit_key", "line_no").agg(F.count("*").alias("n"), F.sum("oov").alias("oov"), F.sum("varied").alias("nv"), F.sum(F.col("token").isin(*features.TAG_LOANWORDS).cast("int")).alias("loan"))
     j = lt.select("unit_key", "line_no", "norm").join(ag, ["unit_key", "line_no"], "left").join(shared, "norm", "left")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import lexicon, numbering, skew, splits
+from lexloom.operators import lexicon, numbering, refrains, skew, splits
 from lexloom.operators.components import connected_components
 from lexloom.sources import loaders
 from lexloom.streaming.coverage import windowed_coverage
@@ -107,3 +107,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n_tokens"], r["covered"]) for r in spark.table("cov").orderBy("start").collect()] == [(3, 2), (1, 0)]
+
+
+def test_contained_lines(spark):
+    texts = [(1, "o amen dios apo a naimbag, dayawen"), (2, "dakkel ti dios apo ti amin"), (3, "amenos dios apo a naimbag, dayawenna ngamin"), (4, ""), (5, None)]
+    lines = ["amen", "ti dios", "dios apo", "s apo t", "dios apo a naimbag, dayawen", "os apo a naim", "apo dios", "ti dios apo ti amin", "", None, "none of these words at all"]
+    got = refrains.shared(spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame(texts, "key bigint, text string"))
+    keys = {x: [k for k, t in texts if t is not None and x in t] for x in lines if x is not None}
+    assert {r["line"]: (r["lo"], r["hi"]) for r in got.collect()} == {x: (min(k), max(k)) for x, k in keys.items() if len(k) > 1}
+
+
+def test_refrain_within_longer_text(spark, tmp_path):
+    from lexloom.plans import catalog
+
+    units = [(1, ["naimbag nga aldaw"], None), (2, ["O naimbag nga", "aldaw kadakayo"], None), (3, None, "sabali a linia\nken naimbag nga aldaw")]
+    spark.createDataFrame([(k, "hymn", x, r) for k, x, r in units], "unit_key bigint, unit_type string, lines array<string>, raw_text string").write.parquet(f"{tmp_path}/liturgical_units.parquet")
+    spark.createDataFrame([], "number int, word string, normalized_ilocano string, upos_tag string, english_translation string").write.parquet(f"{tmp_path}/house_lexicon.parquet")
+    spark.createDataFrame([], "entry_id bigint, headword string, source string, normalised_form string, pos string, gloss string").write.parquet(f"{tmp_path}/lexicon_entries.parquet")
+    tags = {(r["unit_key"], r["line_no"]): r["tags"] for r in catalog.QUERIES["error_tags"](spark, str(tmp_path)).collect()}
+    assert "shared_refrain" in tags[1, 0] and "shared_refrain" not in tags[2, 0]
+    assert [tuple(r) for r in catalog.QUERIES["refrain_containment"](spark, str(tmp_path)).collect()] == [("naimbag nga aldaw", 1, 3)]
