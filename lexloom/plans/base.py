@@ -13,8 +13,13 @@ SONG_TYPES = ("hymn", "canticle")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """(unit_key, unit_type, line_no, line) of all units that have lines."""
-    return spread(table(spark, d, "liturgical_units").select("unit_key", "unit_type", "lines")).select("unit_key", "unit_type", F.posexplode("lines").alias("line_no", "line"))
+    """(unit_key, unit_type, line_no, line) of all units."""
+    return spread(table(spark, d, "liturgical_units").select("unit_key", "unit_type", unit_lines().alias("lines"))).select("unit_key", "unit_type", F.posexplode("lines").alias("line_no", "line"))
+
+
+def unit_lines() -> Column:
+    """The lines of a unit, or those of raw_text where lines is null."""
+    return F.coalesce("lines", F.split("raw_text", "\n"))
 
 
 def types(spark: SparkSession, d: str) -> DataFrame:

@@ -177,7 +177,7 @@ def _(spark, d):
 @query("unit_stats", f"SELECT unit_key, unit_type, len(lines) AS n_lines, coalesce(list_sum(list_transform(lines, lambda line: {_WS})), 0)::BIGINT AS n_tokens FROM liturgical_units WHERE lines IS NOT NULL")
 def _(spark, d):
     n = F.aggregate(F.transform("lines", whitespace_tokens), F.lit(0), lambda a, x: a + x)
-    return table(spark, d, "liturgical_units").where("lines is not null").select("unit_key", "unit_type", F.size("lines").alias("n_lines"), n.cast("bigint").alias("n_tokens"))
+    return table(spark, d, "liturgical_units").withColumn("lines", base.unit_lines()).select("unit_key", "unit_type", F.size("lines").alias("n_lines"), n.cast("bigint").alias("n_tokens"))
 
 
 @query("missing_ranges", f"WITH {sql.TYPES}, m AS (SELECT DISTINCT number::BIGINT AS n FROM house_lexicon WHERE number IS NOT NULL AND lower(trim(word)) NOT IN (SELECT w FROM types)), r AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM m) SELECT min(n) AS low, max(n) AS high, CASE WHEN min(n) = max(n) THEN min(n)::VARCHAR ELSE min(n) || '-' || max(n) END AS label FROM r GROUP BY g")

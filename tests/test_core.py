@@ -127,3 +127,14 @@ def test_refrain_within_longer_text(spark, tmp_path):
     tags = {(r["unit_key"], r["line_no"]): r["tags"] for r in catalog.QUERIES["error_tags"](spark, str(tmp_path)).collect()}
     assert "shared_refrain" in tags[1, 0] and "shared_refrain" not in tags[2, 0]
     assert [tuple(r) for r in catalog.QUERIES["refrain_containment"](spark, str(tmp_path)).collect()] == [("naimbag nga aldaw", 1, 3)]
+
+
+def test_units_of_raw_text_only(spark, tmp_path):
+    from lexloom.plans import base, catalog
+
+    units = [(1, "hymn", ["a b", "c"], "a b\nc"), (2, "prayer", None, "d e\nf"), (3, "rubric", [], "g")]
+    spark.createDataFrame(units, "unit_key bigint, unit_type string, lines array<string>, raw_text string").write.parquet(f"{tmp_path}/liturgical_units.parquet")
+    got = [tuple(r) for r in base.lines(spark, str(tmp_path)).orderBy("unit_key", "line_no").collect()]
+    assert got == [(1, "hymn", 0, "a b"), (1, "hymn", 1, "c"), (2, "prayer", 0, "d e"), (2, "prayer", 1, "f")]
+    stats = {r["unit_key"]: (r["n_lines"], r["n_tokens"]) for r in catalog.QUERIES["unit_stats"](spark, str(tmp_path)).collect()}
+    assert stats == {1: (2, 3), 2: (2, 3), 3: (0, 0)}
