@@ -59,12 +59,12 @@ def fixed_blocks(docs: DataFrame, key: str, text: str, lex: DataFrame | None, bl
     return docs.fillna(0, columns), columns
 
 
-def model_zoo(n: int, c: float = 1.0, trees: int = 100, seed: int = 42, iterations: int = 50) -> dict[str, Callable]:
+def model_zoo(n: int, c: float = 1.0, trees: int = 100, seed: int = 42, iterations: int = 1000) -> dict[str, Callable]:
     """name -> factory of an unfitted classifier for n train rows."""
     lr = lambda: LogisticRegression(maxIter=iterations, tol=1e-3, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
     return {
         "logreg": lr,
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, tol=1e-3, regParam=1.0 / (c * max(n, 1)), standardization=False)),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=2 * iterations, tol=1e-3, regParam=1.0 / (c * max(n, 1)), standardization=False)),
         "cnb": lambda: NaiveBayes(modelType="complement"),
         "rf": lambda: RandomForestClassifier(numTrees=trees, seed=seed),
     }
@@ -156,7 +156,7 @@ def ablation(docs: DataFrame, key: str, text: str, label: str, lexicons: dict[st
         every, n = cut(text_blocks(base, key, text, train, ("word", "char"))), train.count()
         for name, (blocks, lex) in (configs or ABLATIONS).items():
             inputs = [c for b in blocks for c in ([f"v_{b}"] if b in ("word", "char") else of[lex] if b == "lexicon" else of[b])]
-            own = fit_fold(every, key, inputs, fold, model_zoo(n, seed=seed, iterations=10)["logreg"](), names)
+            own = fit_fold(every, key, inputs, fold, model_zoo(n, seed=seed)["logreg"](), names)
             found[name] = own if name not in found else found[name].union(own)
     out = None
     for name, p in found.items():

@@ -267,7 +267,7 @@ _BOOT = " + ".join(f"(u >= {x!r})::INT" for x in metrics.POISSON)
 
 @query("bootstrap_ci", f"WITH {_PREDS}, e AS (SELECT draw, (y = yhat)::INT AS hit, ('0x' || substring(md5(draw || ':' || gdoc_key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM preds CROSS JOIN range(1, 101) t(draw)), s AS (SELECT draw, sum(hit * w) / sum(w) AS m FROM (SELECT draw, hit, {_BOOT} AS w FROM e) GROUP BY draw) SELECT round((SELECT avg((y = yhat)::INT) FROM preds), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM s")
 def _(spark, d):
-    return metrics.bootstrap_ci(_preds(spark, d).select("gdoc_key", "y", "yhat"), "gdoc_key", 100)
+    return metrics.bootstrap_ci(_preds(spark, d).select("gdoc_key", "y", "yhat"), "gdoc_key", 1000)
 
 
 _PAIRS = f"{_PREDS}, pr AS (SELECT source, avg((y = yhat)::INT) AS a, avg((y = yhat2)::INT) AS b FROM preds WHERE source IS NOT NULL GROUP BY source)"

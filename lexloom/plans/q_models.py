@@ -10,6 +10,8 @@ from lexloom.plans import base
 from lexloom.session import table
 
 QUERIES, ORACLES = {}, {}
+#: Folds of the classifiers, as many as of majority_baseline.
+FOLDS = 5
 
 
 def query(name: str):
@@ -26,14 +28,14 @@ def _docs(spark, d):
 
 def _cv(name: str, **more):
     def run(spark, d):
-        return models.score(models.cross_validate(_docs(spark, d), "gdoc_key", "text", "genre", name, **more), name)
+        return models.score(models.cross_validate(_docs(spark, d), "gdoc_key", "text", "genre", name, FOLDS, **more), name)
 
     return run
 
 
 QUERIES["cv_logreg"] = _cv("logreg")
 QUERIES["cv_cnb"] = _cv("cnb")
-QUERIES["cv_rf"] = _cv("rf", trees=30)
+QUERIES["cv_rf"] = _cv("rf")
 QUERIES["cv_svm_ovr"] = _cv("svm")
 
 
@@ -45,13 +47,13 @@ def _(spark, d):
 
 @query("hybrid_logreg")
 def _(spark, d):
-    return models.score(models.cross_validate(_docs(spark, d), "gdoc_key", "text", "genre", "logreg", blocks=models.BLOCKS, lex=base.combined(spark, d)), "hybrid_logreg")
+    return models.score(models.cross_validate(_docs(spark, d), "gdoc_key", "text", "genre", "logreg", FOLDS, blocks=models.BLOCKS, lex=base.combined(spark, d)), "hybrid_logreg")
 
 
 @query("ablation")
 def _(spark, d):
     lexicons = {"combined": base.combined(spark, d), "house": base.house(spark, d), "existing": base.external(spark, d)}
-    return models.ablation(_docs(spark, d), "gdoc_key", "text", "genre", lexicons)
+    return models.ablation(_docs(spark, d), "gdoc_key", "text", "genre", lexicons, FOLDS)
 
 
 @query("proxy_task_a")
@@ -59,4 +61,4 @@ def _(spark, d):
     """Lines of hymns and canticles against lines of prose."""
     lines = base.lines(spark, d).where(F.col("unit_type").isin("hymn", "canticle", "liturgical_prose") & (F.size(tokens(F.col("line"))) >= 2))
     rows = lines.select(F.xxhash64("unit_key", "line_no").alias("line_key"), F.col("line").alias("text"), F.when(F.col("unit_type") == "liturgical_prose", "prose").otherwise("song").alias("kind"))
-    return models.score(models.cross_validate(rows, "line_key", "text", "kind", "logreg"), "proxy_task_a")
+    return models.score(models.cross_validate(rows, "line_key", "text", "kind", "logreg", FOLDS), "proxy_task_a")

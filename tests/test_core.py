@@ -1,5 +1,7 @@
+import inspect
 import random
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from lexloom.operators import lexicon, numbering, refrains, skew, splits
@@ -138,3 +140,28 @@ def test_units_of_raw_text_only(spark, tmp_path):
     assert got == [(1, "hymn", 0, "a b"), (1, "hymn", 1, "c"), (2, "prayer", 0, "d e"), (2, "prayer", 1, "f")]
     stats = {r["unit_key"]: (r["n_lines"], r["n_tokens"]) for r in catalog.QUERIES["unit_stats"](spark, str(tmp_path)).collect()}
     assert stats == {1: (2, 3), 2: (2, 3), 3: (0, 0)}
+
+
+def test_registered_model_parameters(spark, monkeypatch):
+    from lexloom.operators import metrics, models
+    from lexloom.plans import catalog
+
+    zoo = models.model_zoo(10)
+    assert zoo["logreg"]().getMaxIter() == 1000 and zoo["svm"]().getClassifier().getMaxIter() == 2000 and zoo["rf"]().getNumTrees() == 100
+    seen, of = [], {f: inspect.signature(getattr(m, f)) for m, f in ((models, "cross_validate"), (models, "ablation"), (metrics, "bootstrap_ci"))}
+
+    def note(f, names):
+        def run(*a, **kw):
+            args = of[f].bind(*a, **kw)
+            args.apply_defaults()
+            seen.append(tuple(args.arguments[n] for n in names))
+
+        return run
+
+    monkeypatch.setattr(models, "cross_validate", note("cross_validate", ("k", "trees")))
+    monkeypatch.setattr(models, "ablation", note("ablation", ("k",)))
+    monkeypatch.setattr(metrics, "bootstrap_ci", note("bootstrap_ci", ("draws",)))
+    monkeypatch.setattr(models, "score", lambda *a: None)
+    for name in ("cv_logreg", "cv_cnb", "cv_rf", "cv_svm_ovr", "hybrid_logreg", "proxy_task_a", "ablation", "bootstrap_ci"):
+        catalog.QUERIES[name](spark, SF)
+    assert seen == [(5, 100)] * 6 + [(5,), (1000,)]
