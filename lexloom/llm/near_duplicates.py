@@ -75,4 +75,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(unit_texts(table(spark, sf_dir, "liturgical_units").select("unit_key", "lines", "raw_text")), "unit_key", "_text").withColumnRenamed("key", "unit_key")
+    """Every unit; one whose text takes no part (null or short) is a group of its own with 0 links."""
+    units = unit_texts(table(spark, sf_dir, "liturgical_units").select("unit_key", "lines", "raw_text"))
+    groups = near_duplicate_groups(units, "unit_key", "_text").withColumnRenamed("key", "unit_key")
+    each = units.select("unit_key").join(groups, "unit_key", "left")
+    return each.select("unit_key", F.coalesce("group_key", "unit_key").alias("group_key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

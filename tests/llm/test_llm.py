@@ -89,6 +89,14 @@ def test_groups(spark, texts):
     assert all(got[a] == got[b] for a, b in want_pairs(rows, False)) and all(v <= k for k, v in got.items())
 
 
+def test_groups_of_all_units(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(25))
+    units = [(1, ["amen"], None), (2, ["amen"], None), (3, None, long), (4, [long], None), (5, None, "")]
+    spark.createDataFrame(units, "unit_key bigint, lines array<string>, raw_text string").write.parquet(f"{tmp_path}/liturgical_units.parquet")
+    got = {tuple(r) for r in near_duplicates.p6_groups(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0)}
+
+
 def test_prefix_pairs_exact(spark, texts):
     df, rows = texts
     b = bags.bag_rows(df, "t").withColumn("side", F.lit(3))
