@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.skew import HEAVY_SHARE
-from lexloom.session import cut
+from lexloom.session import cut, drop_cut
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -16,14 +16,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and then itself, which halves paths (shortcutting), so rounds grow with the logarithm of the longest path. Nodes of
     many edges are never gathered: minima are partial aggregates, and the minimum of a node with more than one in
     HEAVY_SHARE of the edges is broadcast to its edges instead of moving them. Self loops keep lone nodes; null ends are
-    ignored; an empty input gives an empty table. Each round is cut by checkpoint(), so a lost executor costs one round.
+    ignored; an empty input gives an empty table. Each round is cut by checkpoint(), so a lost executor costs one round;
+    the files of the round before are deleted.
     """
     both = edges.where("a is not null and b is not null").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct()
     nodes = cut(both)
     star = nodes.where("a <> b")
     seen = (star.count(), None)
+    last = None
     for _ in range(max_rounds):
         star = cut(_small(_large(star, 2 * seen[0]), 2 * seen[0]))
+        if last is not None:
+            drop_cut(last)
+        last = star
         mark = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     spark = SparkSession.builder.master(f"local[{cores}]").appName("lexloom").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -23,20 +24,35 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names in spark.checkpoint.dir; sets one of our own only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Keeps the folder the cluster names in spark.checkpoint.dir. Where none is set, a local session (tests, benches)
+    takes a temporary folder; on a cluster, whose machines can't read one another's disks, that is an error."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that neither lineage nor a lost executor costs a rerun."""
+    """Materialises df in the shared checkpoint folder, so that neither lineage nor a lost executor costs a rerun. Spark
+    deletes the files with the reference where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a cut that nothing reads any more; for loops, which else leave one for each round."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the folder (a file or a folder of part files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -165,3 +165,31 @@ def test_registered_model_parameters(spark, monkeypatch):
     for name in ("cv_logreg", "cv_cnb", "cv_rf", "cv_svm_ovr", "hybrid_logreg", "proxy_task_a", "ablation", "bootstrap_ci"):
         catalog.QUERIES[name](spark, SF)
     assert seen == [(5, 100)] * 6 + [(5,), (1000,)]
+
+
+def test_heavy_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HEAVY", 10)
+    rows = spark.range(9000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    got = skew.join_by_size(rows, classes, ["k"], "n", 9000).withColumn("p", F.spark_partition_id())
+    assert got.count() == 9000 and got.columns == ["k", "id", "n", "m", "p"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got.where("k = 0").select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checkpoint_folder(spark):
+    from lexloom.session import cut, drop_cut
+
+    df = cut(spark.range(5))
+    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    assert df.count() == 5
+    drop_cut(df)
+    drop_cut(spark.range(3))
+    import pathlib
+
+    assert not pathlib.Path(path.removeprefix("file:")).exists()
