@@ -4,15 +4,16 @@ A text is a *bag*: every pair of neighbouring words, with its number of occurren
 So the overlap of two texts (shared pairs with repetition, over those of the text with more) is the overlap of two sets.
 Texts of one bag form a *class* (a 64-bit hash of the bag, the sum of its mixed elements). The steps:
 
-1. a signature turns each bag into bucket keys; a class is sent once per task, however many copies it has. Every
-   element counts the same in its minima, as it does in the overlap, however common its words are;
-2. rows are shuffled on the key and sorted; runs of equal keys give candidate pairs of classes (streamed, so a run is
-   never held in memory beyond RUN classes);
-3. classes in longer runs take an exact way instead: a prefix join over their rarest elements, which finds every pair;
-4. candidates are joined with the bags of their classes and the overlap is counted exactly;
-5. pairs of classes, and classes of several rows, are unfolded to rows only where a result asks for pairs of rows.
-
-Null texts and texts of fewer than MIN_WORDS words take no part. Long texts are processed whole.
+1. `parse` reads every text once and keeps its class, and each class's bag (once a task, however many copies it has);
+2. a signature turns each bag into bucket keys. Every element counts the same in its minima, as it does in the overlap,
+   however common its words are. Only buckets of several classes are kept (`shared_buckets`);
+3. runs of equal keys give candidate pairs of classes. The classes of runs beyond RUN take an exact way instead: a prefix
+   join over their rarest elements (`hot_pairs`), in blocks of RUN classes, each pair once;
+4. candidates meet the bags of their classes, no others, and the overlap is counted exactly (`verify`);
+5. pairs of classes, and classes of several rows, are unfolded to rows only where a result asks for pairs of rows, in
+   blocks of BLOCK rows (`row_pairs`).
+
+Null keys, null texts and texts of fewer than MIN_WORDS words take no part. Long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.words import PieceHash, U, mix, word_hashes
+from lexloom.llm.words import REMEMBERED, PieceHash, U, mix, word_hashes
+from lexloom.operators.skew import join_by_size
 from lexloom.session import cut
 
 MIN_WORDS = 20
@@ -32,6 +34,8 @@ MIN_WORDS = 20
 OVERLAP = 0.6
 #: Classes of one bucket that are paired within it; the classes of larger buckets take the exact way.
 RUN = 400
+#: Rows of one class that are unfolded together.
+BLOCK = 1000
 #: Sides of a row: a pair needs one row that may stand left and one that may stand right.
 LEFT, RIGHT = 1, 2
 
@@ -79,176 +83,313 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def bucket_rows(rows: DataFrame, text: str, side: Column, signature: Signature) -> DataFrame:
-    """(bucket bigint, class bigint, meta bigint) of every text; per task, each class comes once for each side.
-
-    meta is the number of the class's elements times 4 plus the side.
+def parse(rows: DataFrame, key: str, text: str, side: Column) -> DataFrame:
+    """What all later steps read, cut: a row (key, class, meta) for every text that takes part, meta being its side, and
+    a row (class, meta, bag) with whole = true for every class and side of a task, meta being 4 * elements + side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = PieceHash(), set()
+        names = ["whole", "key", "class", "meta", "bag"]
         for b in batches:
-            e, starts, who = elements(b.column(0).to_pylist(), pieces)
+            e, starts, who = elements(b.column(1).to_pylist(), pieces)
             if not len(starts):
                 continue
-            ids = class_ids(e, starts)
-            sides = b.column(1).to_numpy(zero_copy_only=False)[who].astype(np.int64) + 4 * np.diff(np.append(starts, len(e)))
+            ids, n, ends = class_ids(e, starts), len(starts), np.append(starts, len(e))
+            sides = b.column(2).to_numpy(zero_copy_only=False)[who].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), b.column(0).take(pa.array(who)), _i64(ids), pa.array(sides), pa.nulls(n, pa.list_(pa.int64()))], names)
             new = []
             for k, x in enumerate(zip(ids.tolist(), sides.tolist(), strict=True)):
                 if x not in seen:
                     seen.add(x)
                     new.append(k)
-            if not new:
-                continue
-            keys = signature(e, starts)[new]
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([_i64(keys.ravel()), _i64(np.repeat(ids[new], n)), pa.array(np.repeat(sides[new], n))], ["bucket", "class", "meta"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if new:
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _i64(e)).take(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(new), bool)), pa.nulls(len(new), pa.int64()), _i64(ids[new]), pa.array(sides[new] + 4 * np.diff(ends)[new]), lists], names)
+
+    taken = rows.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), side.cast("tinyint").alias("s")).where("k is not null and t is not null and s > 0")
+    return cut(taken.mapInArrow(run, "whole boolean, key bigint, class bigint, meta bigint, bag array<bigint>"))
+
+
+def members_of(parsed: DataFrame) -> DataFrame:
+    """(key, class, side) of every text that takes part."""
+    return parsed.where("not whole").select("key", "class", F.col("meta").alias("side"))
 
-    return rows.select(F.col(text).alias("t"), side.cast("tinyint").alias("s")).where("t is not null and s > 0").mapInArrow(run, "bucket bigint, class bigint, meta bigint")
 
+def bags_of(parsed: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes (class, ...) plus bag, one row a class."""
+    rest = [c for c in classes.columns if c != "class"]
+    found = parsed.where("whole").select("class", "bag").join(classes, "class")
+    return found.groupBy("class").agg(F.first("bag").alias("bag"), *(F.first(c).alias(c) for c in rest))
 
-def _runs(k: np.ndarray, c: np.ndarray, s: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of classes within runs of equal keys, and the classes of runs over RUN. Input sorted by (key, class)."""
+
+def _merged(k: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by (key, class), each class once a key with all its sides."""
     first = np.ones(len(k), bool)
     first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     at = np.flatnonzero(first)
-    k, c, s = k[at], c[at], np.bitwise_or.reduceat(s, at)
-    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    size = np.diff(np.append(head, len(k)))
-    of = np.repeat(size, size)
-    hot, several = of > RUN, (of > 1) & (of <= RUN)
-    hc, hs = c[hot], s[hot] & 3
-    k, c, s, of = k[several], c[several], s[several], of[several]
-    a, b, j = [], [], 1
-    idx = np.arange(len(k))
-    while len(idx):
-        idx = idx[idx + j < len(k)]
-        idx = idx[k[idx] == k[idx + j]]
-        left, right = s[idx], s[idx + j]
-        crossed = ((left & LEFT) & ((right & RIGHT) >> 1)) | (((left & RIGHT) >> 1) & (right & LEFT))
-        hit = idx[crossed.astype(bool) & (np.minimum(left, right) // 4 >= overlap * (np.maximum(left, right) // 4))]
-        a.append(c[hit])
-        b.append(c[hit + j])
-        j += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate(a) if a else none, np.concatenate(b) if b else none, hc, hs
+    return k[at], c[at], np.bitwise_or.reduceat(s, at) if len(at) else s
 
 
-def run_pairs(buckets: DataFrame, overlap: float) -> DataFrame:
-    """(a, b, side): candidate pairs a < b with side 0; a class of a bucket over RUN as (a, a, its side)."""
+def shared_buckets(parsed: DataFrame, signature: Signature) -> DataFrame:
+    """(bucket, class, meta), cut: the buckets that hold several classes, and both sides."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rest, hot = empty, None
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bags = b.column(2)
+                keys = signature(bags.flatten().to_numpy(zero_copy_only=False).view(U), bags.offsets.to_numpy()[:-1] - bags.offsets[0].as_py())
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([_i64(keys.ravel()), *(pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), n)) for i in (0, 1))], ["bucket", "class", "meta"])
 
-        def out(k, c, s):
-            a, b, hc, hs = _runs(k, c, s, overlap)
-            p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0], hc])), pa.array(np.concatenate([p[1], hc])), pa.array(np.concatenate([np.zeros(p.shape[1], np.int64), hs]))], ["a", "b", "side"])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, passed = tuple(np.zeros(0, np.int64) for _ in range(3)), None
+
+        def out(k, c, s, ok):
+            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (k, c, s)], ["bucket", "class", "meta"])
+
+        def good(k, c, s):
+            head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            size = np.diff(np.append(head, len(k)))
+            return np.repeat((size > 1) & (np.bitwise_or.reduceat(s, head) & 3 == LEFT | RIGHT), size)
 
         for batch in batches:
-            k, c, s = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
-            if hot is not None:  # a run already known to be over RUN is passed on as it comes
-                same = k == hot
-                if same.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(c[same]), pa.array(c[same]), pa.array(s[same] & 3)], ["a", "b", "side"])
-                k, c, s = k[~same], c[~same], s[~same]
-                if not len(k):
-                    rest = empty
-                    continue
-                hot = None
-            cutoff = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            tail = (k[cutoff:], c[cutoff:], s[cutoff:])
-            if cutoff:
-                yield out(k[:cutoff], c[:cutoff], s[:cutoff])
-            if len(tail[0]) > RUN and len(np.unique(tail[1])) > RUN:
-                hot = tail[0][0]
-                yield pa.RecordBatch.from_arrays([pa.array(tail[1]), pa.array(tail[1]), pa.array(tail[2] & 3)], ["a", "b", "side"])
-                tail = empty
-            elif len(tail[0]) > RUN:  # many rows of few classes
-                u, inv = np.unique(tail[1], return_inverse=True)
-                sides = np.zeros(len(u), np.int64)
-                np.bitwise_or.at(sides, inv, tail[2])
-                tail = (np.full(len(u), tail[0][0]), u, sides)
-            rest = tail
+            if not batch.num_rows:
+                continue
+            k, c, s = _merged(*(np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)))
+            at = int(np.searchsorted(k, k[-1]))
+            done, rest = (k[:at], c[:at], s[:at]), (k[at:], c[at:], s[at:])
+            if at:
+                yield out(*done, good(*done) | (done[0] == passed if passed is not None else False))
+            if len(rest[0]) > RUN or rest[0][0] == passed:  # a long run goes on as it comes, but for the class that may go on
+                passed = int(rest[0][0])
+                yield out(*rest, np.arange(len(rest[0])) < len(rest[0]) - 1)
+                rest = tuple(x[-1:] for x in rest)
         if len(rest[0]):
-            yield out(*rest)
+            yield out(*rest, good(*rest) | (rest[0] == passed if passed is not None else False))
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, "a bigint, b bigint, side bigint")
+    signed = parsed.where("whole").select("class", "meta", "bag").mapInArrow(sign, "bucket bigint, class bigint, meta bigint")
+    return cut(signed.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(keep, "bucket bigint, class bigint, meta bigint"))
 
 
-def bag_rows(rows: DataFrame, text: str) -> DataFrame:
-    """(class bigint, bag array<bigint>): one row for each class."""
+def _joinable(s: np.ndarray, t: np.ndarray, overlap: float) -> np.ndarray:
+    """Whether classes of these metas stand on two sides and are near enough in size."""
+    crossed = ((s & LEFT) & ((t & RIGHT) >> 1)) | (((s & RIGHT) >> 1) & (t & LEFT))
+    return crossed.astype(bool) & (np.minimum(s, t) // 4 >= overlap * (np.maximum(s, t) // 4))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = PieceHash(), set()
-        for b in batches:
-            e, starts, who = elements(b.column(0).to_pylist(), pieces)
-            if not len(starts):
-                continue
-            ids = class_ids(e, starts)
-            ends = np.append(starts[1:], len(e))
-            new = []
-            for k, x in enumerate(ids.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(k)
-            if not new:
-                continue
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(e)).astype(np.int32)), _i64(e)).take(pa.array(new))
-            yield pa.RecordBatch.from_arrays([_i64(ids[new]), lists], ["class", "bag"])
-
-    return rows.select(F.col(text).alias("t")).where("t is not null").mapInArrow(run, "class bigint, bag array<bigint>").dropDuplicates(["class"])
 
+def _runs(k: np.ndarray, c: np.ndarray, s: np.ndarray, g: np.ndarray, overlap: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes within runs of equal keys; input sorted by (key, class), each class once a key. Classes of one
+    group g are no pair. thin: only each class with the first of its run and with the one before it."""
+    a, b = [], []
+    idx = np.arange(len(k))
+    if thin:
+        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else idx
+        first = np.repeat(head, np.diff(np.append(head, len(k))))
+        steps = [(first, idx), (np.maximum(idx - 1, first), idx)]
+    else:
+        steps, j = [], 1
+        while len(idx):
+            idx = idx[idx + j < len(k)]
+            idx = idx[k[idx] == k[idx + j]]
+            steps.append((idx, idx + j))
+            j += 1
+    for x, y in steps:
+        ok = (c[x] != c[y]) & _joinable(s[x], s[y], overlap)
+        ok &= (g[x] != g[y]) | (g[x] == 0)
+        a.append(c[x[ok]])
+        b.append(c[y[ok]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none
 
-def member_rows(rows: DataFrame, key: str, text: str, side: Column) -> DataFrame:
-    """(key bigint, class bigint, side tinyint) of every text that takes part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceHash()
-        for b in batches:
-            e, starts, who = elements(b.column(1).to_pylist(), pieces)
-            if len(starts):
-                pick = pa.array(who)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), _i64(class_ids(e, starts)), b.column(2).take(pick)], ["key", "class", "side"])
+def run_pairs(buckets: DataFrame, overlap: float, thin: bool = False) -> DataFrame:
+    """(a, b, meta): candidate pairs a < b with meta 0; a class of a bucket over RUN as (a, a, its meta), unless thin.
 
-    return rows.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), side.cast("tinyint").alias("s")).where("t is not null and s > 0").mapInArrow(run, "key bigint, class bigint, side tinyint")
+    buckets (bucket, class, meta, g): g is a group within which no pair is asked for, 0 for none. A long run is never
+    held: it is passed on as it comes, and with thin only its first and last class are kept.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot = tuple(np.zeros(0, np.int64) for _ in range(4)), None
+
+        def out(k, c, s, g, passed=None):
+            hc, hm = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if not thin and len(k):
+                head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                size = np.diff(np.append(head, len(k)))
+                long = np.repeat(size, size) > RUN
+                if passed is not None:
+                    long |= k == passed
+                hc, hm, k, c, s, g = c[long], s[long], k[~long], c[~long], s[~long], g[~long]
+            a, b = _runs(k, c, s, g, overlap, thin)
+            p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0], hc])), pa.array(np.concatenate([p[1], hc])), pa.array(np.concatenate([np.zeros(p.shape[1], np.int64), hm]))], ["a", "b", "meta"])
 
-def prefix_pairs(bags: DataFrame, overlap: float) -> DataFrame:
-    """(a, b): all pairs of classes (class, side, bag) that may reach the overlap. Exact.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, c, s, g = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
+            at = int(np.searchsorted(k, k[-1]))
+            if thin and len(k) - at > RUN:
+                yield out(k, c, s, g)
+                edge = np.array([at, len(k) - 1])
+                rest = (k[edge], c[edge], s[edge], g[edge])
+                continue
+            if at:
+                yield out(k[:at], c[:at], s[:at], g[:at], hot)
+            rest = (k[at:], c[at:], s[at:], g[at:])
+            if not thin and (len(rest[0]) > RUN or rest[0][0] == hot):
+                hot = int(rest[0][0])
+                yield out(*rest, hot)
+                rest = tuple(np.zeros(0, np.int64) for _ in range(4))
+        if len(rest[0]):
+            yield out(*rest, hot)
+
+    return buckets.select("bucket", "class", "meta", "g").repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, "a bigint, b bigint, meta bigint")
+
+
+def _block_pairs(c: np.ndarray, s: np.ndarray, g: np.ndarray, own: np.ndarray, diagonal: bool, lower: pa.ListArray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the classes of one block pair that share no element of lower rank, so that each pair comes up once."""
+    flat, off = lower.flatten().to_numpy(zero_copy_only=False), lower.offsets.to_numpy()
+    of = np.repeat(np.arange(len(c)), np.diff(off))
+    _, inv, n = np.unique(flat, return_inverse=True, return_counts=True)
+    often = n > 1
+    column = np.cumsum(often) - 1
+    keep = often[inv]
+    of, inv, width = of[keep], column[inv[keep]], int(often.sum())
+    a, b = [], []
+    for top in range(0, len(c), 512):
+        rows = np.arange(top, min(top + 512, len(c)))
+        before = np.zeros((len(rows), len(c)), np.float32)
+        for left in range(0, width, 4096):
+            m = np.zeros((len(c), min(4096, width - left)), np.float32)
+            some = (inv >= left) & (inv < left + 4096)
+            m[of[some], inv[some] - left] = 1
+            before += m[rows] @ m.T
+        x, y = np.nonzero((before == 0) & (rows[:, None] < np.arange(len(c))[None, :]))
+        x = rows[x]
+        ok = (c[x] != c[y]) & _joinable(s[x], s[y], overlap) & ((g[x] != g[y]) | (g[x] == 0))
+        if not diagonal:
+            ok &= own[x] != own[y]
+        a.append(c[x[ok]])
+        b.append(c[y[ok]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def hot_pairs(hot: DataFrame, overlap: float) -> DataFrame:
+    """(a, b), a < b: all pairs of classes (class, meta, g, bag) that may reach the overlap, each once. Exact.
 
     Two bags with that overlap share one of the n - ceil(overlap * n) + 1 rarest elements of each, in any order that is
-    the same for all; ordering by frequency keeps the shared keys rare, so no bucket is large unless texts are alike.
+    the same for all; ordering by frequency keeps the shared keys rare. The classes of an element that many share are cut
+    into blocks of about RUN, and each pair of blocks is a key of its own, so no task gets them all; a pair counts only
+    at the first element that both prefixes share. Elements whose classes are all of one group g are left out.
     """
-    each = bags.select("class", "side", F.size("bag").alias("n"), F.explode("bag").alias("e"))
-    df = each.groupBy("e").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "e").groupBy("class", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("r"))
-    short = ranked.select("class", "side", F.explode(F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * overlap) + 1).cast("int"))).alias("x")).select("class", "side", F.col("x.e").alias("e"))
-    x, y = short.alias("x"), short.alias("y")
-    crossed = (F.col("x.side").bitwiseAND(LEFT) > 0) & (F.col("y.side").bitwiseAND(RIGHT) > 0) | (F.col("x.side").bitwiseAND(RIGHT) > 0) & (F.col("y.side").bitwiseAND(LEFT) > 0)
-    return x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.class") < F.col("y.class")) & crossed).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    each = hot.select("class", "meta", "g", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    df = cut(each.groupBy("e").agg(F.count("*").alias("df")))
+    total = df.agg(F.sum("df")).first()[0] or 0
+    ranked = join_by_size(each, df, ["e"], "df", total).groupBy("class").agg(F.first("meta").alias("meta"), F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("r"))
+    prefix = F.transform(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * overlap) + 1).cast("int")), lambda x: x["e"])
+    short = cut(ranked.select("class", "meta", "g", prefix.alias("p")))
+    keyed = short.select("class", "meta", "g", "p", F.posexplode("p").alias("at", "e")).select("class", "meta", "g", "e", F.slice("p", F.lit(1), F.col("at")).alias("lower"))
+    split = (F.min("g") != F.max("g")) | (F.min("g") == 0)
+    sizes = cut(short.select("class", "g", F.explode("p").alias("e")).groupBy("e").agg(F.count("*").alias("f"), split.alias("split")).where("f > 1 and split").select("e", "f", F.ceil(F.col("f") / RUN).cast("bigint").alias("blocks")))
+    total = sizes.agg(F.sum("f")).first()[0] or 0
+    blocks = join_by_size(keyed, sizes, ["e"], "f", total).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    spread = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = spread.select(F.xxhash64("e", F.least("own", "j"), F.greatest("own", "j")).alias("k"), "class", "meta", "g", "own", (F.col("own") == F.col("j")).alias("diagonal"), "lower")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            k = t.column("k").to_numpy()
+            head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(head.tolist(), np.append(head[1:], len(k)).tolist(), strict=True):
+                if j - i > 1:
+                    part = t.slice(i, j - i).combine_chunks()
+                    c, s, g, own = (part.column(x).to_numpy() for x in ("class", "meta", "g", "own"))
+                    diagonal = bool(part.column("diagonal")[0].as_py())
+                    lower = pa.concat_arrays(part.column("lower").chunks)
+                    x, y = _block_pairs(c, s, g, own, diagonal, lower, overlap)
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-def class_pairs(rows: DataFrame, text: str, side: Column, signature: Signature, overlap: float = OVERLAP) -> DataFrame:
-    """(a, b, overlap): pairs of different classes, one with a LEFT and one with a RIGHT row, of at least that overlap."""
-    found = cut(run_pairs(bucket_rows(rows, text, side, signature), overlap).groupBy("a", "b").agg(F.bit_or("side").alias("side")))
-    bags = bag_rows(rows, text)
-    pairs = found.where("a <> b").select("a", "b")
-    hot = found.where("a = b").select(F.col("a").alias("class"), "side")
-    if not hot.isEmpty():
-        pairs = pairs.union(prefix_pairs(bags.join(hot, "class"), overlap)).distinct()
-    left, right = bags.select(F.col("class").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("class").alias("b"), F.col("bag").alias("bag_b"))
-    both = pairs.join(left, "a").join(right, "b")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            k = t.column("k").to_numpy()
+            at = int(np.searchsorted(k, k[-1]))
+            if at:
+                yield out(t.slice(0, at))
+            rest = t.slice(at)
+        if rest is not None:
+            yield out(rest)
+
+    return rows.repartition("k").sortWithinPartitions("k", "class").mapInArrow(run, "a bigint, b bigint")
+
+
+def candidates(parsed: DataFrame, buckets: DataFrame, overlap: float) -> DataFrame:
+    """(a, b), cut: candidate pairs of the buckets (bucket, class, meta, g), each once."""
+    found = cut(run_pairs(buckets, overlap).groupBy("a", "b").agg(F.bit_or("meta").alias("meta")))
+    pairs, hot = found.where("a <> b").select("a", "b"), found.where("a = b")
+    if hot.isEmpty():
+        return pairs
+    of = hot.select(F.col("a").alias("class"), "meta").join(buckets.groupBy("class").agg(F.first("g").alias("g")), "class")
+    return cut(pairs.union(hot_pairs(cut(bags_of(parsed, of)), overlap)).distinct())
+
+
+def verify(parsed: DataFrame, pairs: DataFrame, overlap: float) -> DataFrame:
+    """(a, b, overlap), cut: the pairs of at least that overlap. Only bags of their classes are moved; a class of very
+    many pairs is spread by join_by_size."""
+    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n")))
+    total = degree.agg(F.sum("n")).first()[0] or 0
+    bags = bags_of(parsed, degree)
+    if not degree.where(F.col("n") > 1000).isEmpty():
+        bags = cut(bags)
+    side = lambda x: bags.select(F.col("class").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("n").alias("n"))
+    left = join_by_size(pairs, side("a"), ["a"], "n", total // 2).drop("n")
+    both = join_by_size(left, side("b"), ["b"], "n", total // 2).drop("n")
     share = F.size(F.array_intersect("bag_a", "bag_b")) / F.greatest(F.size("bag_a"), F.size("bag_b"))
-    return both.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= overlap)
+    return cut(both.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= overlap))
+
+
+def class_pairs(parsed: DataFrame, signature: Signature, overlap: float = OVERLAP) -> DataFrame:
+    """(a, b, overlap): pairs of different classes, one with a LEFT and one with a RIGHT row, of at least that overlap."""
+    buckets = shared_buckets(parsed, signature).withColumn("g", F.lit(0).cast("bigint"))
+    return verify(parsed, candidates(parsed, buckets, overlap), overlap)
 
 
 def row_pairs(members: DataFrame, verified: DataFrame) -> DataFrame:
-    """(key_a, key_b), smaller key first: all pairs of a LEFT and a RIGHT row of one class or of two verified classes."""
-    links = verified.select("a", "b").union(members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
-    x = members.select(F.col("class").alias("a"), F.col("key").alias("ka"), F.col("side").alias("sa"))
-    y = members.select(F.col("class").alias("b"), F.col("key").alias("kb"), F.col("side").alias("sb"))
-    crossed = (F.col("sa").bitwiseAND(LEFT) > 0) & (F.col("sb").bitwiseAND(RIGHT) > 0) | (F.col("sa").bitwiseAND(RIGHT) > 0) & (F.col("sb").bitwiseAND(LEFT) > 0)
-    both = links.join(x, "a").join(y, "b").where(crossed & ((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb"))))
-    return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    """(key_a, key_b), smaller key first: all pairs of a LEFT and a RIGHT row of one class or of two verified classes.
+
+    Rows of a class are gathered in blocks of about BLOCK keys, and links meet blocks, so that neither a class that holds
+    a third of all rows nor one with very many links is unfolded in one task.
+    """
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    ends = verified.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
+    known = cut(sizes.join(ends, "class", "left").where("n > 1 or degree is not null").select("class", "n", (F.coalesce("degree", F.lit(0)) + 1).alias("degree")))
+    top = known.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("degree").alias("degree")).first()
+    parts = -(-(top["most"] or 1) // BLOCK)
+    own = join_by_size(members, known, ["class"], "n", top["n"] or 0)
+    blocks = own.groupBy("class", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("key", "side")).alias("ks"), F.first("degree").alias("degree"))
+    if parts > 1 or not known.where("degree > 1000").isEmpty():
+        blocks = cut(blocks)
+    links = verified.select("a", "b").union(known.where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    side = lambda x: blocks.select(F.col("class").alias(x), F.col("block").alias(f"block_{x}"), F.col("ks").alias(f"ks_{x}"), "degree")
+    left = join_by_size(links, side("a"), ["a"], "degree", top["degree"] or 0).drop("degree")
+    both = join_by_size(left, side("b"), ["b"], "degree", top["degree"] or 0).drop("degree").where("a <> b or block_a <= block_b")
+    if parts > 1:
+        both = both.repartition("a", "b", "block_a", "block_b")
+    each = both.select("a", "b", F.col("block_a") == F.col("block_b"), F.explode("ks_a").alias("x"), "ks_b").toDF("a", "b", "same", "x", "ks_b").select("a", "b", "same", "x", F.explode("ks_b").alias("y"))
+    sa, sb = F.col("x.side"), F.col("y.side")
+    crossed = (sa.bitwiseAND(LEFT) > 0) & (sb.bitwiseAND(RIGHT) > 0) | (sa.bitwiseAND(RIGHT) > 0) & (sb.bitwiseAND(LEFT) > 0)
+    once = (F.col("a") != F.col("b")) | ~F.col("same") | (F.col("x.key") < F.col("y.key"))
+    return each.where(crossed & once).select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))

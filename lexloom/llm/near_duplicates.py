@@ -8,16 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.bags import LEFT, OVERLAP, RIGHT, class_pairs, member_rows, min_hashes, row_pairs
+from lexloom.llm.bags import LEFT, OVERLAP, RIGHT, candidates, class_pairs, members_of, min_hashes, parse, row_pairs, run_pairs, shared_buckets, verify
 from lexloom.llm.words import U, mix
 from lexloom.operators.components import connected_components
-from lexloom.session import table
+from lexloom.operators.skew import join_by_size
+from lexloom.session import cut, table
 
 #: Fingerprints of a text, their symbols, and the symbols that a variant drops. Two fingerprints that differ in at most
 #: DROPPED of SYMBOLS symbols lie within 2 * DROPPED deletions and insertions of each other; each emits every variant
 #: within half of that, DROPPED deletions, and both meet at what they share. Symbols are minima over the text's pairs of
 #: neighbouring words, so texts of Jaccard similarity j agree in a symbol with probability j. At overlap 0.6
-#: (j >= 0.43) a fingerprint meets with probability 0.58 and one of six does with 0.994; at 0.65 that is 0.998.
+#: (j >= 0.43) a fingerprint meets with probability 0.58 and one of six does with 0.994; at 0.65 that is 0.998. A ball of two dropped symbols of four is
+#: the same as 36 bands of two minima, of which those of one fingerprint depend on each other.
 FINGERPRINTS, SYMBOLS, DROPPED = 6, 4, 2
 
 
@@ -41,33 +43,46 @@ def unit_texts(units: DataFrame) -> DataFrame:
 
 
 
-
-def near_duplicate_classes(rows: DataFrame, text: str, overlap: float = OVERLAP) -> DataFrame:
-    """(a, b, overlap): pairs of classes of texts (see bags), each pair once.
-
-    Null, empty and short texts (under 20 words) take no part; copies are one class; extra columns are ignored.
-    """
-    return class_pairs(rows, text, F.lit(LEFT | RIGHT), ball, overlap)
+def _parsed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return parse(rows, key, text, F.lit(LEFT | RIGHT))
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str, text: str, overlap: float = OVERLAP) -> DataFrame:
-    """(key_a, key_b): all pairs of rows of at least that overlap, copies included, smaller key first."""
-    return row_pairs(member_rows(rows, key, text, F.lit(LEFT | RIGHT)), near_duplicate_classes(rows, text, overlap))
+    """(key_a, key_b): all pairs of rows of at least that overlap, copies included, smaller key first.
+
+    Null keys, null, empty and short texts (under 20 words) take no part; repeated rows are pairs; extra columns are
+    ignored; an empty table gives an empty one.
+    """
+    parsed = _parsed(rows, key, text)
+    return row_pairs(members_of(parsed), class_pairs(parsed, ball, overlap))
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, overlap: float = OVERLAP) -> DataFrame:
-    """(key, group_key, links): every row that takes part with the smallest key of its group, and the number of other
-    classes that its text is near to. Copies are not unfolded into pairs. A row near to no other is a group of its own.
+    """(key, group_key, size): every row that takes part with the smallest key of its group, and the group's rows. A row
+    near to no other is a group of its own.
+
+    Not all pairs of a group are verified: first each class of a bucket meets only the first of the bucket and the one
+    before it, which is linear in the bucket and joins the bulk of every cluster; then all candidate pairs that the
+    groups so far leave apart are verified, those within a group never come up. So no link between groups is lost,
+    and a cluster of n edited copies costs about n verifications, not n * n / 2.
     """
-    members = member_rows(rows, key, text, F.lit(LEFT | RIGHT))
-    links = near_duplicate_classes(rows, text, overlap).select("a", "b")
-    classes = members.groupBy("class").agg(F.min("key").alias("rep"))
-    by_rep = links.join(classes.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b")
-    roots = connected_components(by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    degree = by_rep.select(F.col("ra").alias("rep")).union(by_rep.select(F.col("rb").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    of = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    of = of.select("class", F.coalesce("root", "rep").alias("group_key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return members.join(of, "class").select("key", "group_key", "links")
+    parsed = _parsed(rows, key, text)
+    buckets = shared_buckets(parsed, ball)
+    plain = buckets.withColumn("g", F.lit(0).cast("bigint"))
+    thin = cut(run_pairs(plain, overlap, thin=True).select("a", "b").distinct())
+    links = verify(parsed, thin, overlap).select("a", "b")
+    roots = cut(connected_components(links)).select(F.col("node").alias("class"), "root")
+    grouped = buckets.join(roots, "class", "left").select("bucket", "class", "meta", F.coalesce("root", "class").alias("g"))
+    apart = grouped.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("bucket")
+    rest = candidates(parsed, cut(grouped.join(apart, "bucket")), overlap).join(thin, ["a", "b"], "left_anti")
+    more = verify(parsed, rest, overlap).select("a", "b")
+    if not more.isEmpty():
+        roots = cut(connected_components(links.union(more))).select(F.col("node").alias("class"), "root")
+    classes = cut(members_of(parsed).groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("n")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    groups = classes.groupBy("root").agg(F.min("least").alias("group_key"), F.sum("n").alias("size"))
+    of = cut(classes.join(groups, "root").select("class", "n", "group_key", "size"))
+    total = of.agg(F.sum("n")).first()[0] or 0
+    return join_by_size(members_of(parsed), of, ["class"], "n", total).select("key", "group_key", "size")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +90,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit; one whose text takes no part (null or short) is a group of its own with 0 links."""
+    """Every unit with its group and the group's size; one whose text takes no part (null or short) is a group of its own."""
     units = unit_texts(table(spark, sf_dir, "liturgical_units").select("unit_key", "lines", "raw_text"))
     groups = near_duplicate_groups(units, "unit_key", "_text").withColumnRenamed("key", "unit_key")
     each = units.select("unit_key").join(groups, "unit_key", "left")
-    return each.select("unit_key", F.coalesce("group_key", "unit_key").alias("group_key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return each.select("unit_key", F.coalesce("group_key", "unit_key").alias("group_key"), F.coalesce("size", F.lit(1)).cast("bigint").alias("size"))

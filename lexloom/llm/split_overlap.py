@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.bags import LEFT, OVERLAP, RIGHT, class_pairs, member_rows, min_hashes, row_pairs
+from lexloom.llm.bags import LEFT, OVERLAP, RIGHT, class_pairs, members_of, min_hashes, parse, row_pairs
 from lexloom.llm.near_duplicates import unit_texts
 from lexloom.llm.words import U, mix
 from lexloom.session import table
@@ -33,18 +33,27 @@ def split_side(split: str) -> Column:
 def cross_split_pairs(rows: DataFrame, key: str, text: str, split: str, overlap: float = OVERLAP) -> DataFrame:
     """(key_a, key_b), smaller key first: pairs of a train and a validation or test row of at least that overlap.
 
-    Copies are pairs. Null texts, null splits and texts under 20 words take no part. Only buckets with rows of both
-    sides give candidates, and only those pairs are verified.
+    Copies are pairs. Null keys, null texts, null splits and texts under 20 words take no part. Only buckets with rows of
+    both sides give candidates, and only those pairs are verified. An empty table gives an empty one.
     """
-    side = split_side(split)
-    return row_pairs(member_rows(rows, key, text, side), class_pairs(rows, text, side, bands, overlap))
+    parsed = parse(rows, key, text, split_side(split))
+    return row_pairs(members_of(parsed), class_pairs(parsed, bands, overlap))
 
 
-def overlap_report(pairs: DataFrame, rows: DataFrame, key: str, split: str, by: str) -> DataFrame:
-    """(split, by, n_pairs, n_records): pairs and records of validation and test that also stand in train."""
-    held = rows.select(F.col(key).alias("_k"), F.col(split).alias("split"), F.col(by).alias("by")).where("split in ('validation', 'test')")
-    either = pairs.select(F.col("key_a").alias("_k")).union(pairs.select(F.col("key_b").alias("_k"))).groupBy("_k").agg(F.count("*").alias("n"))
-    return held.join(either, "_k").groupBy("split", "by").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"))
+def overlap_report(rows: DataFrame, key: str, text: str, split: str, by: str, overlap: float = OVERLAP) -> DataFrame:
+    """(split, by, n_pairs, n_records): pairs and records of validation and test that also stand in train.
+
+    Pairs are counted by class, without unfolding them: a record of a class has as many as its own and all linked
+    classes have train rows.
+    """
+    parsed = parse(rows, key, text, split_side(split))
+    links, members = class_pairs(parsed, bands, overlap).select("a", "b"), members_of(parsed)
+    train = members.where(F.col("side") == LEFT).groupBy("class").agg(F.count("*").alias("n"))
+    either = links.union(links.select("b", "a")).union(train.select("class", "class"))
+    partners = either.toDF("class", "other").join(train.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n").alias("n"))
+    held = rows.select(F.col(key).cast("bigint").alias("key"), F.col(split).alias("split"), F.col(by).alias("by")).where("split in ('validation', 'test')")
+    counts = held.join(members.where(F.col("side") == RIGHT).select("key", "class"), "key").groupBy("class", "split", "by").agg(F.count("*").alias("records"))
+    return counts.join(partners, "class").groupBy("split", "by").agg(F.sum(F.col("n") * F.col("records")).alias("n_pairs"), F.sum("records").alias("n_records"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str, str]]:
@@ -60,5 +69,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by split and source, for units by split and unit type."""
-    a, b = (overlap_report(cross_split_pairs(rows, key, text, "split"), rows, key, "split", by).select(F.lit(tab).alias("tab"), "split", F.col("by").alias("source"), "n_pairs", "n_records") for tab, rows, key, text, by in _both(spark, sf_dir))
+    a, b = (overlap_report(rows, key, text, "split", by).select(F.lit(tab).alias("tab"), "split", F.col("by").alias("source"), "n_pairs", "n_records") for tab, rows, key, text, by in _both(spark, sf_dir))
     return a.union(b)

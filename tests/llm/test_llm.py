@@ -82,11 +82,53 @@ def test_common_formula(spark):
     assert got <= crossed and len(got) >= 0.98 * len(crossed)
 
 
-def test_groups(spark, texts):
+def components(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        p, q = find(x), find(y)
+        parent[max(p, q)] = min(p, q)
+    return find
+
+
+@pytest.mark.parametrize("run", [bags.RUN, 2])
+def test_groups(spark, texts, run, monkeypatch):
+    monkeypatch.setattr(bags, "RUN", run)
     df, rows = texts
-    got = {r["key"]: r["group_key"] for r in near_duplicates.near_duplicate_groups(df, "k", "t").collect()}
-    assert set(got) == {r[0] for r in rows if len(words_of(r[1])) >= 20}
-    assert all(got[a] == got[b] for a, b in want_pairs(rows, False)) and all(v <= k for k, v in got.items())
+    got = {r["key"]: (r["group_key"], r["size"]) for r in near_duplicates.near_duplicate_groups(df, "k", "t").collect()}
+    find, keys = components(want_pairs(rows, False)), [r[0] for r in rows if len(words_of(r[1])) >= 20]
+    sizes = collections.Counter(map(find, keys))
+    assert got == {k: (find(k), sizes[find(k)]) for k in keys}
+    assert near_duplicates.near_duplicate_groups(df.where("false"), "k", "t").count() == 0
+
+
+def test_hot_class_and_cluster(spark, monkeypatch):
+    """A text that a third of the rows share, and a cluster of edited copies: no key holds them all."""
+    monkeypatch.setattr(bags, "RUN", 20)
+    monkeypatch.setattr(bags, "BLOCK", 16)
+    rnd, vocab = random.Random(9), [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocab) for _ in range(40)]
+    rows = [(i, " ".join(base), ["train", "test"][i % 2]) for i in range(60)]
+    for i in range(60, 120):
+        ws = list(base)
+        ws[rnd.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(ws), ["train", "test"][i % 2]))
+    rows += [(i, " ".join(rnd.choice(vocab) for _ in range(40)), "train") for i in range(120, 180)]
+    df = spark.createDataFrame(rows, "k bigint, t string, split string")
+    want = want_pairs(rows, False)
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "k", "t").collect()]
+    assert set(got) == want and len(got) == len(want) > 7000
+    got = [tuple(r) for r in split_overlap.cross_split_pairs(df, "k", "t", "split").collect()]
+    assert set(got) == want_pairs(rows, True) and len(got) == len(set(got))
+    groups = {r["key"]: r["group_key"] for r in near_duplicates.near_duplicate_groups(df, "k", "t").collect()}
+    assert all(groups[k] == 0 for k in range(120)) and len(set(groups.values())) == 61
+    report = split_overlap.overlap_report(df.withColumn("src", F.lit("s")), "k", "t", "split", "src").collect()
+    assert [tuple(r) for r in report] == [("test", "s", len(got), 60)]
 
 
 def test_groups_of_all_units(spark, tmp_path):
@@ -94,15 +136,19 @@ def test_groups_of_all_units(spark, tmp_path):
     units = [(1, ["amen"], None), (2, ["amen"], None), (3, None, long), (4, [long], None), (5, None, "")]
     spark.createDataFrame(units, "unit_key bigint, lines array<string>, raw_text string").write.parquet(f"{tmp_path}/liturgical_units.parquet")
     got = {tuple(r) for r in near_duplicates.p6_groups(spark, str(tmp_path)).collect()}
-    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0)}
+    assert got == {(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 2), (5, 5, 1)}
 
 
-def test_prefix_pairs_exact(spark, texts):
+@pytest.mark.parametrize("run", [bags.RUN, 3])
+def test_hot_pairs_exact(spark, texts, run, monkeypatch):
+    monkeypatch.setattr(bags, "RUN", run)
     df, rows = texts
-    b = bags.bag_rows(df, "t").withColumn("side", F.lit(3))
+    parsed = bags.parse(df, "k", "t", F.lit(3))
+    b = bags.bags_of(parsed, parsed.where("whole").groupBy("class").agg(F.bit_or("meta").alias("meta"))).withColumn("g", F.lit(0).cast("bigint"))
     ids = {r["class"]: r["bag"] for r in b.collect()}
     want = {(x, y) for x in ids for y in ids if x < y and len(set(ids[x]) & set(ids[y])) / max(len(ids[x]), len(ids[y])) >= 0.6}
-    assert want <= {tuple(r) for r in bags.prefix_pairs(b, 0.6).collect()}
+    got = [tuple(r) for r in bags.hot_pairs(b, 0.6).collect()]
+    assert want <= set(got) and len(got) == len(set(got))
 
 
 def test_cross_split(spark, texts):
@@ -112,10 +158,14 @@ def test_cross_split(spark, texts):
     assert split_overlap.cross_split_pairs(df.where("false"), "k", "t", "split").count() == 0
 
 
-def test_runs_over_batches():
+def test_runs():
     k, c = np.repeat(np.arange(50), 3), np.tile(np.arange(3), 50)
-    a, b, hot, _ = bags._runs(k, c, np.full(150, 3 + 4 * 30), 0.6)
-    assert len(a) == 150 and not len(hot) and set(zip(a.tolist(), b.tolist())) == {(0, 1), (0, 2), (1, 2)}
+    s, g = np.full(150, 3 + 4 * 30), np.zeros(150, np.int64)
+    a, b = bags._runs(k, c, s, g, 0.6, False)
+    assert len(a) == 150 and set(zip(a.tolist(), b.tolist())) == {(0, 1), (0, 2), (1, 2)}
+    a, b = bags._runs(k, c, s, np.where(c < 2, 7, 8), 0.6, False)
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2)}
+    assert len(bags._runs(k[:0], c[:0], s[:0], g[:0], 0.6, True)[0]) == 0
 
 
 def test_term_counts(spark, texts, monkeypatch):
