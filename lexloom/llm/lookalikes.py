@@ -33,8 +33,9 @@ OWN_SIGNS = "℃℉№℠™℡℻℀℁℅℆Ω"
 UNUSUAL = r"[^\t\n\r\x20-\x7E¡-¬®-İĲ-žƀ-ɏḀ-ỿ‐-‧‰-⁞]"
 #: Letters that one look-alike may stand for share a class, so that a term and all its readings have one route.
 READINGS = str.maketrans({"v": "u", "l": "i"})
-#: Vocabulary words in one trie.
-TRIE_WORDS = 50_000
+#: The automaton's budget of edits, for terms of at least so many letters; the routes hold for one edit.
+BUDGET, LEAST_LETTERS = 1, 4
+_ODD, _CONTROL, _SPACES = re.compile(UNUSUAL), re.compile("[\x00-\x08\x0e-\x1b\x7f]"), re.compile(r"[^\S \t\n\r]")
 
 
 @lru_cache(maxsize=65536)
@@ -104,153 +105,225 @@ class VocabularyTrie:
             at = at.setdefault(ch, {})
         at[""] = (records, word)
 
-    def canonical(self, term: str, budget: int = 0) -> str | None:
-        """The word that the term can be read as at the least cost up to budget, then of most records, then the first.
+    def canonical(self, term: str, budget: int = 0) -> tuple[int, int, int, str, str] | None:
+        """(cost, -records, rank, word, reading) of the vocabulary word that the term can be read as at the least cost up
+        to budget, then of most records, then with the likeliest readings.
 
         A weighted edit automaton runs down the trie: a character matches any of its readings, and one that isn't seen
-        matches nothing, at no cost; replacing, dropping or adding a letter costs 1.
+        matches nothing, at no cost (rank counts how unlikely the readings are); replacing, dropping or adding a letter
+        costs 1. reading is the term in the letters that the way through the trie chose: it is the word itself at cost
+        0; beyond that the word only decides between readings, and no other letter of the term is changed.
         """
         parts = [r for r, _ in slots(term)]
-        states, best = {(id(self.root), 0): (0, self.root)}, None
+        states, best = {(id(self.root), 0): (0, 0, "", self.root)}, None
         for i in range(len(parts) + 1):
             reached: dict = {}
             todo = list(states.values())
             while todo:
-                cost, node = todo.pop()
-                if i == len(parts) and "" in node:
-                    found = (cost, -node[""][0], node[""][1])
-                    best = found if best is None or found < best else best
-                if cost < budget:
+                cost, rank, read, node = todo.pop()
+                if cost < budget:  # a letter that the term lacks
                     for ch, kid in node.items():
-                        if ch and (id(kid), i) not in states:
-                            states[id(kid), i] = (cost + 1, kid)
-                            todo.append((cost + 1, kid))
+                        if ch and ((key := (id(kid), i)) not in states or (cost + 1, rank, read) < states[key][:3]):
+                            states[key] = (cost + 1, rank, read, kid)
+                            todo.append(states[key])
                 if i == len(parts):
+                    if "" in node:
+                        found = (cost, -node[""][0], rank, node[""][1], read)
+                        best = found if best is None or found < best else best
                     continue
-                ways = [(cost, self._walk(node, r)) for r in parts[i]]
-                if cost < budget:
-                    ways += [(cost + 1, node)] + [(cost + 1, kid) for ch, kid in node.items() if ch]
-                for c, kid in ways:
-                    if kid is not None and ((id(kid), i + 1) not in reached or c < reached[id(kid), i + 1][0]):
-                        reached[id(kid), i + 1] = (c, kid)
+                ways = []
+                for k, r in enumerate(parts[i]):
+                    plain = r.lower()
+                    if (kid := self._walk(node, plain)) is not None:
+                        ways.append((cost, rank + k, read + plain, kid))
+                    if cost < budget:
+                        ways += [(cost + 1, rank + k, read + plain, kid) for kid in [node, *(x for ch, x in node.items() if ch)]]
+                for way in ways:
+                    key = (id(way[3]), i + 1)
+                    if key not in reached or way[:3] < reached[key][:3]:
+                        reached[key] = way
             states = reached
-        return best[2] if best else None
+        return best
 
     @staticmethod
     def _walk(node: dict, letters: str) -> dict | None:
-        for ch in letters.lower():
+        for ch in letters:
             node = node.get(ch)
             if node is None:
                 return None
         return node
 
 
-def _spellings(terms: DataFrame) -> DataFrame:
-    """terms (term, records) -> (term, spelling, records) of every term with a variant."""
+def _route(half: str, size: int, letters: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{half}{size}:{letters}".encode("utf-8", "surrogatepass")) - 2**63
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def word_routes(word: str) -> list[int]:
+    """Where a vocabulary word stands: by its first and by its last half, in classes of letters."""
+    w = word.translate(READINGS)
+    n, h = len(w), len(w) // 2
+    return [_route("first", n, w[:h]), _route("last", n, w[h:])]
+
+
+def asked_routes(plain: str) -> list[int]:
+    """Where a term, in its likeliest reading, finds all words within one edit: an edit leaves one half as it is."""
+    w, n = plain.translate(READINGS), len(plain)
+    out = []
+    for size in (n - 1, n, n + 1):
+        if size > 0:
+            h = size // 2
+            out += [_route("first", size, w[:h]), _route("last", size, w[-(size - h) :])]
+    return out
+
+
+def spell(piece: str, reading: str | None) -> tuple[str, bool]:
+    """(the piece in ordinary characters, whether it took one of another kind): its core by the reading that the tries
+    gave, else by table, what stands around it by table."""
+    if piece.isspace():
+        return " ", True
+    core = strip_word(piece)
+    before, _, after = piece.partition(core) if core else (piece, "", "")
+    plain = by_table(core)
+    if reading is not None and reading != plain.lower():
+        plain = "".join(b.upper() if a.isupper() else b for a, b in zip(plain, reading, strict=True)) if len(reading) == len(plain) else reading.upper() if plain.isupper() else reading.capitalize() if plain[:1].isupper() else reading
+    return by_table(before) + plain + by_table(after), is_variant(piece)
+
+
+def spellings(pieces: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """pieces (piece, n), vocabulary (term, records) -> (piece, n, plain, affected) of every piece.
+
+    Words and pieces meet in routes (half words), where the automaton takes each piece down the trie of the words there;
+    the best of all its routes is its canonical spelling. A piece is affected if its way to the spelling took a
+    character at no cost; one that no word is near takes the table.
+    """
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ts = b.column(0).to_pylist()
-            odd = [is_variant(t) for t in ts]
-            route = [xxhash.xxh3_64_intdigest((by_table(t).lower() if v else t).translate(READINGS).encode("utf-8", "surrogatepass")) - 2**63 for t, v in zip(ts, odd, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(odd), pa.array(route, pa.int64())], ["term", "records", "odd", "route"])
+            rows = [(r, t, n) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not is_variant(t) for r in word_routes(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int64())], ["route", "kind", "text", "n"])
+
+    def of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r, p) for p in b.column(0).to_pylist() if (core := strip_word(p)) for r in asked_routes(by_table(core).lower())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([x[1] for x in rows], pa.string()), pa.array([0] * len(rows), pa.int64())], ["route", "kind", "text", "n"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, asked, last = [], [], None
+        route, asked, trie = None, [], VocabularyTrie()
+
+        def out() -> list[tuple]:
+            if not trie.root:
+                return []
+            found = []
+            for p in asked:
+                core = strip_word(p).lower()
+                best = trie.canonical(core, BUDGET if len(core) >= LEAST_LETTERS else 0)
+                if best is not None:
+                    found.append((p, *best))
+            return found
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = {"piece": pa.string(), "cost": pa.int32(), "less": pa.int64(), "rank": pa.int32(), "word": pa.string(), "reading": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+        for b in batches:
+            rows = []
+            for r, kind, t, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != route:
+                    rows += out()
+                    route, asked, trie = r, [], VocabularyTrie()
+                if kind == 0:
+                    asked.append(t)
+                elif asked:  # pieces come before words, so words of routes that nothing asks for are passed over
+                    trie.add(t, n)
+            yield batch(rows)
+        yield batch(out())
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [spell(p, r) for p, r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.bool_())], ["piece", "n", "plain", "affected"])
+
+    schema = "route bigint, kind int, text string, n bigint"
+    asked = pieces.select("piece").mapInArrow(of_pieces, schema)
+    words = vocabulary.select("term", "records").mapInArrow(of_words, schema).join(asked.select("route").distinct(), "route", "left_semi")
+    met = asked.unionByName(words.select("route", "kind", "text", "n"))
+    found = met.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(match, "piece string, cost int, less bigint, rank int, word string, reading string")
+    best = found.groupBy("piece").agg(F.min(F.struct("cost", "less", "rank", "word", "reading")).alias("x"))
+    return pieces.join(best, "piece", "left").select("piece", "n", F.col("x.reading").alias("reading")).mapInArrow(finish, "piece string, n bigint, plain string, affected boolean")
+
 
-        def out() -> pa.RecordBatch:
-            trie = VocabularyTrie()
-            for w, n in words if asked else ():
-                trie.add(w, n)
-            found = [(t, trie.canonical(t) or by_table(t).lower(), n) for t, n in asked]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int64())], ["term", "spelling", "records"])
+def _odd_pieces(text: str) -> set[str]:
+    """The white-space pieces of a text with an unusual character, and its unusual spaces."""
+    return {p for p in text.split() if not p.isascii() and _ODD.search(p) or _CONTROL.search(p)} | set(_SPACES.findall(text))
 
+
+def rewrite(text: str, plain: dict[str, str]) -> str:
+    """The text with every piece replaced that plain has. Ordinary spaces and line breaks stay."""
+    return "".join(_SPACES.sub(lambda m: plain.get(m[0], " "), part) if part.isspace() else plain.get(part, part) for part in re.split(r"(\s+)", text))
+
+
+def _asked(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, h, piece) of all rows with an unusual piece, cut, and (piece, n, plain, affected) of the pieces, cut.
+
+    h is a hash of the text, so that rows of one key, or without a key, are told apart."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, n, odd, route in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if route != last and len(words) + len(asked) >= TRIE_WORDS:
-                    yield out()
-                    words, asked = [], []
-                last = route
-                (asked if odd else words).append((t, n))
-        yield out()
-
-    tagged = terms.select("term", "records").mapInArrow(tag, "term string, records bigint, odd boolean, route bigint")
-    return tagged.repartition("route").sortWithinPartitions("route").mapInArrow(match, "term string, spelling string, records bigint")
-
-
-def rewrite(text: str, spelling: dict[str, str]) -> tuple[str, bool]:
-    """(the text in its ordinary form, whether it held a variant). Upper case, ordinary spaces and line breaks stay."""
-    out, odd = [], False
-    for part in re.split(r"(\s+)", text):
-        if part.isspace():
-            plain = "".join(" " if readings(c) else c for c in part)
-            odd |= plain != part
-        elif not is_variant(part):
-            plain = part
-        else:
-            odd = True
-            core = strip_word(part)
-            before, _, after = part.partition(core) if core else (part, "", "")
-            plain = by_table(before) + (_cased(core, spelling) if core and is_variant(core) else core) + by_table(after)
-        out.append(plain)
-    return "".join(out), odd
+            pairs = [(k, p) for k, t in enumerate(b.column(2).to_pylist()) for p in _odd_pieces(t)]
+            which = pa.array([k for k, _ in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array([p for _, p in pairs], pa.string())], ["row_id", "h", "piece"])
+
+    asked = cut(rows.where(F.col("t").rlike(UNUSUAL)).select("row_id", F.xxhash64("t").alias("h"), "t").mapInArrow(ask, f"row_id {kind}, h bigint, piece string"))
+    pieces = cut(asked.groupBy("piece").agg(F.count("*").alias("n")))
+    return asked, cut(spellings(pieces, count_terms(rows, "t")))
+
 
+def _answers(asked: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(row_id, h, piece, plain) of the affected pieces; one that stands in a third of all rows is salted."""
+    told = spelled.where("affected")
+    return join_by_size(asked, told, ["piece"], "n", told.agg(F.sum("n")).first()[0] or 0).select("row_id", "h", "piece", "plain")
 
-def _cased(core: str, spelling: dict[str, str]) -> str:
-    plain, found = by_table(core), spelling.get(core.lower())
-    if found is None or found == plain.lower():
-        return plain
-    if len(found) == len(plain):
-        return "".join(b.upper() if a.isupper() else b for a, b in zip(plain, found, strict=True))
-    return found.upper() if plain.isupper() else found.capitalize() if plain[:1].isupper() else found
+
+def affected_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_id): the rows whose text is built from other characters, once a key; see canonical_texts."""
+    kind = rows.schema[key].dataType.simpleString()
+    return _answers(*_asked(rows.select(F.col(key).alias("row_id"), F.col(text).alias("t")), kind)).select("row_id").distinct()
 
 
 def canonical_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(row_id, plain, affected): every row's text in its ordinary form, and whether it was built from other characters.
 
     The vocabulary is every word of the column that has no variant; a word with variants takes the vocabulary word that
-    it can be read as at no cost, and where there is none, the most likely reading of each character. Null stays null
-    and empty stays empty, both unaffected; repeated rows come out each; long texts are rewritten whole; other columns
-    are ignored; an empty table gives an empty one. Words wholly in Greek or Cyrillic are ordinary.
+    it can be read as at no cost; one that no word equals takes the readings that lead to a word one edit away, and else
+    the most likely reading of each character. Null stays null and empty stays empty, both unaffected; repeated rows
+    come out each, null keys too; long texts are rewritten whole; other columns are ignored; an empty table gives an
+    empty one. Words wholly in Greek or Cyrillic are ordinary.
 
-    Only rows with an unusual character (one JVM pattern) reach Python, and only their words are joined: a word in a
-    third of all rows is joined by broadcast. Tries hold words of neighbouring routes, at most about TRIE_WORDS.
+    Only rows with an unusual character (one JVM pattern) reach Python, and only their unusual pieces are joined.
     """
     kind = rows.schema[key].dataType.simpleString()
     rows = rows.select(F.col(key).alias("row_id"), F.col(text).alias("t"))
-    unusual = rows.where(F.col("t").rlike(UNUSUAL))
-    spelled = cut(_spellings(count_terms(rows, "t")))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = [(k, w) for k, t in enumerate(b.column(1).to_pylist()) for w in {strip_word(p) for p in t.lower().split() if not p.isascii()} if w and is_variant(w)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in pairs], pa.int64())), pa.array([w for _, w in pairs], pa.string())], ["row_id", "term"])
+    by_row = _answers(*_asked(rows, kind)).groupBy("row_id", "h").agg(F.collect_set(F.struct("piece", "plain")).alias("x"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [rewrite(t, dict(zip(a or (), c or (), strict=True))) for t, a, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.bool_())], ["row_id", "plain", "affected"])
-
-    total = spelled.agg(F.sum("records")).first()[0] or 0
-    answers = join_by_size(unusual.mapInArrow(ask, f"row_id {kind}, term string"), spelled, ["term"], "records", total)
-    by_row = answers.groupBy("row_id").agg(F.collect_list(F.struct("term", "spelling")).alias("x"))
-    told = unusual.join(by_row, "row_id", "left").select("row_id", "t", F.col("x.term").alias("a"), F.col("x.spelling").alias("c"))
-    changed = told.mapInArrow(write, f"row_id {kind}, plain string, affected boolean")
-    return changed.union(rows.where(~F.coalesce(F.col("t").rlike(UNUSUAL), F.lit(False))).select("row_id", F.col("t").alias("plain"), F.lit(False).alias("affected")))
-
-
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, key, text in (("genre_documents", "gdoc_key", "text"), ("lexicon_entries", "entry_id", "headword")):
-        one = canonical_texts(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("tab"), "row_id", "plain", "affected")
-        out = one if out is None else out.union(one)
-    return out
+            done = [t if a is None else rewrite(t, dict(zip(a, c, strict=True))) for t, a, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string()), pa.array([x is not None for x in b.column(2).to_pylist()], pa.bool_())], ["row_id", "plain", "affected"])
+
+    r, x = rows.withColumn("h", F.xxhash64("t")).alias("r"), by_row.alias("x")
+    told = r.join(x, F.col("r.row_id").eqNullSafe(F.col("x.row_id")) & (F.col("r.h") == F.col("x.h")), "left").select("r.row_id", "r.t", F.col("x.x.piece").alias("a"), F.col("x.x.plain").alias("c"))
+    return told.where("a is not null").mapInArrow(write, f"row_id {kind}, plain string, affected boolean").union(told.where("a is null").select("row_id", F.col("t").alias("plain"), F.lit(False)))
+
+
+_TABLES = (("genre_documents", "gdoc_key", "text"), ("lexicon_entries", "entry_id", "headword"))
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both columns in one form, row by row."""
-    return _both(spark, sf_dir)
+    a, b = (canonical_texts(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("tab"), "row_id", "plain", "affected") for name, key, text in _TABLES)
+    return a.union(b)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir).where("affected").select("tab", "row_id")
+    a, b = (affected_rows(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("tab"), "row_id") for name, key, text in _TABLES)
+    return a.union(b)
