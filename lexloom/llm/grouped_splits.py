@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,29 +51,35 @@ def _closest(counts: Counter, goal: int, unit: int) -> Counter:
     """How many groups of each size to take, for a total as near to goal as a subset can be (in whole units).
 
     A bit set holds the totals that can be reached; the multiplicity of a size is split into powers of two, so there
-    are about log(multiplicity) steps a size.
+    are about log(multiplicity) steps a size. For each total the first step that reached it is kept (one array of BITS
+    numbers, however many steps there are), which leads back to the groups taken.
     """
     most = max(0, -(-goal // unit)) + max([0, *(-(-s // unit) for s in counts)])
+    most, want = min(most, 2 * (goal // unit) + 1), goal // unit
     mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+    first = np.full(most + 1, -1, np.int32)
     for size in sorted(counts, reverse=True):
         left, part = counts[size], 1
-        while left:
+        while left and not reach >> want & 1:
             take = min(part, left)
-            steps.append((size, take, reach))
             shift = max(1, size * take // unit) if size * take else 0
-            reach |= (reach << shift) & mask if shift <= most else 0
+            fresh = (reach << shift) & mask & ~reach if shift <= most else 0
+            if fresh:
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                reach |= fresh
+            steps.append((size, take, shift))
             left -= take
             part *= 2
-    want = goal // unit
     low, high = reach & ((1 << (want + 1)) - 1), reach >> want
     below = low.bit_length() - 1
     above = want + (high & -high).bit_length() - 1 if high else None
     total = below if above is None or want - below <= above - want else above
     taken: Counter = Counter()
-    for size, take, before in reversed(steps):
-        if not before >> total & 1:
-            taken[size] += take
-            total -= max(1, size * take // unit)
+    while total:
+        size, take, shift = steps[first[total]]
+        taken[size] += take
+        total -= shift
     return taken
 
 
