@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,9 @@ BURST = 4096
 #: Terms a worker holds before it sends its tries off and starts anew.
 HELD = 1_000_000
 #: A prefix is split further while more than one in ROUTES of the (partial) terms start with it, and more than LEAST.
-#: So at most ROUTES prefixes of each length, up to DEEPEST characters, are known to the driver and to every worker.
+#: So at most ROUTES prefixes of each length are known to the driver and to every worker. Prefixes up to DEEPEST characters
+#: are counted at once; longer ones, and those above which workers did not burst, in rounds that skip what all terms of a
+#: prefix share.
 ROUTES, LEAST, DEEPEST = 1024, 2048, 24
 
 
@@ -45,7 +48,9 @@ class BurstTrie:
         self.root, self.size = Container(""), 0
 
     def add(self, term: str, occurrences: int, records: int) -> None:
-        at, above, i = self.root, None, 0
+        self._add(self.root, None, 0, term, occurrences, records)
+
+    def _add(self, at: Node | Container, above: Node | None, i: int, term: str, occurrences: int, records: int) -> None:
         while type(at) is Node:
             if i == len(term):
                 if at.end is None:
@@ -58,20 +63,43 @@ class BurstTrie:
             if kid is None:
                 kid = at.kids[term[i]] = Container(term[: i + 1])
             above, at, i = at, kid, i + 1
-        rest = term[i:]
-        found = at.counts.get(rest)
-        if found is not None:
+        self._put(at, term[i:], occurrences, records)
+        self._split(at, above)
+
+    def _put(self, c: Container, rest: str, occurrences: int, records: int) -> None:
+        found = c.counts.get(rest)
+        if found is None:
+            c.counts[rest] = [occurrences, records]
+            self.size += 1
+        else:
             found[0] += occurrences
             found[1] += records
-            return
-        at.counts[rest] = [occurrences, records]
-        self.size += 1
-        if len(at.counts) > BURST:
-            node = self._burst(at)
+
+    def _split(self, c: Container, above: Node | None) -> None:
+        if len(c.counts) > BURST:
+            node = self._burst(c)
             if above is None:
                 self.root = node
             else:
-                above.kids[at.prefix[-1]] = node
+                above.kids[c.prefix[-1]] = node
+
+    def graft(self, prefix: str, rests: Iterator[tuple[str, int, int]]) -> None:
+        """Merges a container of another trie with the subtree of the same prefix: found once, then leaf into leaf, or,
+        where this trie has burst there, into the subtrees below."""
+        at, above, i = self.root, None, 0
+        while type(at) is Node and i < len(prefix):
+            kid = at.kids.get(prefix[i])
+            if kid is None:
+                kid = at.kids[prefix[i]] = Container(prefix[: i + 1])
+            above, at, i = at, kid, i + 1
+        if type(at) is Node:
+            for rest, occurrences, records in rests:
+                self._add(at, above, i, prefix + rest, occurrences, records)
+            return
+        head = prefix[i:]
+        for rest, occurrences, records in rests:
+            self._put(at, head + rest, occurrences, records)
+        self._split(at, above)
 
     @staticmethod
     def _burst(c: Container) -> Node:
@@ -180,12 +208,41 @@ def _partial_tries(rows: DataFrame, column: str, terms: str) -> DataFrame:
     return rows.select(F.col(column).alias("t")).where("t is not null").mapInArrow(run, "prefix string, n int, packed binary")
 
 
-def route_of(term: str, split: frozenset[str]) -> str:
-    """The shortest prefix that isn't split further; the whole term where all its prefixes are."""
-    k = 0
-    while k < len(term) and term[:k] in split:
-        k += 1
-    return term[:k]
+def route_of(term: str, split: dict[str, int]) -> tuple[str, bool]:
+    """(route, whole): the shortest prefix that isn't split further, and true; the term itself, and false, where the term
+    ends above that. split: prefix -> the length that all terms behind it share; the next character parts them."""
+    r = ""
+    while r in split:
+        k = split[r] + 1
+        if k > len(term):
+            return term, False
+        r = term[:k]
+    return r, True
+
+
+def _split_prefixes(parts: DataFrame, limit: int) -> dict[str, int]:
+    """The prefixes of more than limit terms, each with the length that is shared behind it."""
+    deep = F.explode(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEEPEST)))).alias("k")
+    below = parts.select("prefix", "n", deep).groupBy(F.expr("substring(prefix, 1, k)").alias("p")).agg(F.sum("n").alias("n"))
+    split = {r["p"]: len(r["p"]) for r in below.where(F.col("n") > limit).select("p").collect()}
+    fresh = any(len(p) == DEEPEST for p in split) or any(r["prefix"] in split for r in parts.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("prefix").collect())
+    while fresh:
+
+        def routes(batches: Iterator[pa.RecordBatch], split: dict[str, int] = split) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                told: dict[str, list] = {}
+                for p, n, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    route, whole = route_of(p, split)
+                    # a container above its route is told apart by its terms
+                    for r, k, t in [(route, n, p)] if whole else ((r, 1, p + rest) for rest, _, _ in unpack(packed) for r, whole in [route_of(p + rest, split)] if whole):
+                        x = told.setdefault(r, [0, t, t])
+                        told[r] = [x[0] + k, min(x[1], t), max(x[2], t)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(told), pa.string()), *(pa.array([x[i] for x in told.values()], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))], ["r", "n", "low", "high"])
+
+        found = parts.select("prefix", "n", "packed").mapInArrow(routes, "r string, n bigint, low string, high string").groupBy("r").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        fresh = found.where(F.col("n") > limit).collect()
+        split = split | {r["r"]: len(os.path.commonprefix([r["low"], r["high"]])) for r in fresh}
+    return split
 
 
 def count_terms(rows: DataFrame, column: str, terms: str = "words") -> DataFrame:
@@ -196,53 +253,45 @@ def count_terms(rows: DataFrame, column: str, terms: str = "words") -> DataFrame
     columns are not read. An empty table gives no terms.
 
     Each worker counts into a burst trie and sends its containers, keyed by prefix. How many terms stand below each
-    prefix decides where prefixes are split, so that no route has more than a bounded share of the terms; containers
-    that straddle a split are cut along it, and matching subtrees of all workers are merged route by route. A term that
-    holds a third of all occurrences arrives once from each worker.
+    prefix decides where prefixes are split, so that no route has more than a bounded share of the terms, however long
+    the prefixes are that they share; containers that straddle a split are cut along it, all others go as they are, and
+    each route grafts the matching subtrees of all workers onto one trie. A term that holds a third of all occurrences
+    arrives once from each worker.
     """
     parts = cut(_partial_tries(rows, column, terms))
     total = parts.agg(F.sum("n")).first()[0] or 0
-    limit = max(total // ROUTES, LEAST)
-    deep = F.explode(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEEPEST)))).alias("k")
-    below = parts.select("prefix", "n", deep).groupBy(F.expr("substring(prefix, 1, k)").alias("p")).agg(F.sum("n").alias("n"))
-    split = frozenset(r["p"] for r in below.where(F.col("n") > limit).select("p").collect())
+    split = _split_prefixes(parts, max(total // ROUTES, LEAST))
 
     def reroute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, dict[str, list[int]]] = {}
+            out = []
             for prefix, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                whole = route_of(prefix, split)
-                inner = whole if whole not in split else None
+                route, whole = route_of(prefix, split)
+                if whole:
+                    out.append((route, prefix, packed))
+                    continue
+                parts: dict[str, dict[str, tuple[int, int]]] = {}
                 for rest, occ, rec in unpack(packed):
-                    term = prefix + rest
-                    own = out.setdefault(route_of(term, split) if inner is None else inner, {})
-                    n = own.setdefault(term, [0, 0])
-                    n[0] += occ
-                    n[1] += rec
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([pack(c) for c in out.values()], pa.binary())], ["route", "packed"])
+                    own = route_of(prefix + rest, split)[0]
+                    parts.setdefault(own, {})[(prefix + rest)[len(own) :]] = (occ, rec)
+                out += [(r, r, pack(c)) for r, c in parts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.binary())], ["route", "prefix", "packed"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([x[0] for x in counts.values()], pa.int64()), pa.array([x[1] for x in counts.values()], pa.int64())], ["term", "occurrences", "records"])
+        def out(trie: BurstTrie) -> Iterator[pa.RecordBatch]:
+            for c in trie.containers():
+                yield pa.RecordBatch.from_arrays([pa.array([c.prefix + rest for rest in c.counts], pa.string()), pa.array([x[0] for x in c.counts.values()], pa.int64()), pa.array([x[1] for x in c.counts.values()], pa.int64())], ["term", "occurrences", "records"])
 
-        at, counts = None, {}
+        at, trie = None, BurstTrie()
         for b in batches:
-            for route, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if route != at and counts:
-                    yield out(counts)
-                    counts = {}
-                at = route
-                for term, occ, rec in unpack(packed):
-                    n = counts.get(term)
-                    if n is None:
-                        counts[term] = [occ, rec]
-                    else:
-                        n[0] += occ
-                        n[1] += rec
-        if counts:
-            yield out(counts)
-
-    routed = parts.select("prefix", "packed").mapInArrow(reroute, "route string, packed binary")
+            for route, prefix, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if route != at:
+                    yield from out(trie)
+                    at, trie = route, BurstTrie()
+                trie.graft(prefix, unpack(packed))
+        yield from out(trie)
+
+    routed = parts.select("prefix", "packed").mapInArrow(reroute, "route string, prefix string, packed binary")
     return routed.repartition("route").sortWithinPartitions("route").mapInArrow(merge, "term string, occurrences bigint, records bigint")
 
 
