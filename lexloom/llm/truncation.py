@@ -52,7 +52,8 @@ def _words_in(line: Column) -> Column:
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
-    """(source, kind chars or bytes, length, n, dots): lengths at which a source cuts its texts; dots if it then sets points.
+    """(source, kind chars or bytes, length, n, dots, longest): lengths at which a source cuts its texts; dots if it then
+    sets points; longest if no text of the source is longer.
 
     The histogram is a partial aggregate, so a source with a third of all rows is no hot group; its window runs over the
     distinct lengths of a source.
@@ -62,8 +63,9 @@ def length_spikes(ends: DataFrame) -> DataFrame:
     bars = sized.groupBy("source", "x.kind", "x.length").agg(F.count("*").alias("n"), F.count_if("open").alias("open"), F.count_if("dotted").alias("dotted"))
     near = W.partitionBy("source", "kind").orderBy("length").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / (2.0 * NEAR)
-    found = bars.withColumn("mean", mean).where((F.col("n") >= 4) & (F.col("n") > F.col("mean") + 6 * F.sqrt("mean") + 2) & (F.col("open") >= OPEN * F.col("n")))
-    return found.select("source", "kind", "length", "n", (F.col("dotted") * 2 > F.col("n")).alias("dots"))
+    longest = F.col("length") == F.max("length").over(W.partitionBy("source", "kind"))
+    found = bars.withColumn("mean", mean).withColumn("longest", longest).where((F.col("n") >= 4) & (F.col("n") > F.col("mean") + 6 * F.sqrt("mean") + 2) & (F.col("open") >= OPEN * F.col("n")))
+    return found.select("source", "kind", "length", "n", (F.col("dotted") * 2 > F.col("n")).alias("dots"), "longest")
 
 
 def _short_line(docs: DataFrame, text: str, genre: str, verse: tuple[str, ...]) -> int:
@@ -82,28 +84,31 @@ def truncated_texts(docs: DataFrame, key: str, text: str, source: str, genre: st
     """(doc, source, reason): the texts that were cut, with the first reason that holds.
 
     - broken: the text ends in the remains of a character, an entity or a tag;
-    - limit: its length in characters or bytes is a spike of its source, and it ends without a mark (prose: without a
-      stop mark), or in the points that this source sets at its limit;
+    - maximum: its length in characters or bytes is a spike at the maximum of its source, and it ends without a mark
+      (prose: without a stop mark), or in the points that this source sets at its limit;
+    - limit: the same at a spike below the maximum, in a source some of whose texts keep no limit;
     - open: prose ends without a stop mark;
     - word: a verse without an end mark, or a text that ends in points, ends in a word that stands nowhere else inside a
       text, and so is part of one;
     - line: a verse without an end mark ends in a line far shorter than verse lines are.
 
     Null, empty and blank texts are no case; repeated rows come out each; a null source has no spikes; long texts are
-    looked at whole; other columns are ignored; an empty table gives none.
+    looked at whole; other columns are ignored; an empty table gives none. How a text ends is worked out once and cut;
+    besides, texts are read for the histogram of line lengths and for the counts of last words.
     """
     docs = docs.select(key, text, source, genre)
-    ends = text_ends(docs, key, text, source, genre, verse)
+    ends = cut(text_ends(docs, key, text, source, genre, verse))
     spikes = cut(length_spikes(ends))
     short = _short_line(docs, text, genre, verse)
     total = spikes.agg(F.sum("n")).first()[0] or 0
     for kind in ("chars", "bytes"):
-        own = spikes.where(F.col("kind") == kind).select("source", F.col("length").alias(kind), "n", F.col("dots").alias(f"dots_{kind}"))
-        ends = join_by_size(ends, own, ["source", kind], "n", total, "left").drop("n") if total else ends.withColumn(f"dots_{kind}", F.lit(None).cast("boolean"))
+        own = spikes.where(F.col("kind") == kind).select("source", F.col("length").alias(kind), "n", F.col("dots").alias(f"dots_{kind}"), F.col("longest").alias(f"top_{kind}"))
+        ends = join_by_size(ends, own, ["source", kind], "n", total, "left").drop("n")
     at_limit = F.col("dots_chars").isNotNull() | F.col("dots_bytes").isNotNull()
     dots_there = F.coalesce("dots_chars", F.lit(False)) | F.coalesce("dots_bytes", F.lit(False))
+    at_top = F.coalesce("top_chars", F.lit(False)) | F.coalesce("top_bytes", F.lit(False))
     open_end = F.when(F.col("verse"), ~F.col("marked")).otherwise(~F.col("stopped"))
-    sure = F.when(F.col("broken"), "broken").when(at_limit & (open_end | (F.col("dotted") & dots_there)), "limit").when(~F.col("verse") & ~F.col("stopped"), "open")
+    sure = F.when(F.col("broken"), "broken").when(at_limit & (open_end | (F.col("dotted") & dots_there)), F.when(at_top, "maximum").otherwise("limit")).when(~F.col("verse") & ~F.col("stopped"), "open")
     sure = sure.when(F.col("verse") & ~F.col("marked") & (F.col("line_words") < short), "line")
     judged = ends.withColumn("reason", sure)
     unsure = F.col("reason").isNull() & (F.col("word") != "") & (F.col("dotted") | (F.col("verse") & ~F.col("marked")))
