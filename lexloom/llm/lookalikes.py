@@ -215,7 +215,7 @@ def spellings(pieces: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 return []
             found = []
             for p in asked:
-                core = strip_word(p).lower()
+                core = strip_word(p)
                 best = trie.canonical(core, BUDGET if len(core) >= LEAST_LETTERS else 0)
                 if best is not None:
                     found.append((p, *best))
