@@ -33,10 +33,10 @@ MODERN_RULES = (
     ("medial_c", "(?<=[aeiou])c(?=[aou])", "k"),
     ("gu_before_ei", "gu(?=[ei])", "g"),
     ("n_tilde", "ñ", "ny"),
-    ("final_c", "c$", "k"),
+    ("final_c", "(?<=.)c$", "k"),
 )
 #: The rules modern -> old.
-OLD_RULES = (("k_before_aou", "k(?=[aou])", "c"), ("k_before_ei", "k(?=[ei])", "qu"), ("final_k", "k$", "c"))
+OLD_RULES = (("k_before_aou", "k(?=[aou])", "c"), ("k_before_ei", "k(?=[ei])", "qu"), ("final_k", "(?<=.)k$", "c"))
 
 
 @F.pandas_udf(StringType())
@@ -44,9 +44,15 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: A value without any of these characters is NFC as it is: none of them combines with another or stands for another.
+_NOT_PLAIN = r"[\x{300}-\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{3000}-\x{10ffff}]"
+
+
 def nfc(c: Column) -> Column:
-    """NFC. Spark has no such function; a value that is all below the first combining mark is NFC as it is and stays in the JVM."""
-    return F.when(c.rlike(r"[^\x00-\x{2ff}]"), _nfc(c)).otherwise(c)
+    """NFC. Spark has no such function. Python is handed only the values that may need it, nulls for all others, since a
+    Python function under a condition runs for every row."""
+    odd = c.rlike(_NOT_PLAIN)
+    return F.when(odd, _nfc(F.when(odd, c))).otherwise(c)
 
 
 def stripped(c: Column) -> Column:
@@ -61,7 +67,12 @@ def normalise(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Array of tokens: the normalised text split at spaces, without outer punctuation; empty for a blank text."""
-    bare = F.transform(F.split(normalise(c), " "), lambda x: F.regexp_replace(F.regexp_replace(x, f"^{EDGE}+", ""), f"{EDGE}+$", ""))
+    return split_tokens(normalise(c))
+
+
+def split_tokens(normalised: Column) -> Column:
+    """The tokens of a text that is normalised already."""
+    bare = F.transform(F.split(normalised, " "), lambda x: F.regexp_replace(F.regexp_replace(x, f"^{EDGE}+", ""), f"{EDGE}+$", ""))
     return F.filter(bare, lambda x: x != "")
 
 
@@ -109,6 +120,7 @@ KNOWN_SECTIONS = (
     ("URNOS TI PANAGDAYDAYAW", "liturgical_prose"), ("GLORIA PATRI", "canticle"), ("TI KYRIE", "canticle"), ("TI GLORIA EXCELSIS", "canticle"), ("TI INTROITA", "rubric"), ("CREDA NICIA", "prayer"), ("TI SERMON", "rubric"),
     ("URNOS TI CEREMONIA TI COMULGAR", "liturgical_prose"), ("TI CARARAG NGA AMAMI", "prayer"), ("TI PAX DOMINI", "liturgical_prose"), ("TI AGNUS DEI", "canticle"), ("TI PANAGIWARAS", "liturgical_prose"), ("TI NUNC DIMITTIS", "canticle"), ("TI PAMMENDICION", "liturgical_prose"),
 )
+#: Words of titles and beginnings that tell a canticle or a prayer.
 CANTICLE_WORDS = ("GLORIA", "KYRIE", "AGNUS", "NUNC", "DIMITTIS", "SANTO, SANTO")
 PRAYER_WORDS = ("CREDA", "CARARAG", "AMAMI", "MAMATIAC")
 

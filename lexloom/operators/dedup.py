@@ -9,7 +9,9 @@ from pyspark.sql.types import DoubleType
 
 from lexloom.functions.text import normalise
 from lexloom.operators.components import connected_components
+from lexloom.operators.numbering import number_rows
 from lexloom.operators.skew import join_by_size
+from lexloom.session import cut
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -33,10 +35,23 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, group_key): the smallest key with the same normalised text. Null texts are left out."""
-    n = rows.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("_n"))
-    groups = n.groupBy("_n").agg(F.min(key).alias("group_key"), F.count("*").alias("_c"))
-    return join_by_size(n, groups, ["_n"], "_c", rows.count()).select(key, "group_key")
+    """(key, group_key): the smallest key with the same normalised text. Null texts are left out.
+
+    Texts are normalised once and stand for themselves by two 64-bit hashes, so 24 bytes a row are moved, never a text;
+    two different texts agree in both with probability 2^-128. Only classes of several rows are joined.
+    """
+    n = F.col("_n")
+    keyed = cut(rows.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("_n")).select(key, F.xxhash64(n).alias("_a"), F.xxhash64(F.reverse(n), F.length(n)).alias("_b")))
+    groups = cut(keyed.groupBy("_a", "_b").agg(F.min(key).alias("group_key"), F.count("*").alias("_c")).where("_c > 1"))
+    total = groups.agg(F.sum("_c")).first()[0] or 0
+    return join_by_size(keyed, groups, ["_a", "_b"], "_c", total, "left").select(key, F.coalesce("group_key", key).alias("group_key"))
+
+
+def group_numbers(groups: DataFrame, key: str) -> DataFrame:
+    """(key, group_key) plus group_no: groups numbered 0, 1, ... in the order of their first rows."""
+    sizes = groups.groupBy("group_key").agg(F.count("*").alias("_c"))
+    numbered = cut(number_rows(sizes, ["group_key"], "group_no"))
+    return join_by_size(groups, numbered, ["group_key"], "_c", numbered.agg(F.sum("_c")).first()[0] or 0).select(key, "group_key", "group_no")
 
 
 def similar_pairs(rows: DataFrame, text: str, threshold: int = 85) -> DataFrame:
@@ -62,10 +77,10 @@ def similar_pairs(rows: DataFrame, text: str, threshold: int = 85) -> DataFrame:
 
 def similar_groups(rows: DataFrame, key: str, text: str, threshold: int = 85) -> DataFrame:
     """(key, group_key): rows of equal or similar texts, directly or through others, with the smallest key."""
-    n = rows.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("_n"))
+    n = cut(rows.where(F.col(text).isNotNull()).select(key, normalise(F.col(text)).alias("_n")))
     reps = n.groupBy("_n").agg(F.min(key).alias("rep"), F.count("*").alias("_c"))
     pairs = similar_pairs(rows, text, threshold)
     links = pairs.join(reps.select(F.col("_n").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("_n").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     roots = connected_components(links)
-    of = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("_n", "_c", F.coalesce("root", "rep").alias("group_key"))
-    return join_by_size(n, of, ["_n"], "_c", rows.count()).select(key, "group_key")
+    of = cut(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("_n", "_c", F.coalesce("root", "rep").alias("group_key")))
+    return join_by_size(n, of, ["_n"], "_c", of.agg(F.sum("_c")).first()[0] or 0).select(key, "group_key")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import modern_candidates, old_candidates
+from lexloom.operators.numbering import number_rows
+from lexloom.session import cut
 
 
 def clean_word(c: str):
@@ -67,6 +71,56 @@ def coverage_change(types: DataFrame, lex: DataFrame) -> DataFrame:
     return a.select("n_types", "before", "after", F.round(100.0 * F.col("before") / n, 6).alias("before_pct"), F.round(100.0 * F.col("after") / n, 6).alias("after_pct"), (F.col("after") - F.col("before")).alias("gain"))
 
 
+def condition_coverage(types: DataFrame, lex: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(condition, n_types, direct, variant, oov, direct_pct, total_pct): types covered under each condition, a predicate on
+    the entries; ``none`` (no lexicon) comes first. Candidates meet the keys once, whatever the number of conditions."""
+    rows = lex.select("*", *(c.cast("int").alias(f"_c{i}") for i, c in enumerate(conditions.values())))
+    flags = [F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(conditions))]
+    keyed = rows.select(F.col("headword").alias("candidate"), F.lit(0).alias("kind"), *(f"_c{i}" for i in range(len(conditions))))
+    forms = rows.where("normalised_form <> ''").select("normalised_form", F.lit(1), *(f"_c{i}" for i in range(len(conditions))))
+    keys = keyed.union(forms).groupBy("candidate", "kind").agg(*flags)
+    hits = candidate_rows(types).join(keys, "candidate").withColumn("p", F.col("ord") * 2 + F.col("kind"))
+    best = hits.groupBy("token").agg(*(F.min(F.when(F.col(f"_c{i}") == 1, F.col("p"))).alias(f"_p{i}") for i in range(len(conditions))))
+    counts = [F.count("*").alias("n")] + [f(i) for i in range(len(conditions)) for f in (lambda i: F.count_if(F.col(f"_p{i}") == 0).alias(f"_d{i}"), lambda i: F.count(f"_p{i}").alias(f"_t{i}"))]
+    a = types.join(best, "token", "left").agg(*counts)
+    zero = F.lit(0).cast("bigint")
+    told = [F.struct(F.lit("none").alias("condition"), zero.alias("d"), zero.alias("t")), *(F.struct(F.lit(c).alias("condition"), F.col(f"_d{i}").alias("d"), F.col(f"_t{i}").alias("t")) for i, c in enumerate(conditions))]
+    n, d, t = F.col("n"), F.col("x.d"), F.col("x.t")
+    pct = lambda c: F.round(100.0 * c / F.greatest(n, F.lit(1)), 6)
+    return a.select("n", F.explode(F.array(*told)).alias("x")).select("x.condition", n.alias("n_types"), d.alias("direct"), (t - d).alias("variant"), (n - t).alias("oov"), pct(d).alias("direct_pct"), pct(t).alias("total_pct"))
+
+
+def masked_coverage(types: DataFrame, lex: DataFrame, fractions: tuple[float, ...], seeds: tuple[int, ...]) -> DataFrame:
+    """(fraction, seed, n_left, direct, total, direct_pct, total_pct): coverage where the first floor(n * fraction) of the n
+    headwords, in the order of md5 of seed and headword, are masked with all their entries; first nothing (seed 0).
+
+    Headwords are numbered over range partitions. Candidates meet the keys once: a type is covered as long as one
+    headword behind its keys is left, so its last headword decides for every fraction at once.
+    """
+    heads = cut(lex.select("headword").distinct())
+    n = heads.count()
+    seeded = heads.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_h", F.md5(F.concat_ws(":", F.col("seed").cast("string"), "headword")))
+    rank = cut(number_rows(seeded, ["seed", "_h", "headword"], "_i").select("headword", "seed", (F.pmod(F.col("_i"), F.lit(max(n, 1))) + 1).alias("r")))
+    keys = lex.select(F.col("headword").alias("candidate"), "headword").union(lex.where("normalised_form <> ''").select("normalised_form", "headword")).distinct()
+    hits = candidate_rows(types).join(keys, "candidate").select("token", "headword", (F.col("token") == F.col("headword")).alias("own")).groupBy("token", "headword").agg(F.max("own").alias("own"))
+    last = cut(hits.join(rank, "headword").groupBy("token", "seed").agg(F.max(F.when(F.col("own"), F.col("r"))).alias("direct"), F.max("r").alias("any")))
+    n_types, masked = types.count(), {f: math.floor(n * f) for f in fractions}
+    cells = [F.struct(F.lit(f).alias("fraction"), F.lit(n - k).cast("bigint").alias("n_left"), F.count_if(F.col("direct") > k).alias("direct"), F.count_if(F.col("any") > k).alias("total")) for f, k in masked.items()]
+    each = last.groupBy("seed").agg(F.array(*cells).alias("x")).select(F.col("seed").cast("int").alias("seed"), F.explode("x").alias("x"))
+    whole = last.where(F.col("seed") == seeds[0]).agg(F.count("direct").alias("direct"), F.count("any").alias("total")).select(F.lit(0).alias("seed"), F.struct(F.lit(0.0).alias("fraction"), F.lit(n).cast("bigint").alias("n_left"), "direct", "total").alias("x"))
+    pct = lambda c: F.round(100.0 * F.col(c) / max(n_types, 1), 6)
+    return whole.union(each).select("x.fraction", "seed", "x.n_left", "x.direct", "x.total", pct("x.direct").alias("direct_pct"), pct("x.total").alias("total_pct"))
+
+
+def token_pos(types: DataFrame, lex: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """(token, pos_<tag> ...): 1 where an entry of the token's first key has that tag, as written; tags is a bounded list."""
+    found = lookup_cascade(types, lex)
+    told = lex.select(F.col("headword").alias("k"), F.lit(0).alias("kind"), "pos").union(lex.where("normalised_form <> ''").select("normalised_form", F.lit(1), "pos"))
+    by_key = told.groupBy("k", "kind").agg(*(F.max((F.col("pos") == t).cast("int")).alias(f"pos_{t}") for t in tags))
+    j = found.join(by_key, (F.col("key") == F.col("k")) & (F.col("priority") % 2 == F.col("kind")), "left")
+    return j.select("token", *(F.coalesce(f"pos_{t}", F.lit(0)).alias(f"pos_{t}") for t in tags))
+
+
 def coverage_total(types: DataFrame, lex: DataFrame) -> DataFrame:
     """One row: types covered directly, by the full cascade, and not at all."""
     found = lookup_cascade(types, lex)

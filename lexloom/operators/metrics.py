@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,53 +47,108 @@ def confusion(p: DataFrame) -> DataFrame:
     return n.withColumn("share", _r(F.col("n") / F.sum("n").over(W.partitionBy("y"))))
 
 
-def class_metrics(p: DataFrame, digits: int = 6) -> DataFrame:
-    """(label, tp, n_true, n_pred, precision, recall, f1) over the labels of either side, 0 where undefined."""
-    n = p.groupBy("y", "yhat").agg(F.count("*").alias("n"))
-    sides = n.select(F.explode(F.array(F.struct(F.col("y").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("h")), F.struct(F.col("yhat").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("h")))).alias("x"), "n", (F.col("y") == F.col("yhat")).alias("same"))
-    a = sides.groupBy("x.label").agg(F.sum(F.when(F.col("same") & (F.col("x.t") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.col("n") * F.col("x.t")).alias("n_true"), F.sum(F.col("n") * F.col("x.h")).alias("n_pred"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return a.select("label", "tp", "n_true", "n_pred", F.round(zero(_d(F.col("tp"), F.col("n_pred"))), digits).alias("precision"), F.round(zero(_d(F.col("tp"), F.col("n_true"))), digits).alias("recall"), F.round(zero(_d(2.0 * F.col("tp"), F.col("n_true") + F.col("n_pred"))), digits).alias("f1"))
+def _cells(p: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, y, yhat, n): the confusion matrix; p may have weights w."""
+    n = F.sum("w") if "w" in p.columns else F.count("*")
+    return p.groupBy(*by, "y", "yhat").agg(n.alias("n"))
 
 
-def multiclass_metrics(p: DataFrame) -> DataFrame:
-    """One row: accuracy, balanced accuracy, macro and weighted F1, MCC and kappa from the class counts."""
-    c = class_metrics(p, 15)
-    a = c.agg(F.sum("tp").cast("double").alias("c"), F.sum("n_true").cast("double").alias("s"), F.sum(F.col("n_true").cast("double") * F.col("n_pred")).alias("tp_"), F.sum(F.col("n_true").cast("double") * F.col("n_true")).alias("tt"), F.sum(F.col("n_pred").cast("double") * F.col("n_pred")).alias("pp"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("n_true")) / F.sum("n_true")).alias("weighted_f1"), F.avg(F.when(F.col("n_true") > 0, F.col("recall"))).alias("balanced_accuracy"))
-    cc, s, x, tt, pp = (F.col(k) for k in ("c", "s", "tp_", "tt", "pp"))
+def class_metrics(p: DataFrame, digits: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, tp, n_true, n_pred, precision, recall, f1) over the labels of either side, 0 where undefined. by:
+    columns of separate evaluations, such as folds or draws."""
+    n = _cells(p, by)
+    sides = n.select(*by, F.explode(F.array(F.struct(F.col("y").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("h")), F.struct(F.col("yhat").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("h")))).alias("x"), "n", (F.col("y") == F.col("yhat")).alias("same"))
+    a = sides.groupBy(*by, "x.label").agg(F.sum(F.when(F.col("same") & (F.col("x.t") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.col("n") * F.col("x.t")).alias("n_true"), F.sum(F.col("n") * F.col("x.h")).alias("n_pred"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return a.select(*by, "label", "tp", "n_true", "n_pred", F.round(zero(_d(F.col("tp"), F.col("n_pred"))), digits).alias("precision"), F.round(zero(_d(F.col("tp"), F.col("n_true"))), digits).alias("recall"), F.round(zero(_d(2.0 * F.col("tp"), F.col("n_true") + F.col("n_pred"))), digits).alias("f1"))
+
+
+def multiclass_metrics(p: DataFrame, by: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """One row (for each by): accuracy, balanced accuracy; precision, recall and F1 in macro, micro and weighted mean; MCC
+    and kappa, from the class counts. 0 where undefined."""
+    c = class_metrics(p, 15, by)
+    d = lambda x: F.col(x).cast("double")
+    means = [f(m) for m in ("precision", "recall", "f1") for f in (lambda m: F.avg(m).alias(f"macro_{m}"), lambda m: (F.sum(F.col(m) * F.col("n_true")) / F.sum("n_true")).alias(f"weighted_{m}"))]
+    sums = [F.sum("tp").cast("double").alias("c"), F.sum("n_true").cast("double").alias("s"), F.sum(d("n_true") * F.col("n_pred")).alias("x"), F.sum(d("n_true") * F.col("n_true")).alias("tt"), F.sum(d("n_pred") * F.col("n_pred")).alias("pp"), F.avg(F.when(F.col("n_true") > 0, F.col("recall"))).alias("balanced_accuracy")]
+    a = c.groupBy(*by).agg(*sums, *means) if by else c.agg(*sums, *means)
+    cc, s, x, tt, pp = (F.col(k) for k in ("c", "s", "x", "tt", "pp"))
+    r = lambda col: F.round(col, digits)
     mcc = F.coalesce(_d(cc * s - x, F.sqrt(s * s - pp) * F.sqrt(s * s - tt)), F.lit(0.0))
-    return a.select(_r(cc / s).alias("accuracy"), _r("balanced_accuracy").alias("balanced_accuracy"), _r("macro_f1").alias("macro_f1"), _r("weighted_f1").alias("weighted_f1"), _r(mcc).alias("mcc"), _r(F.coalesce(_d(cc / s - x / (s * s), 1 - x / (s * s)), F.lit(0.0))).alias("kappa"))
+    kappa = F.coalesce(_d(cc / s - x / (s * s), 1 - x / (s * s)), F.lit(0.0))
+    named = [r(F.col(f"{m}_{k}")).alias(f"{m}_{k}") for m in ("macro", "weighted") for k in ("precision", "recall", "f1")]
+    micro = [r(_d(cc, s)).alias(f"micro_{k}") for k in ("precision", "recall", "f1")]
+    return a.select(*by, r(_d(cc, s)).alias("accuracy"), r("balanced_accuracy").alias("balanced_accuracy"), *named, *micro, r(mcc).alias("mcc"), r(kappa).alias("kappa"))
+
+
+def fold_summary(p: DataFrame, metrics: tuple[str, ...] = ("macro_f1", "accuracy")) -> DataFrame:
+    """p (fold, y, yhat) -> one row: the folds, and of each metric its mean and population deviation over them."""
+    each = multiclass_metrics(p, ("fold",), 15)
+    return each.agg(F.count("*").alias("n_folds"), *(f(m) for m in metrics for f in (lambda m: _r(F.avg(m)).alias(f"{m}_mean"), lambda m: _r(F.stddev_pop(m)).alias(f"{m}_std"))))
 
 
-#: The cumulative Poisson(1) distribution up to 7.
-POISSON = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418, 0.999916758850712, 0.999989750803325)
+def ovr_auc(p: DataFrame) -> DataFrame:
+    """p (y, label, score), a row for each record and label -> (label, auc) of each label against the rest, null where
+    one side is missing. Rows are first counted for each score; sums run over range partitions."""
+    g = p.groupBy("label", "score").agg(F.count_if(F.col("y") == F.col("label")).alias("pos"), F.count_if(F.col("y") != F.col("label")).alias("neg")).withColumn("down", -F.col("score"))
+    run = running_sums(g, ["label", "down"], {"cp": "pos"})
+    own = run.groupBy("label").agg(F.min(F.col("cp") - F.col("pos")).alias("before"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    area = run.join(own, "label").groupBy("label").agg(F.sum(F.col("neg") * (F.col("cp") - F.col("before") - F.col("pos") / 2.0)).alias("area"), F.first("p").alias("p"), F.first("n").alias("n"))
+    return area.select("label", _r(_d(F.col("area"), F.col("p") * F.col("n"))).alias("auc"))
 
 
-def bootstrap_ci(p: DataFrame, key: str, draws: int, level: float = 0.95) -> DataFrame:
-    """p (key, y, yhat) -> (point, low, high) of the accuracy. Each row gets a Poisson(1) weight for each draw from md5 of
-    draw and key, so resampling needs no shuffle of rows: only sums for each draw are shuffled."""
-    each = p.select(key, (F.col("y") == F.col("yhat")).cast("int").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+#: The cumulative Poisson(1) distribution as far as 32 random bits can tell: a weight of 12 has probability 6e-11 < 2^-32.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def bootstrap_ci(p: DataFrame, key: str, draws: int, level: float = 0.95, metrics: tuple[str, ...] = ("accuracy",)) -> DataFrame:
+    """p (key, y, yhat) -> (metric, point, low, high) of any metrics of multiclass_metrics.
+
+    Each row gets a Poisson(1) weight for each draw from 32 bits of md5 of draw and key, so resampling moves no rows: what
+    is shuffled is one confusion matrix a draw. Percentiles are interpolated. A draw of no rows at all is left out.
+    """
+    each = p.select(key, "y", "yhat", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint") / 4294967296.0
     w = sum((F.when(u >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
-    stat = each.select("draw", "hit", w.alias("w")).groupBy("draw").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("m"))
+    stat = multiclass_metrics(each.select("draw", "y", "yhat", w.alias("w")).where("w > 0"), ("draw",), 15)
     tail = (1 - level) / 2
-    q = stat.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    point = p.agg(F.avg(F.when(F.col("y") == F.col("yhat"), 1.0).otherwise(0.0)).alias("point"))
-    one = F.lit(1).alias("_k")
-    return point.select("point", one).join(q.select("q", one), "_k").select(_r("point").alias("point"), _r(F.col("q")[0]).alias("low"), _r(F.col("q")[1]).alias("high"))
+    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select("x.metric", "x.v")
+    q = long(stat).groupBy("metric").agg(F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    point = long(multiclass_metrics(p, (), 15))
+    return point.join(q, "metric", "left").select("metric", _r("v").alias("point"), _r(F.coalesce(F.col("q")[0], F.col("v"))).alias("low"), _r(F.coalesce(F.col("q")[1], F.col("v"))).alias("high"))
 
 
 def paired_stats(p: DataFrame, order: str) -> DataFrame:
     """p (order, a, b), one row for each fold or group -> one row: mean and population deviation of a - b, Cohen's d, t and
-    its two-sided p, and the signed-rank sum. For lists of folds: the rank window takes them in one task."""
+    its two-sided p, the signed-rank sum and its p. t needs 2 rows that differ in their difference, the signed ranks 6
+    rows and a difference; else they are null. For lists of folds: the rank window takes them in one task."""
     d = p.select(order, (F.col("a") - F.col("b")).alias("d"))
     nonzero = d.where("d <> 0").withColumn("ad", F.round(F.abs("d"), 12))
     rank = nonzero.withColumn("r", F.rank().over(W.orderBy("ad")) + (F.count("*").over(W.partitionBy("ad")) - 1) / 2.0)
-    plus = rank.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("wm"))
+    plus = rank.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("wm"), F.collect_list("r").alias("ranks"))
     a = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.stddev_samp("d").alias("ss"))
     one = F.lit(1).alias("_k")
-    j = a.select("*", one).join(plus.select("*", one), "_k")
-    return j.select("n", _r("mean").alias("mean_diff"), _r("sd").alias("std_diff"), _r(F.col("mean") / F.greatest("sd", F.lit(1e-10))).alias("cohens_d"), _r(F.when((F.col("n") >= 2) & (F.col("ss") > 0), F.col("mean") / (F.col("ss") / F.sqrt("n")))).alias("t"), _r(F.when(F.col("n") >= 6, F.least("wp", "wm"))).alias("w"))
+    t = F.when((F.col("n") >= 2) & (F.col("ss") > 0), F.col("mean") / (F.col("ss") / F.sqrt("n")))
+    w = F.when((F.col("n") >= 6) & (F.size("ranks") > 0), F.least("wp", "wm"))
+    j = a.select("*", one).join(plus.select("*", one), "_k").withColumn("t", t).withColumn("w", w)
+    told = j.select("n", "mean", "sd", "t", "w", "ranks").mapInArrow(_p_values, "n bigint, mean double, sd double, t double, w double, t_p double, w_p double")
+    return told.select("n", _r("mean").alias("mean_diff"), _r("sd").alias("std_diff"), _r(F.col("mean") / F.greatest("sd", F.lit(1e-10))).alias("cohens_d"), _r("t").alias("t"), _r("t_p").alias("t_p"), _r("w").alias("w"), _r("w_p").alias("w_p"))
+
+
+def _p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, t, w, ranks = (b.column(i).to_pylist() for i in (0, 3, 4, 5))
+        t_p = [None if x is None else t_p_value(x, k - 1) for x, k in zip(t, n, strict=True)]
+        w_p = [None if x is None else signed_rank_p_value(r, x, k) for x, r, k in zip(w, ranks, n, strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(t_p, pa.float64()), pa.array(w_p, pa.float64())], ["n", "mean", "sd", "t", "w", "t_p", "w_p"])
+
+
+def signed_rank_p_value(ranks: list[float], w: float, n: int) -> float:
+    """Two-sided p of the smaller signed-rank sum: exact for up to 50 differences without ties and zeros, else by the
+    normal distribution with the variance that ties leave."""
+    if n <= 50 and len(ranks) == n and len(set(ranks)) == n:
+        return wilcoxon_p_value(ranks, w)
+    sd = math.sqrt(sum(r * r for r in ranks)) / 2
+    return math.erfc(abs(w - sum(ranks) / 2) / sd / math.sqrt(2)) if sd else 1.0
 
 
 def t_p_value(t: float, df: int) -> float:

@@ -2,45 +2,139 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import normalise
+from lexloom.functions.text import normalise, split_tokens
 from lexloom.operators.features import char_terms, tfidf, token_counts, vocabulary, word_terms
+from lexloom.operators.skew import join_by_size
+from lexloom.session import cut
 
 K1, B = 1.5, 0.75
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """docs (doc, text), queries (q, text) -> (q, doc, score): the sum over the phrase's token occurrences. Only pairs
-    that share a token come up: query terms meet postings by an equi-join, then partial sums are shuffled."""
-    postings = token_counts(docs, "doc", "text")
-    lengths = postings.groupBy("doc").agg(F.sum("n").alias("dl"))
-    a = docs.agg(F.count("*").alias("n")).first()["n"]
-    avg = (postings.agg(F.sum("n")).first()[0] or 0) / max(a, 1) or 1.0
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log((a - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    asked = token_counts(queries, "q", "text").withColumnRenamed("n", "times").join(df, "token")
-    scored = postings.join(lengths, "doc").select("doc", "token", (F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("dl") / avg))).alias("part"))
-    return asked.join(scored, "token").groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("part")).alias("score"))
+class Index:
+    """The postings of a collection, cut once and read by every method: docs (doc, text).
+
+    bm25_postings: (doc, token, n, dl); words and chars: (doc, term, weight) with their vocabularies (term, idf). Each is
+    made when it is first asked for. At most 5000 word and 10000 character terms are kept, the most frequent, as the
+    vectorisers have it.
+    """
+
+    LIMITS = {"word": (word_terms, 5000), "char": (char_terms, 10000)}
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.docs = cut(docs.select("doc", normalise(F.col("text")).alias("text")))
+        self.n = self.docs.count()
+        self._kept: dict = {}
+
+    def postings(self) -> DataFrame:
+        if "bm25" not in self._kept:
+            p = cut(self.docs.select("doc", F.explode(split_tokens(F.col("text"))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n")))
+            self._kept["bm25"] = cut(p.join(p.groupBy("doc").agg(F.sum("n").alias("dl")), "doc"))
+            total = p.agg(F.sum("n")).first()[0] or 0
+            self.average = total / max(self.n, 1) or 1.0
+            df = p.groupBy("token").agg(F.count("*").alias("df"))
+            self._kept["idf"] = cut(df.select("token", "df", F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")))
+        return self._kept["bm25"]
 
+    def idf(self) -> DataFrame:
+        self.postings()
+        return self._kept["idf"]
 
-def cosine(docs: DataFrame, queries: DataFrame, kind: str) -> DataFrame:
+    def vectors(self, kind: str) -> tuple[DataFrame, DataFrame]:
+        if kind not in self._kept:
+            terms, limit = self.LIMITS[kind]
+            tf = cut(terms(self.docs, "doc", "text"))
+            vocab = cut(vocabulary(tf, self.n, limit))
+            self._kept[kind] = (cut(tfidf(tf, "doc", vocab)), vocab)
+        return self._kept[kind]
+
+
+def bm25(index: Index, queries: DataFrame) -> DataFrame:
+    """queries (q, text) -> (q, doc, score): the sum over the phrase's token occurrences. Only pairs that share a token
+    come up. Postings of tokens that nothing asks for are dropped by the join; those of a very frequent token are spread
+    over salts with the phrases that ask for it, and sums for a pair are made before they are shuffled."""
+    postings, idf = index.postings(), index.idf()
+    asked = cut(token_counts(queries, "q", "text").withColumnRenamed("n", "times").join(idf, "token"))
+    part = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("dl") / index.average))
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    return join_by_size(postings.select("doc", "token", part.alias("part")), asked, ["token"], "df", total).groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("part")).alias("score"))
+
+
+def cosine(index: Index, queries: DataFrame, kind: str) -> DataFrame:
     """(q, doc, score): cosine of word (1-2) or character (2-5) n-gram vectors of the normalised texts."""
-    terms, limit = (word_terms, 5000) if kind == "word" else (char_terms, 10000)
-    d, q = (x.withColumn("text", normalise(F.col("text"))) for x in (docs, queries))
-    tf = terms(d, "doc", "text")
-    vocab = vocabulary(tf, docs.count(), limit)
-    a, b = tfidf(tf, "doc", vocab), tfidf(terms(q, "q", "text"), "q", vocab)
-    return b.withColumnRenamed("weight", "wq").join(a, "term").groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+    weights, vocab = index.vectors(kind)
+    terms, _ = index.LIMITS[kind]
+    q = tfidf(terms(queries.select("q", normalise(F.col("text")).alias("text")), "q", "text"), "q", vocab)
+    return q.withColumnRenamed("weight", "wq").join(weights, "term").groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+
 
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """vectors (id, v array<float>), queries (q, v) -> (q, rank, id, score): the k nearest other vectors by cosine, ties by
+    id; exact. Queries go to the workers in blocks of a bounded number; every task keeps k a query, so at most k rows a
+    query and task are shuffled. Null and zero vectors, and those of another length, have no cosine and don't come up."""
+    held = queries.where("v is not null").select("q", "v").withColumn("_b", F.floor(F.monotonically_increasing_id() % (1 << 33) / block) * (1 << 20) + F.spark_partition_id())
+    held = cut(held)
+    out = None
+    for b in [r["_b"] for r in held.select("_b").distinct().collect()]:
+        rows = [r for r in held.where(F.col("_b") == b).collect() if any(r["v"]) and not any(x is None for x in r["v"])]
+        for size in sorted({len(r["v"]) for r in rows}):
+            own = [r for r in rows if len(r["v"]) == size]
+            m = np.array([r["v"] for r in own], np.float64)
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+            shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in own], np.int64), m))
 
-def combined(docs: DataFrame, queries: DataFrame) -> DataFrame:
+            def near(batches: Iterator[pa.RecordBatch], shared=shared, size: int = size) -> Iterator[pa.RecordBatch]:
+                qs, m = shared.value
+                for batch in batches:
+                    kept = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and len(v) == size and None not in v and any(v)]
+                    if not kept:
+                        continue
+                    ids, x = np.array([i for i, _ in kept], np.int64), np.array([v for _, v in kept], np.float64)
+                    s = np.round(m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+                    s[qs[:, None] == ids[None, :]] = -np.inf
+                    best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                    r, score = np.repeat(np.arange(len(qs)), best.shape[1]), np.take_along_axis(s, best, 1).ravel()
+                    ok = np.isfinite(score)
+                    yield pa.RecordBatch.from_arrays([pa.array(qs[r[ok]]), pa.array(ids[best.ravel()[ok]]), pa.array(score[ok])], ["q", "id", "score"])
+
+            found = vectors.select(F.col("id").cast("bigint"), "v").mapInArrow(near, "q bigint, id bigint, score double")
+            out = found if out is None else out.union(found)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "q bigint, rank int, id bigint, score double")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "score")
+
+
+def combined(index: Index, queries: DataFrame) -> DataFrame:
     """(q, doc, score): both cosines plus BM25 over its best score for the phrase."""
-    m = bm25(docs, queries)
+    m = cut(bm25(index, queries))
     best = m.groupBy("q").agg(F.max("score").alias("best"))
     scaled = m.join(best, "q").select("q", "doc", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(F.col("score")).alias("score"))
-    return cosine(docs, queries, "char").union(cosine(docs, queries, "word")).union(scaled).groupBy("q", "doc").agg(F.sum("score").alias("score"))
+    return cosine(index, queries, "char").union(cosine(index, queries, "word")).union(scaled).groupBy("q", "doc").agg(F.sum("score").alias("score"))
+
+
+METHODS = {"bm25": bm25, "word_tfidf": lambda i, q: cosine(i, q, "word"), "char_tfidf": lambda i, q: cosine(i, q, "char"), "combined": combined}
+
+
+def search(index: Index, queries: DataFrame, k: int, method: str = "combined") -> DataFrame:
+    """(q, rank, doc, score) by a method of METHODS; any other gives the first k texts at score 0."""
+    if method in METHODS:
+        scores = METHODS[method](index, queries)
+    else:
+        scores = queries.select("q").join(index.docs.select("doc").limit(0), F.lit(False)).select("q", "doc", F.lit(0.0).alias("score"))
+    return top_k(scores, index.docs, queries, k)
+
+
+def held_out(scores: DataFrame, own: DataFrame) -> DataFrame:
+    """scores without those of the text that the phrase was taken from: own (q, doc)."""
+    return scores.join(own.select("q", "doc"), ["q", "doc"], "left_anti")
 
 
 def top_k(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import is_heading, speaker_of, stripped, unit_type
 from lexloom.operators.numbering import number_rows
+from lexloom.session import cut
 
 PAGE_MARK = r"={10,}[ \t]*\nPAGE[ \t]+\d+[ \t]*\n={10,}[ \t]*\n"
 
@@ -57,8 +61,17 @@ def by_blank_lines(pages: DataFrame) -> DataFrame:
 
 
 def by_pattern(pages: DataFrame, pattern: str) -> DataFrame:
-    """(page, unit_id, title, text): parts between matches; unit_id is the part's index, so empty parts leave gaps."""
-    parts = pages.select("page", F.posexplode(F.split("content", pattern)).alias("unit_id", "body")).select("page", "unit_id", stripped(F.col("body")).alias("text")).where("text <> ''")
+    """(page, unit_id, title, text): parts between matches; unit_id is the part's index, so empty parts leave gaps. A
+    pattern with groups gives what they capture as parts, too (by Python, which knows that form of split).
+
+    Each row is split for itself: hand a whole corpus as one row, or its pages as rows.
+    """
+    if re.compile(pattern).groups:
+        cut_ = F.arrow_udf(lambda texts: pa.array([None if t is None else [x or "" for x in re.split(pattern, t)] for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
+        bodies = cut_("content")
+    else:
+        bodies = F.split("content", pattern)
+    parts = pages.select("page", F.posexplode(bodies).alias("unit_id", "body")).select("page", "unit_id", stripped(F.col("body")).alias("text")).where("text <> ''")
     return parts.select("page", "unit_id", F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), "text")
 
 
@@ -77,8 +90,31 @@ def best_method(scores: DataFrame) -> DataFrame:
 
 
 def manual_slices(lines: DataFrame, bounds: DataFrame, width: int = 64) -> DataFrame:
-    """(title, n_lines, text): lines (n, line) with start_line <= n < end_line of each bound; a range join by blocks of
-    width line numbers, so each line meets only bounds of its block."""
-    spans = bounds.where("end_line > start_line").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor((F.col("end_line") - 1) / width))))
+    """(title, unit_type, n_lines, text): lines (n, line) with start_line <= n < end_line of each bound; a range join by
+    blocks of width line numbers, so each line meets only bounds of its block. Every bound is a unit of its own, also if
+    another has its title and start; bounds without a unit_type give a null one."""
+    typed = bounds if "unit_type" in bounds.columns else bounds.withColumn("unit_type", F.lit(None).cast("string"))
+    own = cut(typed.where("end_line > start_line").withColumn("_id", F.monotonically_increasing_id()))
+    spans = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor((F.col("end_line") - 1) / width))))
     hit = lines.withColumn("_b", F.floor(F.col("n") / width)).join(spans, "_b").where("n >= start_line and n < end_line")
-    return hit.groupBy("title", "start_line").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text")).drop("start_line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    return hit.groupBy("_id").agg(F.first("title").alias("title"), F.first("unit_type").alias("unit_type"), F.count("*").alias("n_lines"), text.alias("text")).drop("_id")
+
+
+UNIT = ("unit_id", "page", "title", "n_lines", "speaker", "text", "unit_type")
+
+
+def detect_units(pages: DataFrame, manual: DataFrame | None = None, lines: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
+    """UNIT columns plus heuristic: units by manual bounds over lines (n, line) if there are any, else by a pattern, else
+    by the more plausible of headings and blank lines. Units of bounds and patterns have no speaker; those of bounds no
+    page, those of patterns the type unknown."""
+    null = lambda kind: F.lit(None).cast(kind)
+    if manual is not None and lines is not None and not manual.isEmpty():
+        slices = number_rows(manual_slices(lines, manual), ["title", "text"], "unit_id")
+        return slices.select("unit_id", null("bigint").alias("page"), "title", "n_lines", null("string").alias("speaker"), "text", "unit_type", F.lit("manual").alias("heuristic"))
+    if pattern:
+        parts = by_pattern(pages, pattern)
+        return parts.select(F.col("unit_id").cast("bigint").alias("unit_id"), "page", "title", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), null("string").alias("speaker"), "text", F.lit("unknown").alias("unit_type"), F.lit("regex").alias("heuristic"))
+    ways = {"headings": by_headings(pages), "blank_lines": by_blank_lines(pages)}
+    best = best_method(plausibility(ways["headings"], "headings").union(plausibility(ways["blank_lines"], "blank_lines"))).first()["method"]
+    return ways[best].select(*UNIT, F.lit(best).alias("heuristic"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.lexicon import entries
-from lexloom.session import spread, table
+from lexloom.operators.skew import join_by_size
+from lexloom.session import cut, spread, table
 
 SONG_TYPES = ("hymn", "canticle")
 
@@ -47,3 +48,14 @@ def unit_text() -> Column:
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """(page, content): each unit as a page that begins with its title."""
     return spread(table(spark, d, "liturgical_units")).select(F.col("unit_key").alias("page"), F.concat_ws("\n", "title", unit_text()).alias("content"))
+
+
+def with_titles(rows: DataFrame, key: str, titles: DataFrame) -> DataFrame:
+    """rows plus the title of each key, ``Song <key>`` where titles (key, title) has none."""
+    return rows.join(titles.select(key, "title"), key, "left").withColumn("title", F.coalesce("title", F.concat(F.lit("Song "), F.col(key).cast("string"))))
+
+
+def shared_by(pairs: DataFrame, value: str, key: str) -> DataFrame:
+    """The distinct (value, key) whose value several keys have; a value of very many keys is joined with salts."""
+    n = cut(pairs.groupBy(value).agg(F.count("*").alias("_n")).where("_n > 1"))
+    return join_by_size(pairs, n, [value], "_n", n.agg(F.sum("_n")).first()[0] or 0).select(value, key)

@@ -8,7 +8,7 @@ from lexloom.functions.text import modern_candidates, normalise, tokens
 from lexloom.operators import dedup, features, metrics, refrains, retrieval, splits
 from lexloom.operators import lexicon as lx
 from lexloom.plans import base, sql
-from lexloom.session import spread, table
+from lexloom.session import cut, spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -119,7 +119,7 @@ def _top(scores: str, qs: str, k: int) -> str:
 @query("bm25_topk", f"WITH {_SONGS}, {_QS}, {_bm25('docs', 'qs')}, {_top('bm', 'qs', 5)} SELECT q, rank, doc, score FROM ranked")
 def _(spark, d):
     docs, qs = _songs(spark, d), _passages(spark, d)
-    return retrieval.top_k(retrieval.bm25(docs, qs), docs, qs, 5)
+    return retrieval.search(retrieval.Index(docs), qs, 5, "bm25")
 
 
 def _cos(kind: str, limit: int) -> str:
@@ -134,31 +134,64 @@ _NORMED = f"{_SONGS}, {_QS}, nd AS (SELECT doc, {sql.norm('text')} AS text FROM
 @query("cosine_word_topk", f"WITH {_NORMED}, {_cos('word', 5000)}, {_top('wc', 'qs', 5)} SELECT q, rank, doc, score FROM ranked")
 def _(spark, d):
     docs, qs = _songs(spark, d), _passages(spark, d)
-    return retrieval.top_k(retrieval.cosine(docs, qs, "word"), docs, qs, 5)
+    return retrieval.search(retrieval.Index(docs), qs, 5, "word_tfidf")
 
 
 @query("cosine_char_topk", f"WITH {_NORMED}, {_cos('char', 10000)}, {_top('cc', 'qs', 5)} SELECT q, rank, doc, score FROM ranked")
 def _(spark, d):
     docs, qs = _songs(spark, d), _passages(spark, d)
-    return retrieval.top_k(retrieval.cosine(docs, qs, "char"), docs, qs, 5)
+    return retrieval.search(retrieval.Index(docs), qs, 5, "char_tfidf")
 
 
 @query("combined_topk", f"WITH {_NORMED}, {_cos('word', 5000)}, {_cos('char', 10000)}, {_bm25('docs', 'qs')}, al AS (SELECT q, doc, sum(score) AS score FROM (SELECT * FROM cc UNION ALL SELECT * FROM wc UNION ALL SELECT q, doc, CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN score / max(score) OVER (PARTITION BY q) ELSE score END FROM bm) GROUP BY q, doc), {_top('al', 'qs', 5)} SELECT q, rank, doc, score FROM ranked")
 def _(spark, d):
     docs, qs = _songs(spark, d), _passages(spark, d)
-    return retrieval.top_k(retrieval.combined(docs, qs), docs, qs, 5)
+    return retrieval.search(retrieval.Index(docs), qs, 5)
 
 
-_OWN = f"{_SONGS}, own AS (SELECT unit_key AS doc, i - 1 AS line_no, lines[i] AS line FROM (SELECT unit_key, lines, unnest(range(1, len(lines) + 1)) AS i FROM liturgical_units WHERE unit_type IN ('hymn', 'canticle'))), qs AS (SELECT doc || ':' || line_no AS q, doc AS truth, line AS text FROM own WHERE len({sql.toks('line')}) >= 2)"
+_OWN = f"{sql.LINES}, {_SONGS}, qs AS (SELECT unit_key || ':' || line_no AS q, unit_key AS truth, line AS text FROM lines WHERE unit_type IN ('hymn', 'canticle') AND len({sql.toks('line')}) >= 2)"
+_HITS = "SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM qs LEFT JOIN ranked ON ranked.q = qs.q AND ranked.doc = qs.truth"
 
 
-@query("retrieval_metrics", f"WITH {_OWN}, {_bm25('docs', 'qs')}, {_top('bm', 'qs', 5)} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM qs LEFT JOIN ranked ON ranked.q = qs.q AND ranked.doc = qs.truth")
+def _line_queries(lines):
+    own = lines.where(F.size(tokens(F.col("line"))) >= 2)
+    return own.select(F.concat_ws(":", F.col("unit_key").cast("string"), F.col("line_no").cast("string")).alias("q"), F.col("unit_key").alias("doc"), F.col("line").alias("text"))
+
+
+def _song_lines(spark, d):
+    return base.lines(spark, d).where(F.col("unit_type").isin(*base.SONG_TYPES))
+
+
+@query("retrieval_metrics", f"WITH {_OWN}, {_bm25('docs', 'qs')}, {_top('bm', 'qs', 5)} {_HITS}")
+def _(spark, d):
+    """Every song line searched among the songs, its own line included, as the reference does (resubstitution)."""
+    qs = _line_queries(_song_lines(spark, d))
+    return retrieval.retrieval_metrics(retrieval.search(retrieval.Index(_songs(spark, d)), qs.select("q", "text"), 5, "bm25"), qs.select("q", "doc"))
+
+
+_KEPT = "('0x' || substring(md5(unit_key || ':' || line_no), 1, 8))::BIGINT % 5 > 0"
+_HELD = f"{sql.LINES}, sl AS (SELECT *, {_KEPT} AS kept FROM lines WHERE unit_type IN ('hymn', 'canticle')), docs AS (SELECT unit_key AS doc, string_agg(line, chr(10) ORDER BY line_no) AS text FROM sl WHERE kept GROUP BY unit_key), qs AS (SELECT unit_key || ':' || line_no AS q, unit_key AS truth, line AS text FROM sl WHERE NOT kept AND len({sql.toks('line')}) >= 2)"
+
+
+@query("retrieval_held_out", f"WITH {_HELD}, {_bm25('docs', 'qs')}, {_top('bm', 'qs', 5)} {_HITS}")
+def _(spark, d):
+    """A fifth of the song lines, by hash, searched among songs that lack them."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("unit_key").cast("string"), F.col("line_no").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    lines = cut(_song_lines(spark, d).withColumn("kept", h % 5 > 0))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    docs = lines.where("kept").groupBy("unit_key").agg(text.alias("text")).withColumnRenamed("unit_key", "doc")
+    qs = _line_queries(lines.where("not kept"))
+    return retrieval.retrieval_metrics(retrieval.search(retrieval.Index(docs), qs.select("q", "text"), 5, "bm25"), qs.select("q", "doc"))
+
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+
+
+@query("embedding_cosine_topk", f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT q, (row_number() OVER (PARTITION BY q ORDER BY score DESC, id))::INT AS rank, id, score FROM s QUALIFY rank <= 5")
 def _(spark, d):
-    docs = _songs(spark, d)
-    own = base.lines(spark, d).where(F.col("unit_type").isin(*base.SONG_TYPES) & (F.size(tokens(F.col("line"))) >= 2))
-    qs = own.select(F.concat_ws(":", F.col("unit_key").cast("string"), F.col("line_no").cast("string")).alias("q"), F.col("unit_key").alias("doc"), F.col("line").alias("text"))
-    ranked = retrieval.top_k(retrieval.bm25(docs, qs.select("q", "text")), docs, qs.select("q"), 5)
-    return retrieval.retrieval_metrics(ranked, qs.select("q", "doc"))
+    """The 5 nearest of all vectors for every vector whose id is divisible by 20."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.vector_top_k(v, v.where("id % 20 = 0").withColumnRenamed("id", "q"), 5)
 
 
 @query("exact_dup_groups", f"SELECT gdoc_key, min(gdoc_key) OVER (PARTITION BY {sql.norm('text')}) AS group_key FROM genre_documents WHERE text IS NOT NULL")
@@ -166,6 +199,11 @@ def _(spark, d):
     return dedup.exact_groups(table(spark, d, "genre_documents"), "gdoc_key", "text")
 
 
+@query("dup_group_numbers", f"WITH g AS (SELECT gdoc_key, min(gdoc_key) OVER (PARTITION BY {sql.norm('text')}) AS group_key FROM genre_documents WHERE text IS NOT NULL) SELECT gdoc_key, group_key, dense_rank() OVER (ORDER BY group_key) - 1 AS group_no FROM g")
+def _(spark, d):
+    return dedup.group_numbers(dedup.exact_groups(table(spark, d, "genre_documents"), "gdoc_key", "text"), "gdoc_key")
+
+
 @query("fuzzy_dup_pairs")
 def _(spark, d):
     return dedup.similar_pairs(table(spark, d, "liturgical_units"), "title")
@@ -189,18 +227,28 @@ def _(spark, d):
     return splits.repeated_folds(table(spark, d, "genre_documents").where("genre is not null").select("gdoc_key", "genre"), "gdoc_key", "genre", 5, 3, 42).select("gdoc_key", "repeat", "fold")
 
 
-_GROUPED = "g AS (SELECT source, ((row_number() OVER (ORDER BY count(*) DESC, source) - 1) % 5)::INT AS fold FROM genre_documents WHERE source IS NOT NULL GROUP BY source)"
+_GROUPED = """c AS (SELECT source, genre, count(*) AS n FROM genre_documents WHERE source IS NOT NULL GROUP BY ALL), m AS (SELECT source, genre, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, genre NULLS FIRST) = 1),
+ o AS (SELECT source, (row_number() OVER (ORDER BY coalesce(genre, ''), n DESC, source) - 1) % 10 AS i FROM m), g AS (SELECT source, (CASE WHEN i < 5 THEN i ELSE 9 - i END)::INT AS fold FROM o)"""
+
+
+def _by_source(spark, d):
+    return splits.group_folds(table(spark, d, "genre_documents").select("gdoc_key", "source", "genre"), "gdoc_key", "source", "genre", 5)
 
 
 @query("group_folds", f"WITH {_GROUPED} SELECT gdoc_key, source, fold FROM genre_documents JOIN g USING (source)")
 def _(spark, d):
-    return splits.group_folds(table(spark, d, "genre_documents").where("source is not null").select("gdoc_key", "source"), "gdoc_key", "source", 5)
+    return _by_source(spark, d)
 
 
 @query("group_overlap_check", f"WITH {_GROUPED} SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_split FROM (SELECT source, count(DISTINCT fold) AS k FROM genre_documents JOIN g USING (source) GROUP BY source)")
 def _(spark, d):
-    f = splits.group_folds(table(spark, d, "genre_documents").where("source is not null").select("gdoc_key", "source"), "gdoc_key", "source", 5)
-    return f.groupBy("source").agg(F.count_distinct("fold").alias("k")).agg(F.count("*").alias("n_groups"), F.count_if(F.expr("k > 1")).alias("n_split"))
+    return _by_source(spark, d).groupBy("source").agg(F.count_distinct("fold").alias("k")).agg(F.count("*").alias("n_groups"), F.count_if(F.expr("k > 1")).alias("n_split"))
+
+
+@query("group_fold_spread", f"WITH {_GROUPED} SELECT genre, fold, count(*) AS n FROM genre_documents JOIN g USING (source) GROUP BY genre, fold")
+def _(spark, d):
+    """Rows of each class in each fold."""
+    return _by_source(spark, d).join(table(spark, d, "genre_documents").select("gdoc_key", "genre"), "gdoc_key").groupBy("genre", "fold").agg(F.count("*").alias("n"))
 
 
 # Predictions by a fixed rule: the more lines a text has for its words, the more it looks like verse.
@@ -242,11 +290,57 @@ def _(spark, d):
 _CLASSES_RAW = _CLASSES.replace(", 6)", ", 15)")
 
 
-@query("multiclass_metrics", f"WITH {_CLASSES_RAW}, a AS (SELECT sum(tp)::DOUBLE AS c, sum(t)::DOUBLE AS s, sum(t * h)::DOUBLE AS x, sum(t * t)::DOUBLE AS tt, sum(h * h)::DOUBLE AS pp, avg(f1) AS mf, sum(f1 * t) / sum(t) AS wf, avg(rc) FILTER (t > 0) AS ba FROM cm) SELECT round(c / s, 6) AS accuracy, round(ba, 6) AS balanced_accuracy, round(mf, 6) AS macro_f1, round(wf, 6) AS weighted_f1, round((c * s - x) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) AS mcc, round((c / s - x / (s * s)) / (1 - x / (s * s)), 6) AS kappa FROM a")
+def _class_sql(cm: str, by: str = "") -> str:
+    """The metrics over a table of class counts (label, tp, t, h, pr, rc, f1), for each by."""
+    g, lead = (f" GROUP BY {by}", f"{by}, ") if by else ("", "")
+    means = ", ".join(f"avg({c}) AS m_{c}, sum({c} * t) / sum(t) AS w_{c}" for c in ("pr", "rc", "f1"))
+    a = f"SELECT {lead}sum(tp)::DOUBLE AS c, sum(t)::DOUBLE AS s, sum(t * h)::DOUBLE AS x, sum(t * t)::DOUBLE AS tt, sum(h * h)::DOUBLE AS pp, avg(rc) FILTER (t > 0) AS ba, {means} FROM {cm}{g}"
+    names = {"pr": "precision", "rc": "recall", "f1": "f1"}
+    out = ", ".join([f"m_{c} AS macro_{n}, w_{c} AS weighted_{n}, c / s AS micro_{n}" for c, n in names.items()])
+    return f"SELECT {lead}c / s AS accuracy, ba AS balanced_accuracy, {out}, CASE WHEN sqrt(s * s - pp) * sqrt(s * s - tt) <> 0 THEN (c * s - x) / (sqrt(s * s - pp) * sqrt(s * s - tt)) ELSE 0 END AS mcc, CASE WHEN 1 - x / (s * s) <> 0 THEN (c / s - x / (s * s)) / (1 - x / (s * s)) ELSE 0 END AS kappa FROM ({a})"
+
+
+_NAMES = ["accuracy", "balanced_accuracy", *(f"{m}_{k}" for m in ("macro", "weighted", "micro") for k in ("precision", "recall", "f1")), "mcc", "kappa"]
+
+
+@query("multiclass_metrics", f"WITH {_CLASSES_RAW} SELECT {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM ({_class_sql('cm')})")
 def _(spark, d):
     return metrics.multiclass_metrics(_multi(spark, d))
 
 
+#: The same fixed-rule predictions in five folds.
+_FOLDED = f"""{_PREDS}, fp AS (SELECT genre, guess, ((row_number() OVER (ORDER BY genre, md5('42:' || gdoc_key), gdoc_key) - 1) % 5)::INT AS fold FROM preds),
+ sides AS (SELECT fold, genre AS label, (genre = guess)::INT AS tp, 1 AS t, 0 AS h FROM fp UNION ALL SELECT fold, guess, 0, 0, 1 FROM fp),
+ cm AS (SELECT fold, label, sum(tp) AS tp, sum(t) AS t, sum(h) AS h, CASE WHEN sum(h) > 0 THEN sum(tp) / sum(h) ELSE 0.0 END AS pr, CASE WHEN sum(t) > 0 THEN sum(tp) / sum(t) ELSE 0.0 END AS rc, 2.0 * sum(tp) / (sum(t) + sum(h)) AS f1 FROM sides GROUP BY fold, label)"""
+
+
+def _folded(spark, d):
+    return splits.stratified_folds(_multi(spark, d), "gdoc_key", "y", 5, 42)
+
+
+@query("fold_metrics", f"WITH {_FOLDED} SELECT fold, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM ({_class_sql('cm', 'fold')})")
+def _(spark, d):
+    return metrics.multiclass_metrics(_folded(spark, d), ("fold",))
+
+
+@query("fold_summary", f"WITH {_FOLDED} SELECT count(*) AS n_folds, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std' for m in ('macro_f1', 'accuracy'))} FROM ({_class_sql('cm', 'fold')})")
+def _(spark, d):
+    return metrics.fold_summary(_folded(spark, d))
+
+
+#: Scores of every class by the fixed rule: how near the ratio of lines to words is to what the class has.
+_CENTRES = {"basic_text": 0.0, "conversation": 0.4, "poetry": 0.6, "song": 1.0}
+
+
+_SCORED = " UNION ALL ".join(f"SELECT genre AS y, '{g}' AS label, round(1 - abs(score - {c!r}::DOUBLE), 6) AS s FROM preds" for g, c in _CENTRES.items())
+
+
+@query("ovr_auc", f"WITH {_PREDS}, p AS ({_SCORED}), g AS (SELECT label, s, count(*) FILTER (y = label) AS p, count(*) FILTER (y <> label) AS n FROM p GROUP BY ALL), r AS (SELECT *, sum(p) OVER (PARTITION BY label ORDER BY s DESC) AS cp FROM g) SELECT label, round(sum(n * (cp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM r GROUP BY label")
+def _(spark, d):
+    cells = [F.struct(F.lit(g).alias("label"), F.round(1 - F.abs(F.col("score") - c), 6).alias("score")) for g, c in _CENTRES.items()]
+    return metrics.ovr_auc(_preds(spark, d).select(F.col("genre").alias("y"), F.explode(F.array(*cells)).alias("x")).select("y", "x.label", "x.score"))
+
+
 @query("confusion_norm", f"WITH {_PREDS} SELECT genre AS y, guess AS yhat, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY genre), 6) AS share FROM preds GROUP BY genre, guess")
 def _(spark, d):
     return metrics.confusion(_multi(spark, d))
@@ -263,17 +357,26 @@ def _(spark, d):
 
 
 _BOOT = " + ".join(f"(u >= {x!r})::INT" for x in metrics.POISSON)
+_BOOTED = f"""{_PREDS}, e AS (SELECT draw, genre, guess, ('0x' || substring(md5(draw || ':' || gdoc_key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM preds CROSS JOIN range(1, 1001) t(draw)), ws AS (SELECT draw, genre, guess, sum({_BOOT}) AS w FROM e GROUP BY ALL HAVING sum({_BOOT}) > 0),
+ sides AS (SELECT draw, genre AS label, CASE WHEN genre = guess THEN w ELSE 0 END AS tp, w AS t, 0 AS h FROM ws UNION ALL SELECT draw, guess, 0, 0, w FROM ws UNION ALL SELECT 0, genre, (genre = guess)::INT, 1, 0 FROM preds UNION ALL SELECT 0, guess, 0, 0, 1 FROM preds),
+ cm AS (SELECT draw, label, sum(tp) AS tp, sum(t) AS t, sum(h) AS h, CASE WHEN sum(h) > 0 THEN sum(tp) / sum(h) ELSE 0.0 END AS pr, CASE WHEN sum(t) > 0 THEN sum(tp) / sum(t) ELSE 0.0 END AS rc, 2.0 * sum(tp) / (sum(t) + sum(h)) AS f1 FROM sides GROUP BY draw, label), ms AS ({_class_sql('cm', 'draw')})"""
 
 
-@query("bootstrap_ci", f"WITH {_PREDS}, e AS (SELECT draw, (y = yhat)::INT AS hit, ('0x' || substring(md5(draw || ':' || gdoc_key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM preds CROSS JOIN range(1, 101) t(draw)), s AS (SELECT draw, sum(hit * w) / sum(w) AS m FROM (SELECT draw, hit, {_BOOT} AS w FROM e) GROUP BY draw) SELECT round((SELECT avg((y = yhat)::INT) FROM preds), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM s")
+@query("bootstrap_ci", f"WITH {_BOOTED} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round((SELECT {m} FROM ms WHERE draw = 0), 6) AS point, round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.975), 6) AS high FROM ms WHERE draw > 0" for m in ("accuracy", "macro_f1", "mcc")))
 def _(spark, d):
-    return metrics.bootstrap_ci(_preds(spark, d).select("gdoc_key", "y", "yhat"), "gdoc_key", 1000)
+    return metrics.bootstrap_ci(_multi(spark, d), "gdoc_key", 1000, metrics=("accuracy", "macro_f1", "mcc"))
 
 
 _PAIRS = f"{_PREDS}, pr AS (SELECT source, avg((y = yhat)::INT) AS a, avg((y = yhat2)::INT) AS b FROM preds WHERE source IS NOT NULL GROUP BY source)"
+#: p values: t by Simpson's rule over its density, the signed ranks by the normal distribution (there are ties), likewise.
+_DENSITY = "exp(lgamma((n) / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) * pow(1 + x * x / (n - 1), -(n) / 2.0)"
 
 
-@query("paired_stats", f"WITH {_PAIRS}, dd AS (SELECT source, a - b AS d FROM pr), nz AS (SELECT d, round(abs(d), 12) AS ad FROM dd WHERE d <> 0), rk AS (SELECT d, rank() OVER (ORDER BY ad) + (count(*) OVER (PARTITION BY ad) - 1) / 2.0 AS r FROM nz), w AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm FROM rk) SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_pop(d), 6) AS std_diff, round(avg(d) / greatest(stddev_pop(d), 1e-10), 6) AS cohens_d, round(CASE WHEN count(*) >= 2 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t, round(CASE WHEN count(*) >= 6 THEN (SELECT least(wp, wm) FROM w) END::DOUBLE, 6) AS w FROM dd")
+@query("paired_stats", f"""WITH {_PAIRS}, dd AS (SELECT source, a - b AS d FROM pr), nz AS (SELECT d, round(abs(d), 12) AS ad FROM dd WHERE d <> 0), rk AS (SELECT d, rank() OVER (ORDER BY ad) + (count(*) OVER (PARTITION BY ad) - 1) / 2.0 AS r FROM nz), w AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm, sqrt(sum(r * r)) / 2 AS sd FROM rk),
+ st AS (SELECT count(*) AS n, avg(d) AS mean, stddev_pop(d) AS sp, CASE WHEN count(*) >= 2 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t, CASE WHEN count(*) >= 6 THEN (SELECT least(wp, wm) FROM w) END::DOUBLE AS w, (SELECT abs(wp - wm) / 2 / sd FROM w) AS z FROM dd),
+ grid AS (SELECT n, abs(t) AS top, z, i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS k FROM st CROSS JOIN range(0, 2001) r(i)),
+ area AS (SELECT sum(k * f) * any_value(top) / 6000 AS t, sum(k * exp(-y * y / 2) / sqrt(2 * pi())) * any_value(z) / 6000 AS z FROM (SELECT *, {_DENSITY} AS f FROM (SELECT *, top * i / 2000 AS x, z * i / 2000 AS y FROM grid)))
+ SELECT n, round(mean, 6) AS mean_diff, round(sp, 6) AS std_diff, round(mean / greatest(sp, 1e-10), 6) AS cohens_d, round(st.t, 6) AS t, round(1 - 2 * area.t, 6) AS t_p, round(w, 6) AS w, round(1 - 2 * area.z, 6) AS w_p FROM st CROSS JOIN area""")
 def _(spark, d):
     by = _preds(spark, d).where("source is not null").groupBy("source").agg(F.avg((F.col("y") == F.col("yhat")).cast("int")).alias("a"), F.avg((F.col("y") == F.col("yhat2")).cast("int")).alias("b"))
     return metrics.paired_stats(by, "source")
@@ -286,7 +389,7 @@ def _(spark, d):
 
 
 _ERR = f"""{sql.KNOWN}, {sql.TYPES}, {sql.LEX}, {sql.LEX_KEYS}, {sql.CASCADE}, vars AS (SELECT DISTINCT w FROM ({sql.candidates('types', old=False)}) WHERE ord > 0), lt AS (SELECT unit_key, line_no, {sql.norm('line')} AS norm, {sql.toks('line')} AS ts FROM lines),
- shared AS (SELECT norm FROM lt GROUP BY norm HAVING count(DISTINCT unit_key) > 1), each AS (SELECT unit_key, line_no, unnest(ts) AS w FROM lt), ag AS (SELECT unit_key, line_no, count(*) AS n, count(*) FILTER (priority IS NULL) AS oov, count(*) FILTER (v.w IS NOT NULL) AS nv, count(*) FILTER (each.w IN ({", ".join(f"'{x}'" for x in features.TAG_LOANWORDS)})) AS loan FROM each JOIN found USING (w) LEFT JOIN vars v ON v.w = each.w GROUP BY unit_key, line_no),
+ songs AS (SELECT {sql.norm(sql.UNIT_TEXT)} AS text FROM liturgical_units WHERE unit_type IN ('hymn', 'canticle')), shared AS (SELECT norm FROM (SELECT DISTINCT norm FROM lt) JOIN songs ON contains(text, norm) GROUP BY norm HAVING count(*) > 1), each AS (SELECT unit_key, line_no, unnest(ts) AS w FROM lt), ag AS (SELECT unit_key, line_no, count(*) AS n, count(*) FILTER (priority IS NULL) AS oov, count(*) FILTER (v.w IS NOT NULL) AS nv, count(*) FILTER (each.w IN ({", ".join(f"'{x}'" for x in features.TAG_LOANWORDS)})) AS loan FROM each JOIN found USING (w) LEFT JOIN vars v ON v.w = each.w GROUP BY unit_key, line_no),
  tagged AS (SELECT lt.unit_key, lt.line_no, coalesce(nullif(concat_ws(',', CASE WHEN coalesce(n, 0) <= 3 THEN 'short_phrase' END, CASE WHEN oov > 0.5 * n THEN 'high_oov' END, CASE WHEN nv > 0 THEN 'spelling_variant' END, CASE WHEN norm IN (SELECT norm FROM shared) THEN 'shared_refrain' END, CASE WHEN loan > 0.3 * n THEN 'loanword_heavy' END), ''), 'unknown') AS tags FROM lt LEFT JOIN ag ON ag.unit_key = lt.unit_key AND ag.line_no = lt.line_no)"""
 
 
@@ -297,66 +400,82 @@ def _line_tokens(spark, d):
 def _told(spark, d):
     """Token types with whether no lookup finds them and whether they have another spelling."""
     types = base.types(spark, d)
-    return lx.lookup_cascade(types, base.combined(spark, d)).select("token", F.col("priority").isNull().cast("int").alias("oov"), (F.size(modern_candidates(F.col("token"))) > 1).cast("int").alias("varied"))
+    return lx.lookup_cascade(types, base.combined(spark, d)).select("token", F.col("priority").isNull().cast("int").alias("oov"), F.coalesce((F.col("priority") > 0).cast("int"), F.lit(0)).alias("mapped"), (F.size(modern_candidates(F.col("token"))) > 1).cast("int").alias("varied"))
 
 
 def _refrains(spark, d):
-    """(line, lo, hi): lines that the texts of several units contain, with the smallest and largest key of those."""
-    texts = table(spark, d, "liturgical_units").select(F.col("unit_key").alias("key"), normalise(base.unit_text()).alias("text"))
+    """(line, lo, hi): lines that the texts of several songs contain, with the smallest and largest key of those."""
+    texts = table(spark, d, "liturgical_units").where(F.col("unit_type").isin(*base.SONG_TYPES)).select(F.col("unit_key").alias("key"), normalise(base.unit_text()).alias("text"))
     return refrains.shared(base.lines(spark, d).select(normalise(F.col("line")).alias("line")), texts)
 
 
-@query("refrain_containment", f"WITH ls AS (SELECT DISTINCT {sql.norm('line')} AS line FROM (SELECT unnest(coalesce(lines, string_split(raw_text, chr(10)))) AS line FROM liturgical_units)), tx AS (SELECT unit_key, {sql.norm(sql.UNIT_TEXT)} AS text FROM liturgical_units) SELECT line, min(unit_key) AS first_unit, max(unit_key) AS last_unit FROM ls JOIN tx ON contains(text, line) GROUP BY line HAVING count(*) > 1")
+@query("refrain_containment", f"WITH {sql.LINES}, ls AS (SELECT DISTINCT {sql.norm('line')} AS line FROM lines), tx AS (SELECT unit_key, {sql.norm(sql.UNIT_TEXT)} AS text FROM liturgical_units WHERE unit_type IN ('hymn', 'canticle')) SELECT line, min(unit_key) AS first_unit, max(unit_key) AS last_unit FROM ls JOIN tx ON contains(text, line) GROUP BY line HAVING count(*) > 1")
 def _(spark, d):
     return _refrains(spark, d).select("line", F.col("lo").alias("first_unit"), F.col("hi").alias("last_unit"))
 
 
+def _tagged(spark, d, lines):
+    """lines (unit_key, line_no, norm, ts, ...) plus oov_tokens, variant_mapped_tokens (in order, joined by ;) and tags.
+
+    Types are looked up once; a type is mapped if only a variant of it is found."""
+    lines, refs = cut(lines), _refrains(spark, d).select(F.col("line").alias("norm"), F.lit(1).alias("shared"))
+    each = lines.select("unit_key", "line_no", F.posexplode("ts").alias("i", "token")).join(_told(spark, d), "token")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("i", "token")))), lambda x: x["token"]), ";")
+    ag = each.groupBy("unit_key", "line_no").agg(F.count("*").alias("n"), F.sum("oov").alias("oov"), F.sum("varied").alias("nv"), F.sum(F.col("token").isin(*features.TAG_LOANWORDS).cast("int")).alias("loan"), joined(F.col("oov") == 1).alias("oov_tokens"), joined(F.col("mapped") == 1).alias("variant_mapped_tokens"))
+    j = lines.join(ag, ["unit_key", "line_no"], "left").join(refs, "norm", "left")
+    tags = F.concat_ws(",", F.when(F.coalesce("n", F.lit(0)) <= 3, "short_phrase"), F.when(F.col("oov") > 0.5 * F.col("n"), "high_oov"), F.when(F.col("nv") > 0, "spelling_variant"), F.when(F.col("shared") == 1, "shared_refrain"), F.when(F.col("loan") > 0.3 * F.col("n"), "loanword_heavy"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return j.select(*lines.columns, empty("oov_tokens"), empty("variant_mapped_tokens"), F.coalesce(F.nullif(tags, F.lit("")), F.lit("unknown")).alias("tags"))
+
+
 @query("error_tags", f"WITH {_ERR} SELECT unit_key, line_no, tags FROM tagged")
 def _(spark, d):
-    lt = _line_tokens(spark, d)
-    shared = _refrains(spark, d).select(F.col("line").alias("norm"), F.lit(1).alias("shared"))
-    each = lt.select("unit_key", "line_no", F.explode("ts").alias("token")).join(_told(spark, d), "token")
-    ag = each.groupBy("unit_key", "line_no").agg(F.count("*").alias("n"), F.sum("oov").alias("oov"), F.sum("varied").alias("nv"), F.sum(F.col("token").isin(*features.TAG_LOANWORDS).cast("int")).alias("loan"))
-    j = lt.select("unit_key", "line_no", "norm").join(ag, ["unit_key", "line_no"], "left").join(shared, "norm", "left")
-    tags = F.concat_ws(",", F.when(F.coalesce("n", F.lit(0)) <= 3, "short_phrase"), F.when(F.col("oov") > 0.5 * F.col("n"), "high_oov"), F.when(F.col("nv") > 0, "spelling_variant"), F.when(F.col("shared") == 1, "shared_refrain"), F.when(F.col("loan") > 0.3 * F.col("n"), "loanword_heavy"))
-    return j.select("unit_key", "line_no", F.coalesce(F.nullif(tags, F.lit("")), F.lit("unknown")).alias("tags"))
+    return _tagged(spark, d, _line_tokens(spark, d)).select("unit_key", "line_no", "tags")
 
 
-@query("error_export", f"WITH {_ERR}, pos AS (SELECT unit_key, line_no, i, ts[i] AS w FROM (SELECT unit_key, line_no, ts, unnest(range(1, len(ts) + 1)) AS i FROM lt)) SELECT unit_key, line_no, coalesce(string_agg(pos.w, ';' ORDER BY i) FILTER (priority IS NULL), '') AS oov_tokens, coalesce(string_agg(pos.w, ';' ORDER BY i) FILTER (v.w IS NOT NULL), '') AS variant_tokens FROM pos JOIN found USING (w) LEFT JOIN vars v ON v.w = pos.w GROUP BY unit_key, line_no")
+#: Lines judged by a fixed rule: prose lines have more words.
+_RULE = "ruled AS (SELECT unit_key, line_no, line, CASE WHEN unit_type = 'liturgical_prose' THEN 'prose' ELSE 'song' END AS y, len(ts) AS k FROM (SELECT *, {toks} AS ts FROM lines) WHERE unit_type IN ('hymn', 'canticle', 'liturgical_prose') AND len(ts) >= 2)"
+
+
+@query("error_export", f"""WITH {_ERR}, {_RULE.format(toks=sql.toks('line'))}, wrong AS (SELECT *, CASE WHEN k >= 8 THEN 'prose' ELSE 'song' END AS yhat FROM ruled WHERE y <> CASE WHEN k >= 8 THEN 'prose' ELSE 'song' END),
+ pos AS (SELECT unit_key, line_no, i, ts[i] AS w FROM (SELECT unit_key, line_no, ts, unnest(range(1, len(ts) + 1)) AS i FROM lt)), words AS (SELECT unit_key, line_no, string_agg(pos.w, ';' ORDER BY i) FILTER (priority IS NULL) AS oov, string_agg(pos.w, ';' ORDER BY i) FILTER (priority > 0) AS mapped FROM pos JOIN found USING (w) GROUP BY unit_key, line_no)
+ SELECT unit_key, line_no, line AS phrase_raw, norm AS phrase_normalised, y AS "true", yhat AS predicted, round(1 - 1.0 / k, 6)::DOUBLE AS score, 'line_length' AS "system", 'combined' AS lexicon_condition, k::INT AS phrase_length, coalesce(oov, '') AS oov_tokens, coalesce(mapped, '') AS variant_mapped_tokens, tags AS reason_tag FROM wrong JOIN lt USING (unit_key, line_no) JOIN tagged USING (unit_key, line_no) LEFT JOIN words USING (unit_key, line_no)""")
 def _(spark, d):
-    each = _line_tokens(spark, d).select("unit_key", "line_no", F.posexplode("ts").alias("i", "token")).join(_told(spark, d), "token")
-    joined = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(flag) == 1, F.struct("i", "token")))), lambda x: x["token"]), ";")
-    return each.groupBy("unit_key", "line_no").agg(joined("oov").alias("oov_tokens"), joined("varied").alias("variant_tokens"))
+    """The lines that a fixed rule takes for the wrong kind, with what may explain it."""
+    y = F.when(F.col("unit_type") == "liturgical_prose", "prose").otherwise("song")
+    guess = F.when(F.size("ts") >= 8, "prose").otherwise("song")
+    lines = base.lines(spark, d).where(F.col("unit_type").isin("hymn", "canticle", "liturgical_prose"))
+    judged = lines.select("unit_key", "line_no", "line", normalise(F.col("line")).alias("norm"), tokens(F.col("line")).alias("ts"), y.alias("y")).where("size(ts) >= 2")
+    wrong = judged.withColumn("yhat", guess).where("y <> yhat").withColumn("score", F.round(1 - 1.0 / F.size("ts"), 6))
+    return export_errors(_tagged(spark, d, wrong), "line_length", "combined")
 
 
-def _mask(frac: str) -> str:
-    return f"SELECT {frac} AS fraction, seed, headword FROM (SELECT seed, headword, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || headword), headword) AS r, count(*) OVER (PARTITION BY seed) AS n FROM heads CROSS JOIN (VALUES (42), (123)) s(seed)) WHERE r > floor(n * {frac})"
+def export_errors(wrong, system: str, condition: str):
+    """The columns of an error export from tagged lines (unit_key, line_no, line, norm, ts, y, yhat, score, tags, ...)."""
+    return wrong.select("unit_key", "line_no", F.col("line").alias("phrase_raw"), F.col("norm").alias("phrase_normalised"), F.col("y").alias("true"), F.col("yhat").alias("predicted"), "score", F.lit(system).alias("system"), F.lit(condition).alias("lexicon_condition"), F.size("ts").alias("phrase_length"), "oov_tokens", "variant_mapped_tokens", F.col("tags").alias("reason_tag"))
 
 
-_MASKED = f"{sql.TYPES}, heads AS (SELECT DISTINCT lower(trim(word)) AS headword FROM house_lexicon WHERE lower(trim(word)) NOT IN ('', 'nan')), kept AS ({_mask('0.25::DOUBLE')} UNION ALL {_mask('0.5::DOUBLE')} UNION ALL {_mask('0.75::DOUBLE')}), cov AS (SELECT fraction, seed, count(*) AS n_left, count(*) FILTER (headword IN (SELECT w FROM types)) AS covered FROM kept GROUP BY fraction, seed)"
+#: The fractions and seeds of the masking experiment.
+FRACTIONS, SEEDS = (0.25, 0.5, 0.75, 1.0), (42, 123, 456, 789, 101)
+_MASKED = f"""{sql.KNOWN}, {sql.TYPES}, {sql.LEX}, heads AS (SELECT DISTINCT headword FROM lex), nh AS (SELECT count(*) AS n FROM heads), nt AS (SELECT count(*) AS n FROM types), rk AS (SELECT seed, headword, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || headword), headword) AS r FROM heads CROSS JOIN (VALUES {", ".join(f"({x})" for x in SEEDS)}) s(seed)),
+ mk AS (SELECT headword AS key, headword FROM lex UNION SELECT normalised_form, headword FROM lex WHERE normalised_form <> ''), mh AS (SELECT w, headword, max((w = headword)::INT) AS own FROM ({sql.candidates('types')}) JOIN mk ON candidate = key GROUP BY w, headword),
+ lst AS (SELECT w, seed, max(CASE WHEN own = 1 THEN r END) AS d, max(r) AS a FROM mh JOIN rk USING (headword) GROUP BY w, seed),
+ raw AS (SELECT 0.0 AS fraction, 0 AS seed, (SELECT n FROM nh) AS n_left, count(d) AS direct, count(a) AS total FROM lst WHERE seed = {SEEDS[0]} UNION ALL SELECT f, seed, (SELECT n FROM nh) - floor((SELECT n FROM nh) * f)::BIGINT, count(*) FILTER (d > floor((SELECT n FROM nh) * f)), count(*) FILTER (a > floor((SELECT n FROM nh) * f)) FROM lst CROSS JOIN (VALUES {", ".join(f"({x}::DOUBLE)" for x in FRACTIONS)}) fs(f) GROUP BY f, seed),
+ cov AS (SELECT *, round(100.0 * direct / greatest((SELECT n FROM nt), 1), 6) AS direct_pct, round(100.0 * total / greatest((SELECT n FROM nt), 1), 6) AS total_pct FROM raw)"""
 
 
 def _masked(spark, d):
-    """(fraction, seed, n_left, covered): the house list (bounded) with its first words by hash masked."""
-    heads = base.house(spark, d).select("headword").distinct()
-    n = heads.count()
-    seeds = heads.withColumn("seed", F.explode(F.array(F.lit(42), F.lit(123))))
-    from pyspark.sql import Window as W
-
-    rank = seeds.withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), "headword")), "headword")))
-    kept = rank.withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).where(F.col("r") > F.floor(n * F.col("fraction")))
-    j = kept.join(base.types(spark, d).select(F.col("token").alias("headword"), F.lit(1).alias("hit")), "headword", "left")
-    return j.groupBy("fraction", "seed").agg(F.count("*").alias("n_left"), F.count("hit").alias("covered"))
+    return lx.masked_coverage(cut(base.types(spark, d)), cut(base.combined(spark, d)), FRACTIONS, SEEDS)
 
 
-@query("mask_coverage", f"WITH {_MASKED} SELECT fraction, seed, n_left, covered FROM cov")
+@query("mask_coverage", f"WITH {_MASKED} SELECT fraction::DOUBLE AS fraction, seed, n_left, direct, total, direct_pct, total_pct FROM cov")
 def _(spark, d):
     return _masked(spark, d)
 
 
-@query("mask_summary", f"WITH {_MASKED} SELECT fraction, round(avg(covered), 6) AS mean_covered, round(stddev_samp(covered), 6) AS std_covered FROM cov GROUP BY fraction")
+@query("mask_summary", f"WITH {_MASKED} SELECT fraction::DOUBLE AS fraction, round(avg(direct_pct), 6) AS mean_direct, round(stddev_samp(direct_pct), 6) AS std_direct, round(avg(total_pct), 6) AS mean_total FROM cov GROUP BY fraction")
 def _(spark, d):
-    return _masked(spark, d).groupBy("fraction").agg(F.round(F.avg("covered"), 6).alias("mean_covered"), F.round(F.stddev_samp("covered"), 6).alias("std_covered"))
+    return _masked(spark, d).groupBy("fraction").agg(F.round(F.avg("direct_pct"), 6).alias("mean_direct"), F.round(F.stddev_samp("direct_pct"), 6).alias("std_direct"), F.round(F.avg("total_pct"), 6).alias("mean_total"))
 
 
 @query("majority_baseline", "WITH f AS (SELECT gdoc_key, genre, ((row_number() OVER (ORDER BY genre, md5('42:' || gdoc_key), gdoc_key) - 1) % 5)::INT AS fold FROM genre_documents WHERE genre IS NOT NULL), m AS (SELECT k.fold, f.genre, count(*) AS n FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY k.fold, f.genre), b AS (SELECT fold, genre AS guess FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, genre) = 1) SELECT fold, guess, count(*) AS n, round(avg((genre = guess)::INT), 6) AS accuracy FROM f JOIN b USING (fold) GROUP BY fold, guess")

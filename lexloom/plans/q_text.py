@@ -10,7 +10,7 @@ from lexloom.operators import lexicon as lx
 from lexloom.operators import segments as sg
 from lexloom.operators.numbering import number_rows
 from lexloom.plans import base, sql
-from lexloom.session import table
+from lexloom.session import cut, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,10 +131,16 @@ def _(spark, d):
     return sg.best_method(_scores(spark, d))
 
 
-@query("manual_slices", f"WITH {sql.LINES}, n AS (SELECT row_number() OVER (ORDER BY unit_key, line_no) - 1 AS n, line FROM lines), b AS (SELECT 'slice ' || i AS title, i * 37 AS s, i * 37 + 5 AS e FROM range(0, 200) t(i)) SELECT title, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS text FROM b JOIN n ON n >= s AND n < e GROUP BY title")
+@query("detected_units", f"{_SCORES}, best AS (SELECT method FROM scores ORDER BY score DESC, CASE WHEN method = 'headings' THEN 0 ELSE 1 END LIMIT 1) SELECT unit_id, page, title, n_lines, speaker, text, unit_type, 'headings' AS heuristic FROM headed WHERE (SELECT method FROM best) = 'headings' UNION ALL SELECT unit_id, page, title, n_lines, speaker, text, unit_type, 'blank_lines' FROM blank WHERE (SELECT method FROM best) = 'blank_lines'")
+def _(spark, d):
+    return sg.detect_units(base.pages(spark, d))
+
+
+@query("manual_slices", f"WITH {sql.LINES}, n AS (SELECT row_number() OVER (ORDER BY unit_key, line_no) - 1 AS n, line FROM lines), b AS (SELECT i, 'slice ' || (i // 2) AS title, CASE WHEN i % 3 = 0 THEN 'hymn' END AS unit_type, (i // 2) * 37 AS s, (i // 2) * 37 + 5 + i % 2 AS e FROM range(0, 200) t(i)) SELECT any_value(title) AS title, any_value(unit_type) AS unit_type, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS text FROM b JOIN n ON n >= s AND n < e GROUP BY i")
 def _(spark, d):
     numbered = number_rows(base.lines(spark, d).select("unit_key", "line_no", "line"), ["unit_key", "line_no"], "n")
-    bounds = spark.range(200).select(F.concat(F.lit("slice "), F.col("id").cast("string")).alias("title"), (F.col("id") * 37).alias("start_line"), (F.col("id") * 37 + 5).alias("end_line"))
+    start = F.floor(F.col("id") / 2) * 37
+    bounds = spark.range(200).select(F.concat(F.lit("slice "), F.floor(F.col("id") / 2).cast("string")).alias("title"), start.alias("start_line"), (start + 5 + F.col("id") % 2).alias("end_line"), F.when(F.col("id") % 3 == 0, "hymn").alias("unit_type"))
     return sg.manual_slices(numbered.select("n", "line"), bounds)
 
 
@@ -174,16 +180,29 @@ def _(spark, d):
     return number_rows(f, ["down", "token"], "rank").select((F.col("rank") + 1).alias("rank"), "token", "n")
 
 
-@query("unit_stats", f"SELECT unit_key, unit_type, len(lines) AS n_lines, coalesce(list_sum(list_transform(lines, lambda line: {_WS})), 0)::BIGINT AS n_tokens FROM liturgical_units WHERE lines IS NOT NULL")
+@query("unit_type_counts", "SELECT unit_type, count(*) AS n_units FROM liturgical_units GROUP BY unit_type")
+def _(spark, d):
+    return table(spark, d, "liturgical_units").groupBy("unit_type").agg(F.count("*").alias("n_units"))
+
+
+@query("unit_titles", "SELECT unit_key, coalesce(title, 'Song ' || unit_key) AS title FROM liturgical_units")
+def _(spark, d):
+    units = table(spark, d, "liturgical_units").select("unit_key", "title")
+    return base.with_titles(units.select("unit_key"), "unit_key", units.where("title is not null"))
+
+
+@query("unit_stats", f"SELECT unit_key, unit_type, len(ls) AS n_lines, coalesce(list_sum(list_transform(ls, lambda line: {_WS})), 0)::BIGINT AS n_tokens FROM (SELECT unit_key, unit_type, coalesce(lines, string_split(raw_text, chr(10))) AS ls FROM liturgical_units)")
 def _(spark, d):
     n = F.aggregate(F.transform("lines", whitespace_tokens), F.lit(0), lambda a, x: a + x)
     return table(spark, d, "liturgical_units").withColumn("lines", base.unit_lines()).select("unit_key", "unit_type", F.size("lines").alias("n_lines"), n.cast("bigint").alias("n_tokens"))
 
 
-@query("missing_ranges", f"WITH {sql.TYPES}, m AS (SELECT DISTINCT number::BIGINT AS n FROM house_lexicon WHERE number IS NOT NULL AND lower(trim(word)) NOT IN (SELECT w FROM types)), r AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM m) SELECT min(n) AS low, max(n) AS high, CASE WHEN min(n) = max(n) THEN min(n)::VARCHAR ELSE min(n) || '-' || max(n) END AS label FROM r GROUP BY g")
+@query("missing_ranges", f"WITH {sql.LINES}, types AS (SELECT DISTINCT unnest({sql.toks('line')}) AS w FROM lines WHERE unit_type = 'rubric'), m AS (SELECT DISTINCT number::BIGINT AS n FROM house_lexicon WHERE number IS NOT NULL AND lower(trim(word)) NOT IN (SELECT w FROM types)), r AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM m) SELECT min(n) AS low, max(n) AS high, CASE WHEN min(n) = max(n) THEN min(n)::VARCHAR ELSE min(n) || '-' || max(n) END AS label FROM r GROUP BY g")
 def _(spark, d):
+    """The numbers of the house list whose words no rubric has, as ranges."""
     house = table(spark, d, "house_lexicon").select("number", lx.clean_word("word").alias("token")).where("token is not null")
-    return lx.number_ranges(house.join(base.types(spark, d), "token", "left_anti"), "number")
+    own = base.lines(spark, d).where("unit_type = 'rubric'").select(F.explode(tokens(F.col("line"))).alias("token")).distinct()
+    return lx.number_ranges(house.join(own, "token", "left_anti"), "number")
 
 
 @query("unique_word_coverage", f"WITH {sql.TYPES}, h AS (SELECT DISTINCT lower(trim(word)) AS w FROM house_lexicon WHERE lower(trim(word)) NOT IN ('', 'nan')) SELECT (SELECT count(*) FROM h) AS n_words, (SELECT count(*) FROM h WHERE w IN (SELECT w FROM types)) AS in_corpus, (SELECT count(*) FROM types WHERE w NOT IN (SELECT w FROM h)) AS corpus_only")
@@ -241,15 +260,29 @@ def _(spark, d):
     return lx.token_features(base.types(spark, d), base.combined(spark, d))
 
 
-def _condition(name: str, where: str) -> str:
-    return f"SELECT '{name}' AS condition, count(*) AS n_types, count(*) FILTER (EXISTS (SELECT 1 FROM heads WHERE headword = w AND {where})) AS direct FROM types"
+#: Tags of the one-hot features.
+TAGS = ("NOUN", "VERB", "ADJ", "ADV", "ADP", "PRON", "PROPN", "NUM", "PART", "INTJ")
+
+
+@query("token_pos_features", f"""WITH {sql.KNOWN}, {sql.TYPES}, {sql.LEX}, {sql.LEX_KEYS}, cand AS ({sql.candidates('types')}), h AS (SELECT w, candidate, min(ord) * 2 AS o FROM cand GROUP BY w, candidate),
+ f AS (SELECT w, arg_min(candidate, (o + kind, candidate)) AS key, min(o + kind) AS p FROM h JOIN keys ON candidate = key GROUP BY w),
+ told AS (SELECT headword AS k, 0 AS kind, pos FROM lex UNION ALL SELECT normalised_form, 1, pos FROM lex WHERE normalised_form <> ''), by_key AS (SELECT k, kind, list(DISTINCT pos) FILTER (pos IS NOT NULL) AS ps FROM told GROUP BY k, kind)
+ SELECT types.w AS token, {", ".join(f"coalesce(list_contains(ps, '{t}'), false)::INT AS pos_{t}" for t in TAGS)} FROM types LEFT JOIN f ON types.w = f.w LEFT JOIN by_key ON k = f.key AND kind = p % 2""")
+def _(spark, d):
+    return lx.token_pos(base.types(spark, d), base.combined(spark, d), TAGS)
+
+
+def _condition(name: str, best: str) -> str:
+    return f"SELECT '{name}' AS condition, count(*) AS n_types, count(*) FILTER ({best} = 0) AS direct, count(*) FILTER ({best} > 0) AS variant, count(*) FILTER ({best} IS NULL) AS oov, round(100.0 * count(*) FILTER ({best} = 0) / greatest(count(*), 1), 6) AS direct_pct, round(100.0 * count({best}) / greatest(count(*), 1), 6) AS total_pct FROM types LEFT JOIN best USING (w)"
+
+
+_TIERED = f"""{sql.KNOWN}, {sql.TYPES}, {sql.LEX}, keyed AS (SELECT key, kind, max(h) AS h, max(e) AS e FROM (SELECT headword AS key, 0 AS kind, (tier = 0)::INT AS h, (tier = 1)::INT AS e FROM lex UNION ALL SELECT normalised_form, 1, (tier = 0)::INT, (tier = 1)::INT FROM lex WHERE normalised_form <> '') GROUP BY key, kind),
+ best AS (SELECT w, min(ord * 2 + kind) AS c, min(CASE WHEN h = 1 THEN ord * 2 + kind END) AS h, min(CASE WHEN e = 1 THEN ord * 2 + kind END) AS e FROM ({sql.candidates('types')}) JOIN keyed ON candidate = key GROUP BY w)"""
 
 
-@query("coverage_by_condition", f"WITH {sql.TYPES}, {sql.LEX}, heads AS (SELECT DISTINCT headword, tier FROM lex) {_condition('none', 'false')} UNION ALL {_condition('house', 'tier = 0')} UNION ALL {_condition('existing', 'tier = 1')} UNION ALL {_condition('combined', 'true')}")
+@query("coverage_by_condition", f"WITH {_TIERED} {_condition('none', 'NULL::INT')} UNION ALL {_condition('house', 'h')} UNION ALL {_condition('existing', 'e')} UNION ALL {_condition('combined', 'c')}")
 def _(spark, d):
-    heads = base.combined(spark, d).groupBy(F.col("headword").alias("token")).agg(F.max(F.expr("tier = 0")).alias("house"), F.max(F.expr("tier = 1")).alias("existing"))
-    j = base.types(spark, d).join(heads, "token", "left").agg(F.count("*").alias("n"), F.count_if(F.expr("house")).alias("house"), F.count_if(F.expr("existing")).alias("existing"), F.count("house").alias("combined"))
-    return j.selectExpr("n as n_types", "stack(4, 'none', 0L, 'house', house, 'existing', existing, 'combined', combined) as (condition, direct)").select("condition", "n_types", "direct")
+    return lx.condition_coverage(base.types(spark, d), base.combined(spark, d), {"house": F.expr("tier = 0"), "existing": F.expr("tier = 1"), "combined": F.expr("true")})
 
 
 @query("oov_tokens", f"WITH {sql.TYPES}, {sql.LEX} SELECT w AS token FROM types WHERE w NOT IN (SELECT headword FROM lex)")
@@ -276,9 +309,21 @@ def _(spark, d):
     return a.select("genre_a", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("genre_b"))
 
 
-@query("shared_refrains", f"WITH {sql.LINES} SELECT {sql.norm('line')} AS line, count(DISTINCT unit_key) AS n_units, min(unit_key) AS first_unit FROM lines GROUP BY 1 HAVING count(DISTINCT unit_key) > 1")
+_SUNG = f"sung AS (SELECT DISTINCT {sql.norm('line')} AS line, unit_key FROM lines WHERE unit_type IN ('hymn', 'canticle'))"
+
+
+def _sung(spark, d):
+    songs = base.lines(spark, d).where(F.col("unit_type").isin(*base.SONG_TYPES))
+    return songs.select(normalise(F.col("line")).alias("line"), "unit_key").where("line is not null").distinct()
+
+
+@query("shared_refrains", f"WITH {sql.LINES}, {_SUNG} SELECT line, count(*) AS n_units, min(unit_key) AS first_unit FROM sung WHERE line IS NOT NULL GROUP BY line HAVING count(*) > 1")
 def _(spark, d):
-    each = base.lines(spark, d).select(normalise(F.col("line")).alias("line"), "unit_key").distinct()
-    return each.groupBy("line").agg(F.count("*").alias("n_units"), F.min("unit_key").alias("first_unit")).where("n_units > 1 and line is not null")
+    """Lines that several songs share."""
+    return _sung(spark, d).groupBy("line").agg(F.count("*").alias("n_units"), F.min("unit_key").alias("first_unit")).where("n_units > 1")
 
 
+@query("shared_refrain_units", f"WITH {sql.LINES}, {_SUNG} SELECT line, unit_key FROM sung WHERE line IN (SELECT line FROM sung GROUP BY line HAVING count(*) > 1)")
+def _(spark, d):
+    """The songs of each shared line, a row each, so that a line that very many share is no single row."""
+    return base.shared_by(cut(_sung(spark, d)), "line", "unit_key")

@@ -50,9 +50,9 @@ MODERN = [
     ("medial_c", _TWICE.format(p="([aeiou])c([aou])", r="\\1k\\2")),
     ("gu_before_ei", "regexp_replace(w, 'gu([ei])', 'g\\1', 'g')"),
     ("n_tilde", "replace(w, 'ñ', 'ny')"),
-    ("final_c", "regexp_replace(w, 'c$', 'k')"),
+    ("final_c", "regexp_replace(w, '(.)c$', '\\1k')"),
 ]
-OLD = [("k_before_aou", "regexp_replace(w, 'k([aou])', 'c\\1', 'g')"), ("k_before_ei", "regexp_replace(w, 'k([ei])', 'qu\\1', 'g')"), ("final_k", "regexp_replace(w, 'k$', 'c')")]
+OLD = [("k_before_aou", "regexp_replace(w, 'k([aou])', 'c\\1', 'g')"), ("k_before_ei", "regexp_replace(w, 'k([ei])', 'qu\\1', 'g')"), ("final_k", "regexp_replace(w, '(.)k$', '\\1c')")]
 
 
 def candidates(types: str, modern: bool = True, old: bool = True) -> str:
@@ -67,8 +67,8 @@ def candidates(types: str, modern: bool = True, old: bool = True) -> str:
     return " UNION ALL ".join(out)
 
 
-#: Lines of all units: lines(unit_key, unit_type, line_no, line).
-LINES = "lines AS (SELECT unit_key, unit_type, i - 1 AS line_no, lines[i] AS line FROM (SELECT unit_key, unit_type, lines, unnest(range(1, len(lines) + 1)) AS i FROM liturgical_units))"
+#: Lines of all units, of raw_text where lines is null: lines(unit_key, unit_type, line_no, line).
+LINES = "lines AS (SELECT unit_key, unit_type, i - 1 AS line_no, ls[i] AS line FROM (SELECT unit_key, unit_type, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT unit_key, unit_type, coalesce(lines, string_split(raw_text, chr(10))) AS ls FROM liturgical_units)))"
 #: Token types of all unit lines.
 TYPES = f"{LINES}, types AS (SELECT DISTINCT unnest({toks('line')}) AS w FROM lines)"
 #: The whole lexicon: the house list and the entries, by (tier, ord).

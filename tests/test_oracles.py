@@ -8,7 +8,7 @@ from conftest import SF
 
 from lexloom.plans import catalog
 
-SLOW = {"retrieval_metrics", "combined_topk", "boundary_best", "tfidf_char"}
+SLOW: set[str] = set()
 
 
 def cell(v):
