@@ -6,9 +6,10 @@ Texts of one bag form a *class* (a 64-bit hash of the bag, the sum of its mixed
 
 1. `parse` reads every text once and keeps its class, and each class's bag (once a task, however many copies it has);
 2. a signature turns each bag into bucket keys. Every element counts the same in its minima, as it does in the overlap,
-   however common its words are. Only buckets of several classes are kept (`shared_buckets`);
-3. runs of equal keys give candidate pairs of classes. The classes of runs beyond RUN take an exact way instead: a prefix
-   join over their rarest elements (`hot_pairs`), in blocks of RUN classes, each pair once;
+   however common its words are;
+3. runs of equal keys give candidate pairs of classes, but for those whose sketches already rule the overlap out. The
+   classes of runs beyond RUN take an exact way instead: a prefix join over their rarest elements (`hot_pairs`), in blocks
+   of RUN classes, each pair once;
 4. candidates meet the bags of their classes, no others, and the overlap is counted exactly (`verify`);
 5. pairs of classes, and classes of several rows, are unfolded to rows only where a result asks for pairs of rows, in
    blocks of BLOCK rows (`row_pairs`).
@@ -34,8 +35,14 @@ MIN_WORDS = 20
 OVERLAP = 0.6
 #: Classes of one bucket that are paired within it; the classes of larger buckets take the exact way.
 RUN = 400
+#: Classes that are broadcast, with two or three numbers each; a list of more is shuffled.
+FEW = 1_000_000
 #: Rows of one class that are unfolded together.
 BLOCK = 1000
+#: A bag's sketch: the places of its elements among 64 * SKETCH bits. Elements of a bag at places that another bag lacks
+#: are not shared, so the sketches bound the overlap from above, exactly, and the more tightly the shorter the texts are.
+SKETCH = 4
+_S = [f"s{i}" for i in range(SKETCH)]
 #: Sides of a row: a pair needs one row that may stand left and one that may stand right.
 LEFT, RIGHT = 1, 2
 
@@ -79,25 +86,31 @@ def min_hashes(e: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarr
     return out
 
 
+def sketches(e: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    place = mix(e ^ U(0x3C6EF372FE94F82B)) % U(64 * SKETCH)
+    bit = U(1) << (place & U(63))
+    return [np.bitwise_or.reduceat(np.where(place >> U(6) == i, bit, U(0)), starts) for i in range(SKETCH)]
+
+
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def parse(rows: DataFrame, key: str, text: str, side: Column) -> DataFrame:
     """What all later steps read, cut: a row (key, class, meta) for every text that takes part, meta being its side, and
-    a row (class, meta, bag) with whole = true for every class and side of a task, meta being 4 * elements + side.
+    a row (class, meta, bag, sketch) with whole = true for every class and side of a task, meta being 4 * elements + side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = PieceHash(), set()
-        names = ["whole", "key", "class", "meta", "bag"]
+        names = ["whole", "key", "class", "meta", "bag", *_S]
         for b in batches:
             e, starts, who = elements(b.column(1).to_pylist(), pieces)
             if not len(starts):
                 continue
             ids, n, ends = class_ids(e, starts), len(starts), np.append(starts, len(e))
             sides = b.column(2).to_numpy(zero_copy_only=False)[who].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), b.column(0).take(pa.array(who)), _i64(ids), pa.array(sides), pa.nulls(n, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), b.column(0).take(pa.array(who)), _i64(ids), pa.array(sides), pa.nulls(n, pa.list_(pa.int64())), *[pa.nulls(n, pa.int64())] * SKETCH], names)
             new = []
             for k, x in enumerate(zip(ids.tolist(), sides.tolist(), strict=True)):
                 if x not in seen:
@@ -107,10 +120,10 @@ def parse(rows: DataFrame, key: str, text: str, side: Column) -> DataFrame:
                 seen.clear()
             if new:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _i64(e)).take(pa.array(new))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(new), bool)), pa.nulls(len(new), pa.int64()), _i64(ids[new]), pa.array(sides[new] + 4 * np.diff(ends)[new]), lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(new), bool)), pa.nulls(len(new), pa.int64()), _i64(ids[new]), pa.array(sides[new] + 4 * np.diff(ends)[new]), lists, *(_i64(x[new]) for x in sketches(e, starts))], names)
 
     taken = rows.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), side.cast("tinyint").alias("s")).where("k is not null and t is not null and s > 0")
-    return cut(taken.mapInArrow(run, "whole boolean, key bigint, class bigint, meta bigint, bag array<bigint>"))
+    return cut(taken.mapInArrow(run, "whole boolean, key bigint, class bigint, meta bigint, bag array<bigint>, " + ", ".join(f"{x} bigint" for x in _S)))
 
 
 def members_of(parsed: DataFrame) -> DataFrame:
@@ -118,39 +131,52 @@ def members_of(parsed: DataFrame) -> DataFrame:
     return parsed.where("not whole").select("key", "class", F.col("meta").alias("side"))
 
 
-def bags_of(parsed: DataFrame, classes: DataFrame) -> DataFrame:
-    """classes (class, ...) plus bag, one row a class."""
+def bags_of(parsed: DataFrame, classes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """classes (class, ..., cut) plus bag and more, one row a class, cut. Up to FEW classes are sent to the bags, so that
+    no other bag moves; more than that meet them in a shuffle."""
     rest = [c for c in classes.columns if c != "class"]
-    found = parsed.where("whole").select("class", "bag").join(classes, "class")
-    return found.groupBy("class").agg(F.first("bag").alias("bag"), *(F.first(c).alias(c) for c in rest))
+    few = F.broadcast(classes) if classes.count() <= FEW else classes
+    found = parsed.where("whole").select("class", "bag", *more).join(few, "class")
+    return cut(found.groupBy("class").agg(*(F.first(c).alias(c) for c in ("bag", *more, *rest))))
 
 
-def _merged(k: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (key, class), each class once a key with all its sides."""
+def _merged(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (key, class, meta, ...) sorted by (key, class), each class once a key with all its sides."""
+    k, c, meta = cols[:3]
     first = np.ones(len(k), bool)
     first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     at = np.flatnonzero(first)
-    return k[at], c[at], np.bitwise_or.reduceat(s, at) if len(at) else s
+    return [k[at], c[at], np.bitwise_or.reduceat(meta, at) if len(at) else meta, *(x[at] for x in cols[3:])]
 
 
-def shared_buckets(parsed: DataFrame, signature: Signature) -> DataFrame:
-    """(bucket, class, meta), cut: the buckets that hold several classes, and both sides."""
+_BUCKET = ["bucket", "class", "meta", *_S]
+
+
+def bucket_rows(parsed: DataFrame, signature: Signature) -> DataFrame:
+    """(bucket, class, meta, sketch) of every class. The sketch goes along, so that candidates are judged where buckets
+    meet, in one shuffle that grows with the texts and not with the pairs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                bags = b.column(2)
+                bags = b.column(0)
                 keys = signature(bags.flatten().to_numpy(zero_copy_only=False).view(U), bags.offsets.to_numpy()[:-1] - bags.offsets[0].as_py())
                 n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([_i64(keys.ravel()), *(pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), n)) for i in (0, 1))], ["bucket", "class", "meta"])
+                yield pa.RecordBatch.from_arrays([_i64(keys.ravel()), *(pa.array(np.repeat(x.to_numpy(zero_copy_only=False), n)) for x in b.columns[1:])], _BUCKET)
+
+    return parsed.where("whole").select("bag", "class", "meta", *_S).mapInArrow(sign, ", ".join(f"{x} bigint" for x in _BUCKET))
+
+
+def shared_buckets(parsed: DataFrame, signature: Signature) -> DataFrame:
+    """The rows of bucket_rows in buckets that hold several classes, and both sides, cut."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, passed = tuple(np.zeros(0, np.int64) for _ in range(3)), None
+        rest, passed = [np.zeros(0, np.int64)] * len(_BUCKET), None
 
-        def out(k, c, s, ok):
-            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (k, c, s)], ["bucket", "class", "meta"])
+        def out(cols, ok):
+            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in cols], _BUCKET)
 
-        def good(k, c, s):
+        def good(k, s):
             head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             size = np.diff(np.append(head, len(k)))
             return np.repeat((size > 1) & (np.bitwise_or.reduceat(s, head) & 3 == LEFT | RIGHT), size)
@@ -158,31 +184,42 @@ def shared_buckets(parsed: DataFrame, signature: Signature) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c, s = _merged(*(np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)))
-            at = int(np.searchsorted(k, k[-1]))
-            done, rest = (k[:at], c[:at], s[:at]), (k[at:], c[at:], s[at:])
+            cols = _merged([np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)])
+            at = int(np.searchsorted(cols[0], cols[0][-1]))
+            done, rest = [x[:at] for x in cols], [x[at:] for x in cols]
             if at:
-                yield out(*done, good(*done) | (done[0] == passed if passed is not None else False))
+                yield out(done, good(done[0], done[2]) | (done[0] == passed if passed is not None else False))
             if len(rest[0]) > RUN or rest[0][0] == passed:  # a long run goes on as it comes, but for the class that may go on
                 passed = int(rest[0][0])
-                yield out(*rest, np.arange(len(rest[0])) < len(rest[0]) - 1)
-                rest = tuple(x[-1:] for x in rest)
+                yield out(rest, np.arange(len(rest[0])) < len(rest[0]) - 1)
+                rest = [x[-1:] for x in rest]
         if len(rest[0]):
-            yield out(*rest, good(*rest) | (rest[0] == passed if passed is not None else False))
-
-    signed = parsed.where("whole").select("class", "meta", "bag").mapInArrow(sign, "bucket bigint, class bigint, meta bigint")
-    return cut(signed.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(keep, "bucket bigint, class bigint, meta bigint"))
-
-
-def _joinable(s: np.ndarray, t: np.ndarray, overlap: float) -> np.ndarray:
-    """Whether classes of these metas stand on two sides and are near enough in size."""
-    crossed = ((s & LEFT) & ((t & RIGHT) >> 1)) | (((s & RIGHT) >> 1) & (t & LEFT))
-    return crossed.astype(bool) & (np.minimum(s, t) // 4 >= overlap * (np.maximum(s, t) // 4))
-
-
-def _runs(k: np.ndarray, c: np.ndarray, s: np.ndarray, g: np.ndarray, overlap: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes within runs of equal keys; input sorted by (key, class), each class once a key. Classes of one
-    group g are no pair. thin: only each class with the first of its run and with the one before it."""
+            yield out(rest, good(rest[0], rest[2]) | (rest[0] == passed if passed is not None else False))
+
+    return cut(bucket_rows(parsed, signature).repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(keep, ", ".join(f"{x} bigint" for x in _BUCKET)))
+
+
+def _joinable(x: np.ndarray, y: np.ndarray, t: list[np.ndarray], overlap: float) -> np.ndarray:
+    """Whether the classes in these places stand on two sides, in two groups (or none), and may reach the overlap by size
+    and by sketch. t: class, meta, sketch and group of every place."""
+    c, meta, *sketch, g = t
+    s, r = meta[x], meta[y]
+    crossed = ((s & LEFT) & ((r & RIGHT) >> 1)) | (((s & RIGHT) >> 1) & (r & LEFT))
+    n, m = s // 4, r // 4
+    ok = crossed.astype(bool) & (c[x] != c[y]) & ((g[x] != g[y]) | (g[x] == 0)) & (np.minimum(n, m) >= overlap * np.maximum(n, m))
+    at = np.flatnonzero(ok)
+    x, y, n, m = x[at], y[at], n[at], m[at]
+    only_x, only_y = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for w in sketch:
+        only_x += np.bitwise_count((w[x] & ~w[y]).view(U))
+        only_y += np.bitwise_count((w[y] & ~w[x]).view(U))
+    ok[at] = np.minimum(n - only_x, m - only_y) >= overlap * np.maximum(n, m)
+    return ok
+
+
+def _runs(k: np.ndarray, t: list[np.ndarray], overlap: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes within runs of equal keys; input sorted by (key, class), each class once a key. thin: only each
+    class with the first of its run and with the one before it."""
     a, b = [], []
     idx = np.arange(len(k))
     if thin:
@@ -197,10 +234,9 @@ def _runs(k: np.ndarray, c: np.ndarray, s: np.ndarray, g: np.ndarray, overlap: f
             steps.append((idx, idx + j))
             j += 1
     for x, y in steps:
-        ok = (c[x] != c[y]) & _joinable(s[x], s[y], overlap)
-        ok &= (g[x] != g[y]) | (g[x] == 0)
-        a.append(c[x[ok]])
-        b.append(c[y[ok]])
+        ok = _joinable(x, y, t, overlap)
+        a.append(t[0][x[ok]])
+        b.append(t[0][y[ok]])
     none = np.zeros(0, np.int64)
     return np.concatenate(a) if a else none, np.concatenate(b) if b else none
 
@@ -208,14 +244,16 @@ def _runs(k: np.ndarray, c: np.ndarray, s: np.ndarray, g: np.ndarray, overlap: f
 def run_pairs(buckets: DataFrame, overlap: float, thin: bool = False) -> DataFrame:
     """(a, b, meta): candidate pairs a < b with meta 0; a class of a bucket over RUN as (a, a, its meta), unless thin.
 
-    buckets (bucket, class, meta, g): g is a group within which no pair is asked for, 0 for none. A long run is never
-    held: it is passed on as it comes, and with thin only its first and last class are kept.
+    buckets (bucket, class, meta, sketch, g): g is a group within which no pair is asked for, 0 for none. A long run is
+    never held: it is passed on as it comes, and with thin only its first and last class are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, hot = tuple(np.zeros(0, np.int64) for _ in range(4)), None
+        empty = [np.zeros(0, np.int64)] * (4 + SKETCH)
+        rest, hot = empty, None
 
-        def out(k, c, s, g, passed=None):
+        def out(cols, passed=None):
+            k, t = cols[0], cols[1:]
             hc, hm = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if not thin and len(k):
                 head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -223,37 +261,37 @@ def run_pairs(buckets: DataFrame, overlap: float, thin: bool = False) -> DataFra
                 long = np.repeat(size, size) > RUN
                 if passed is not None:
                     long |= k == passed
-                hc, hm, k, c, s, g = c[long], s[long], k[~long], c[~long], s[~long], g[~long]
-            a, b = _runs(k, c, s, g, overlap, thin)
+                hc, hm, k, t = t[0][long], t[1][long], k[~long], [x[~long] for x in t]
+            a, b = _runs(k, t, overlap, thin)
             p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0], hc])), pa.array(np.concatenate([p[1], hc])), pa.array(np.concatenate([np.zeros(p.shape[1], np.int64), hm]))], ["a", "b", "meta"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c, s, g = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
+            cols = _merged([np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)])
+            k = cols[0]
             at = int(np.searchsorted(k, k[-1]))
             if thin and len(k) - at > RUN:
-                yield out(k, c, s, g)
-                edge = np.array([at, len(k) - 1])
-                rest = (k[edge], c[edge], s[edge], g[edge])
+                yield out(cols)
+                rest = [x[[at, len(k) - 1]] for x in cols]
                 continue
             if at:
-                yield out(k[:at], c[:at], s[:at], g[:at], hot)
-            rest = (k[at:], c[at:], s[at:], g[at:])
+                yield out([x[:at] for x in cols], hot)
+            rest = [x[at:] for x in cols]
             if not thin and (len(rest[0]) > RUN or rest[0][0] == hot):
                 hot = int(rest[0][0])
-                yield out(*rest, hot)
-                rest = tuple(np.zeros(0, np.int64) for _ in range(4))
+                yield out(rest, hot)
+                rest = empty
         if len(rest[0]):
-            yield out(*rest, hot)
+            yield out(rest, hot)
 
-    return buckets.select("bucket", "class", "meta", "g").repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, "a bigint, b bigint, meta bigint")
+    return buckets.select(*_BUCKET, "g").repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, "a bigint, b bigint, meta bigint")
 
 
-def _block_pairs(c: np.ndarray, s: np.ndarray, g: np.ndarray, own: np.ndarray, diagonal: bool, lower: pa.ListArray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+def _block_pairs(t: list[np.ndarray], own: np.ndarray, diagonal: bool, lower: pa.ListArray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the classes of one block pair that share no element of lower rank, so that each pair comes up once."""
-    flat, off = lower.flatten().to_numpy(zero_copy_only=False), lower.offsets.to_numpy()
+    c, flat, off = t[0], lower.flatten().to_numpy(zero_copy_only=False), lower.offsets.to_numpy()
     of = np.repeat(np.arange(len(c)), np.diff(off))
     _, inv, n = np.unique(flat, return_inverse=True, return_counts=True)
     often = n > 1
@@ -271,7 +309,7 @@ def _block_pairs(c: np.ndarray, s: np.ndarray, g: np.ndarray, own: np.ndarray, d
             before += m[rows] @ m.T
         x, y = np.nonzero((before == 0) & (rows[:, None] < np.arange(len(c))[None, :]))
         x = rows[x]
-        ok = (c[x] != c[y]) & _joinable(s[x], s[y], overlap) & ((g[x] != g[y]) | (g[x] == 0))
+        ok = _joinable(x, y, t, overlap)
         if not diagonal:
             ok &= own[x] != own[y]
         a.append(c[x[ok]])
@@ -280,26 +318,26 @@ def _block_pairs(c: np.ndarray, s: np.ndarray, g: np.ndarray, own: np.ndarray, d
 
 
 def hot_pairs(hot: DataFrame, overlap: float) -> DataFrame:
-    """(a, b), a < b: all pairs of classes (class, meta, g, bag) that may reach the overlap, each once. Exact.
+    """(a, b), a < b: all pairs of classes (class, meta, g, bag, sketch) that may reach the overlap, each once. Exact.
 
     Two bags with that overlap share one of the n - ceil(overlap * n) + 1 rarest elements of each, in any order that is
     the same for all; ordering by frequency keeps the shared keys rare. The classes of an element that many share are cut
     into blocks of about RUN, and each pair of blocks is a key of its own, so no task gets them all; a pair counts only
     at the first element that both prefixes share. Elements whose classes are all of one group g are left out.
     """
-    each = hot.select("class", "meta", "g", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    each = hot.select("class", "meta", "g", *_S, F.size("bag").alias("n"), F.explode("bag").alias("e"))
     df = cut(each.groupBy("e").agg(F.count("*").alias("df")))
     total = df.agg(F.sum("df")).first()[0] or 0
-    ranked = join_by_size(each, df, ["e"], "df", total).groupBy("class").agg(F.first("meta").alias("meta"), F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("r"))
+    ranked = join_by_size(each, df, ["e"], "df", total).groupBy("class").agg(F.first("meta").alias("meta"), F.first("g").alias("g"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in _S), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("r"))
     prefix = F.transform(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * overlap) + 1).cast("int")), lambda x: x["e"])
-    short = cut(ranked.select("class", "meta", "g", prefix.alias("p")))
-    keyed = short.select("class", "meta", "g", "p", F.posexplode("p").alias("at", "e")).select("class", "meta", "g", "e", F.slice("p", F.lit(1), F.col("at")).alias("lower"))
+    short = cut(ranked.select("class", "meta", "g", *_S, prefix.alias("p")))
+    keyed = short.select("class", "meta", "g", *_S, "p", F.posexplode("p").alias("at", "e")).select("class", "meta", "g", *_S, "e", F.slice("p", F.lit(1), F.col("at")).alias("lower"))
     split = (F.min("g") != F.max("g")) | (F.min("g") == 0)
     sizes = cut(short.select("class", "g", F.explode("p").alias("e")).groupBy("e").agg(F.count("*").alias("f"), split.alias("split")).where("f > 1 and split").select("e", "f", F.ceil(F.col("f") / RUN).cast("bigint").alias("blocks")))
     total = sizes.agg(F.sum("f")).first()[0] or 0
     blocks = join_by_size(keyed, sizes, ["e"], "f", total).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
     spread = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = spread.select(F.xxhash64("e", F.least("own", "j"), F.greatest("own", "j")).alias("k"), "class", "meta", "g", "own", (F.col("own") == F.col("j")).alias("diagonal"), "lower")
+    rows = spread.select(F.xxhash64("e", F.least("own", "j"), F.greatest("own", "j")).alias("k"), "class", "meta", "g", *_S, "own", (F.col("own") == F.col("j")).alias("diagonal"), "lower")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -312,10 +350,11 @@ def hot_pairs(hot: DataFrame, overlap: float) -> DataFrame:
             for i, j in zip(head.tolist(), np.append(head[1:], len(k)).tolist(), strict=True):
                 if j - i > 1:
                     part = t.slice(i, j - i).combine_chunks()
-                    c, s, g, own = (part.column(x).to_numpy() for x in ("class", "meta", "g", "own"))
+                    cols = [part.column(x).to_numpy() for x in ("class", "meta", *_S, "g")]
+                    own = part.column("own").to_numpy()
                     diagonal = bool(part.column("diagonal")[0].as_py())
                     lower = pa.concat_arrays(part.column("lower").chunks)
-                    x, y = _block_pairs(c, s, g, own, diagonal, lower, overlap)
+                    x, y = _block_pairs(cols, own, diagonal, lower, overlap)
                     a.append(np.minimum(x, y))
                     b.append(np.maximum(x, y))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -336,14 +375,14 @@ def hot_pairs(hot: DataFrame, overlap: float) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "class").mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(parsed: DataFrame, buckets: DataFrame, overlap: float) -> DataFrame:
-    """(a, b), cut: candidate pairs of the buckets (bucket, class, meta, g), each once."""
-    found = cut(run_pairs(buckets, overlap).groupBy("a", "b").agg(F.bit_or("meta").alias("meta")))
-    pairs, hot = found.where("a <> b").select("a", "b"), found.where("a = b")
+def candidates(parsed: DataFrame, buckets: DataFrame, overlap: float, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b), cut: candidate pairs of the buckets, each once; with groups (class, g) only pairs of classes of two groups."""
+    of_group = lambda df: df.withColumn("g", F.lit(0).cast("bigint")) if groups is None else df.join(groups, "class")
+    found = cut(run_pairs(of_group(buckets), overlap).groupBy("a", "b").agg(F.bit_or("meta").alias("meta")))
+    pairs, hot = found.where("a <> b").select("a", "b"), found.where("a = b").select(F.col("a").alias("class"), "meta")
     if hot.isEmpty():
         return pairs
-    of = hot.select(F.col("a").alias("class"), "meta").join(buckets.groupBy("class").agg(F.first("g").alias("g")), "class")
-    return cut(pairs.union(hot_pairs(cut(bags_of(parsed, of)), overlap)).distinct())
+    return cut(pairs.union(hot_pairs(bags_of(parsed, cut(of_group(hot)), tuple(_S)), overlap)).distinct())
 
 
 def verify(parsed: DataFrame, pairs: DataFrame, overlap: float) -> DataFrame:
@@ -352,8 +391,6 @@ def verify(parsed: DataFrame, pairs: DataFrame, overlap: float) -> DataFrame:
     degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n")))
     total = degree.agg(F.sum("n")).first()[0] or 0
     bags = bags_of(parsed, degree)
-    if not degree.where(F.col("n") > 1000).isEmpty():
-        bags = cut(bags)
     side = lambda x: bags.select(F.col("class").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("n").alias("n"))
     left = join_by_size(pairs, side("a"), ["a"], "n", total // 2).drop("n")
     both = join_by_size(left, side("b"), ["b"], "n", total // 2).drop("n")
@@ -363,8 +400,7 @@ def verify(parsed: DataFrame, pairs: DataFrame, overlap: float) -> DataFrame:
 
 def class_pairs(parsed: DataFrame, signature: Signature, overlap: float = OVERLAP) -> DataFrame:
     """(a, b, overlap): pairs of different classes, one with a LEFT and one with a RIGHT row, of at least that overlap."""
-    buckets = shared_buckets(parsed, signature).withColumn("g", F.lit(0).cast("bigint"))
-    return verify(parsed, candidates(parsed, buckets, overlap), overlap)
+    return verify(parsed, candidates(parsed, bucket_rows(parsed, signature), overlap), overlap)
 
 
 def row_pairs(members: DataFrame, verified: DataFrame) -> DataFrame:

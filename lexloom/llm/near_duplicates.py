@@ -68,13 +68,13 @@ def near_duplicate_groups(rows: DataFrame, key: str, text: str, overlap: float =
     """
     parsed = _parsed(rows, key, text)
     buckets = shared_buckets(parsed, ball)
-    plain = buckets.withColumn("g", F.lit(0).cast("bigint"))
-    thin = cut(run_pairs(plain, overlap, thin=True).select("a", "b").distinct())
+    thin = cut(run_pairs(buckets.withColumn("g", F.lit(0).cast("bigint")), overlap, thin=True).select("a", "b").distinct())
     links = verify(parsed, thin, overlap).select("a", "b")
     roots = cut(connected_components(links)).select(F.col("node").alias("class"), "root")
-    grouped = buckets.join(roots, "class", "left").select("bucket", "class", "meta", F.coalesce("root", "class").alias("g"))
+    grouped = buckets.join(roots, "class", "left").withColumn("g", F.coalesce("root", "class")).drop("root")
     apart = grouped.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("bucket")
-    rest = candidates(parsed, cut(grouped.join(apart, "bucket")), overlap).join(thin, ["a", "b"], "left_anti")
+    left = cut(grouped.join(apart, "bucket"))
+    rest = candidates(parsed, left.drop("g"), overlap, left.select("class", "g").distinct()).join(thin, ["a", "b"], "left_anti")
     more = verify(parsed, rest, overlap).select("a", "b")
     if not more.isEmpty():
         roots = cut(connected_components(links.union(more))).select(F.col("node").alias("class"), "root")

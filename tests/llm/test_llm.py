@@ -144,7 +144,7 @@ def test_hot_pairs_exact(spark, texts, run, monkeypatch):
     monkeypatch.setattr(bags, "RUN", run)
     df, rows = texts
     parsed = bags.parse(df, "k", "t", F.lit(3))
-    b = bags.bags_of(parsed, parsed.where("whole").groupBy("class").agg(F.bit_or("meta").alias("meta"))).withColumn("g", F.lit(0).cast("bigint"))
+    b = bags.bags_of(parsed, bags.cut(parsed.where("whole").groupBy("class").agg(F.bit_or("meta").alias("meta"))), tuple(bags._S)).withColumn("g", F.lit(0).cast("bigint"))
     ids = {r["class"]: r["bag"] for r in b.collect()}
     want = {(x, y) for x in ids for y in ids if x < y and len(set(ids[x]) & set(ids[y])) / max(len(ids[x]), len(ids[y])) >= 0.6}
     got = [tuple(r) for r in bags.hot_pairs(b, 0.6).collect()]
@@ -160,12 +160,26 @@ def test_cross_split(spark, texts):
 
 def test_runs():
     k, c = np.repeat(np.arange(50), 3), np.tile(np.arange(3), 50)
-    s, g = np.full(150, 3 + 4 * 30), np.zeros(150, np.int64)
-    a, b = bags._runs(k, c, s, g, 0.6, False)
+    table = lambda g, w: [c, np.full(150, 3 + 4 * 30), *[w] * bags.SKETCH, g]
+    none = np.zeros(150, np.int64)
+    a, b = bags._runs(k, table(none, none), 0.6, False)
     assert len(a) == 150 and set(zip(a.tolist(), b.tolist())) == {(0, 1), (0, 2), (1, 2)}
-    a, b = bags._runs(k, c, s, np.where(c < 2, 7, 8), 0.6, False)
+    a, b = bags._runs(k, table(np.where(c < 2, 7, 8), none), 0.6, False)
     assert set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2)}
-    assert len(bags._runs(k[:0], c[:0], s[:0], g[:0], 0.6, True)[0]) == 0
+    a, b = bags._runs(k, table(none, np.where(c == 1, 15, 240)), 0.6, False)  # 16 of 30 elements can't be shared
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 2)}
+    assert len(bags._runs(k[:0], [x[:0] for x in table(none, none)], 0.6, True)[0]) == 0
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x = rng.integers(0, 2**62, 80).astype(np.uint64)
+        y = np.concatenate([x[: rng.integers(0, 80)], rng.integers(0, 2**62, 70).astype(np.uint64)])
+        e, starts = np.concatenate([x, y]), np.array([0, 80])
+        t = [np.array([1, 2]), np.array([4 * len(x) + 3, 4 * len(y) + 3]), *(s.view(np.int64) for s in bags.sketches(e, starts)), np.zeros(2, np.int64)]
+        share = len(set(x) & set(y)) / max(len(x), len(y))
+        assert bags._joinable(np.array([0]), np.array([1]), t, share)[0]
 
 
 def test_term_counts(spark, texts, monkeypatch):
@@ -195,6 +209,35 @@ def test_trie_round_trip():
     assert got == want
 
 
+def test_terms_of_one_long_prefix(spark, monkeypatch):
+    """Terms that share 40 characters are split behind them, and spread over routes."""
+    monkeypatch.setattr(term_counts, "ROUTES", 64)
+    monkeypatch.setattr(term_counts, "LEAST", 100)
+    head = "http-example-org-archive-of-old-texts-vol"
+    df = spark.range(20000).select(F.concat(F.lit(head), F.col("id").cast("string")).alias("t")).union(spark.range(50).select(F.lit(head)))
+    parts = term_counts.cut(term_counts._partial_tries(df.repartition(4), "t", "words"))
+    split = term_counts._split_prefixes(parts, 300)
+    routes = collections.Counter(term_counts.route_of(f"{head}{i}", split)[0] for i in range(20000))
+    assert len(routes) > 64 and max(routes.values()) <= 1200
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in term_counts.count_terms(df, "t").collect()}
+    assert got == {f"{head}{i}": (1, 1) for i in range(20000)} | {head: (50, 50)}
+
+
+def test_grafts(monkeypatch):
+    monkeypatch.setattr(term_counts, "BURST", 3)
+    rnd, want, whole = random.Random(13), collections.Counter(), term_counts.BurstTrie()
+    for _ in range(30):
+        t = term_counts.BurstTrie()
+        for _ in range(rnd.randrange(1, 60)):
+            w = "".join(rnd.choice("ab") for _ in range(rnd.randrange(7)))
+            want[w] += 1
+            t.add(w, 1, 1)
+        for c in t.containers():
+            whole.graft(c.prefix, term_counts.unpack(term_counts.pack(c.counts)))
+    got = {c.prefix + r: n[0] for c in whole.containers() for r, n in c.counts.items()}
+    assert got == want and whole.size == len(want)
+
+
 def test_format_copies(spark):
     rows = [(1, "Ab c", "x", None), (2, "a.b-c", "X ", None), (3, "abc", "x", ""), (4, None, None, None), (5, None, None, None), (6, "ábc", "x", None), (7, "cba", "x", None), (8, "", "", ""), (9, " - ", "!", "."), (10, "ABC", "x", None), (10, "ABC", "x", None)]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], "entry_id bigint, headword string, normalised_form string, source string, _n string, copies int")
@@ -204,6 +247,24 @@ def test_format_copies(spark):
     assert format_duplicates.format_copies(df.where("false"), "entry_id")[1].count() == 0
 
 
+def test_costly_keys_only_where_needed(spark):
+    rows = [(i, f"word{i}", f"form {i}", "src") for i in range(200)] + [(900, "Word7", "FORM-7", "Src"), (901, "7word", "form 7", "src"), (902, "ＫＡ", None, None), (903, "\u212as", "x", "y"), (904, "ks", "X", "Y.")]
+    df = spark.createDataFrame(rows, "entry_id bigint, headword string, normalised_form string, source string")
+    several = {r["_k"] for r in format_duplicates.several_members(df, "entry_id", format_duplicates.FIELDS).collect()}
+    anagrams = {i for i in range(200) if any(i != j and sorted(str(i)) == sorted(str(j)) for j in range(200))}
+    assert several == anagrams | {7, 900, 901, 903, 904}
+    assert {(r["first_key"], r["entry_id"]) for r in format_duplicates.format_copies(df, "entry_id")[1].collect()} == {(7, 7), (7, 900), (903, 903), (903, 904)}
+
+
+def test_histogram_of_slices():
+    import pyarrow as pa
+
+    words = pa.array(["Ab c", None, "c-BA", "", "abd", "1a", "a1"])
+    whole = format_duplicates.histogram_keys(pa.StructArray.from_arrays([words, words], ["a", "b"])).to_pylist()
+    part = format_duplicates.histogram_keys(pa.StructArray.from_arrays([words, words], ["a", "b"]).slice(2, 4)).to_pylist()
+    assert whole[2:6] == part and whole[0] == whole[2] and whole[5] == whole[6] and len(set(whole)) == 5
+
+
 def test_lookalikes(spark):
     rows = [(1, "Susagu lot yok"), (2, "Suѕagu lоt"), (3, "ｓｕｓａｇｕ　yok"), (4, "sus​agu yé"), (5, "песнь λόγος"), (6, None), (7, ""), (8, "“x” – y… ½ º é"), (9, "𝐒usagu ﬁ"), (10, "plain text"), (11, "nυlo vulo nulo nulo"), (12, "x" * 50000 + "­"), (2, "Suѕagu lоt")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "k bigint, t string, plain string")
@@ -218,7 +279,29 @@ def test_automaton():
     t = lookalikes.VocabularyTrie()
     for w, n in (("nulo", 3), ("nvlo", 5), ("kanta", 1)):
         t.add(w, n)
-    assert t.canonical("nυlo") == "nvlo" and t.canonical("kаn‍ta") == "kanta" and t.canonical("kanto") is None and t.canonical("kanto", budget=1) == "kanta" and t.canonical("kata", budget=1) == "kanta"
+    told = lambda term, budget=0: (lambda x: x and (x[0], x[3], x[4]))(t.canonical(term, budget))
+    assert told("nυlo") == (0, "nvlo", "nvlo") and told("kаn‍ta") == (0, "kanta", "kanta") and told("kanto") is None
+    assert told("kanto", 1) == (1, "kanta", "kanto") and told("kata", 1) == (1, "kanta", "kata") and told("kаntas", 1) == (1, "kanta", "kantas")
+    assert told("nυlos", 1)[2] == "nvlos" and told("xnυlos", 1) is None
+
+
+def test_routes_meet_within_one_edit():
+    rnd = random.Random(11)
+    for _ in range(300):
+        w = "".join(rnd.choice("abluv") for _ in range(rnd.randrange(2, 9)))
+        i = rnd.randrange(len(w))
+        for near in (w, w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "y" + w[i + 1 :]):
+            assert not near or set(lookalikes.word_routes(w)) & set(lookalikes.asked_routes(near)), (w, near)
+
+
+def test_readings_by_near_words(spark):
+    """The tries decide how a letter of two readings is read, also where no word is equal, and which rows come out."""
+    rows = [(1, "kulasan kulasan mang ivlog"), (2, "kυlasang Μang"), (3, "ivυlog"), (4, "plain")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = {r["row_id"]: (r["plain"], r["affected"]) for r in lookalikes.canonical_texts(df, "k", "t").collect()}
+    assert got[2] == ("kulasang Mang", True) and got[3][1] and got[4] == ("plain", False)
+    assert {r["row_id"] for r in lookalikes.affected_rows(df, "k", "t").collect()} == {2, 3}
+    assert lookalikes.affected_rows(df.where("false"), "k", "t").count() == 0
 
 
 def test_tied_groups(spark):
@@ -263,8 +346,10 @@ def test_encoding(spark):
     assert bpe.encode(df.where("false"), "doc_id", "text").count() == 0
 
 
-def test_leaks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "SHARD_WORDS", 60)
+@pytest.mark.parametrize("shard", [60, 15])
+def test_leaks(spark, monkeypatch, shard):
+    monkeypatch.setattr(leaks, "SHARD_WORDS", shard)
+    monkeypatch.setattr(leaks, "EXPANDED", 50)
     monkeypatch.setattr(leaks, "BLOCK_BYTES", 400)
     rnd = random.Random(7)
     vocab = [f"v{i}" for i in range(6)]
@@ -277,6 +362,48 @@ def test_leaks(spark, monkeypatch):
     assert got == collections.Counter((i, k) for i, a in items for k, b in docs if grams(a) & grams(b))
 
 
+def test_longest_leaks(spark):
+    rnd = random.Random(12)
+    vocab = [f"v{i}" for i in range(3)]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(60))) for i in range(25)] + [(90, "la " * 300)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(30))) for i in range(10)] + [(50, "la " * 40)]
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["item_id"], r["doc_id"]): (r["words"], r["doc_at"], r["item_at"]) for r in leaks.leaked_passages(d, "doc_id", "text", q, "item_id", "text").collect()}
+    want = {}
+    for i, a in items:
+        for k, b in docs:
+            x, y = words_of(a), words_of(b)
+            for n in range(min(len(x), len(y)), 7, -1):
+                runs = {tuple(x[p : p + n]): p for p in range(len(x) - n, -1, -1)}
+                at = next((p for p in range(len(y) - n + 1) if tuple(y[p : p + n]) in runs), None)
+                if at is not None:
+                    want[i, k] = (n, at, runs[tuple(y[at : at + n])])
+                    break
+    assert got == want and want[50, 90] == (40, 0, 0)
+
+
+def test_leaks_of_one_repeated_word(spark):
+    """A shard of one repeated word against a long item of it: linear, not the product."""
+    import time
+
+    items = leaks.Items([7], ["la " * 5000], leaks.LEAST)
+    words = np.append(np.full(1_000_000, items.query[0]), np.uint64(0))
+    began = time.time()
+    order = leaks.suffix_array(words, leaks.LEAST)
+    assert items.found_in(words, order, np.zeros(len(words), np.int64)).tolist() == [[0], [0]]
+    assert leaks.longest_match(words[:-1], items.words(0), leaks.LEAST) == (5000, 0, 0)
+    assert time.time() - began < 60
+
+
+def test_without_leaks(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "w1 w2 w3"), (3, None), (None, text), (1, "other")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, text)], "item_id bigint, text string")
+    found = leaks.leaked_passages(docs, "doc_id", "text", items, "item_id", "text", places=False)
+    assert [tuple(r) for r in found.collect()] == [(5, 1)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in leaks.without_leaks(docs, "doc_id", found).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == [(0, text), (2, "w1 w2 w3"), (3, "")]
+
+
 def test_truncation(spark):
     rnd = random.Random(8)
     vocab = [f"{a}{b}{c}" + "lo" * n for a in "ptkm" for b in "aei" for c in "nsr" for n in (0, 1, 2, 3)]
