@@ -1,8 +1,11 @@
-"""Queries of the training-data operators, and the SQL of those that SQL can express on whole tables."""
+"""Queries of the training-data operators; the SQL of those that SQL can express on whole tables is in oracles."""
 
 from __future__ import annotations
 
 from lexloom.llm import bpe, format_duplicates, grouped_splits, leaks, lookalikes, near_duplicates, split_overlap, term_counts, truncation
+from lexloom.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
@@ -24,5 +27,3 @@ QUERIES = {
     "p9_found": truncation.p9_found,
     "p9_report": truncation.p9_report,
 }
-
-ORACLES: dict[str, str] = {}
