@@ -16,12 +16,12 @@ _d = lambda a, b: F.when(b != 0, a / b)
 _r = lambda c: F.round(c, 6)
 
 
-def binary_metrics(p: DataFrame) -> DataFrame:
-    """p (y, yhat, score) -> one row: counts, accuracy, balanced accuracy, precision, recall, specificity, F1, MCC, kappa,
+def binary_metrics(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """p (y, yhat, score) -> one row (for each by): counts, accuracy, balanced accuracy, precision, recall, specificity, F1, MCC, kappa,
     log loss and Brier score. Undefined ratios are 0 as usual, MCC and kappa too."""
     clipped = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
     cells = (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))
-    a = p.agg(*(F.count_if((F.col("y") == y) & (F.col("yhat") == h)).cast("double").alias(n) for n, y, h in cells), F.avg(-F.log(F.when(F.col("y") == 1, clipped).otherwise(1 - clipped))).alias("ll"), F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("br"))
+    a = p.groupBy(*by).agg(*(F.count_if((F.col("y") == y) & (F.col("yhat") == h)).cast("double").alias(n) for n, y, h in cells), F.avg(-F.log(F.when(F.col("y") == 1, clipped).otherwise(1 - clipped))).alias("ll"), F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("br"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -29,7 +29,7 @@ def binary_metrics(p: DataFrame) -> DataFrame:
     pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
     mcc = zero(_d(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)))
     out = {"accuracy": _d(tp + tn, n), "balanced_accuracy": (rec + spec) / 2, "precision": prec, "recall": rec, "specificity": spec, "f1": zero(_d(2 * tp, 2 * tp + fp + fn)), "mcc": mcc, "kappa": zero(_d((tp + tn) / n - pe, 1 - pe)), "log_loss": F.col("ll"), "brier": F.col("br")}
-    return a.select(*(c.cast("bigint").alias(x) for c, x in ((tp, "tp"), (fp, "fp"), (fn, "fn"), (tn, "tn"))), *(_r(c).alias(k) for k, c in out.items()))
+    return a.select(*by, *(c.cast("bigint").alias(x) for c, x in ((tp, "tp"), (fp, "fp"), (fn, "fn"), (tn, "tn"))), *(_r(c).alias(k) for k, c in out.items()))
 
 
 def ranking_areas(p: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import modern_candidates, normalise, tokens
-from lexloom.operators import dedup, features, metrics, refrains, retrieval, splits
+from lexloom.operators import dedup, errors, features, metrics, refrains, retrieval, splits
 from lexloom.operators import lexicon as lx
 from lexloom.plans import base, sql
 from lexloom.session import cut, spread, table
@@ -397,12 +397,6 @@ def _line_tokens(spark, d):
     return base.lines(spark, d).select("unit_key", "line_no", normalise(F.col("line")).alias("norm"), tokens(F.col("line")).alias("ts"))
 
 
-def _told(spark, d):
-    """Token types with whether no lookup finds them and whether they have another spelling."""
-    types = base.types(spark, d)
-    return lx.lookup_cascade(types, base.combined(spark, d)).select("token", F.col("priority").isNull().cast("int").alias("oov"), F.coalesce((F.col("priority") > 0).cast("int"), F.lit(0)).alias("mapped"), (F.size(modern_candidates(F.col("token"))) > 1).cast("int").alias("varied"))
-
-
 def _refrains(spark, d):
     """(line, lo, hi): lines that the texts of several songs contain, with the smallest and largest key of those."""
     texts = table(spark, d, "liturgical_units").where(F.col("unit_type").isin(*base.SONG_TYPES)).select(F.col("unit_key").alias("key"), normalise(base.unit_text()).alias("text"))
@@ -415,22 +409,14 @@ def _(spark, d):
 
 
 def _tagged(spark, d, lines):
-    """lines (unit_key, line_no, norm, ts, ...) plus oov_tokens, variant_mapped_tokens (in order, joined by ;) and tags.
-
-    Types are looked up once; a type is mapped if only a variant of it is found."""
-    lines, refs = cut(lines), _refrains(spark, d).select(F.col("line").alias("norm"), F.lit(1).alias("shared"))
-    each = lines.select("unit_key", "line_no", F.posexplode("ts").alias("i", "token")).join(_told(spark, d), "token")
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("i", "token")))), lambda x: x["token"]), ";")
-    ag = each.groupBy("unit_key", "line_no").agg(F.count("*").alias("n"), F.sum("oov").alias("oov"), F.sum("varied").alias("nv"), F.sum(F.col("token").isin(*features.TAG_LOANWORDS).cast("int")).alias("loan"), joined(F.col("oov") == 1).alias("oov_tokens"), joined(F.col("mapped") == 1).alias("variant_mapped_tokens"))
-    j = lines.join(ag, ["unit_key", "line_no"], "left").join(refs, "norm", "left")
-    tags = F.concat_ws(",", F.when(F.coalesce("n", F.lit(0)) <= 3, "short_phrase"), F.when(F.col("oov") > 0.5 * F.col("n"), "high_oov"), F.when(F.col("nv") > 0, "spelling_variant"), F.when(F.col("shared") == 1, "shared_refrain"), F.when(F.col("loan") > 0.3 * F.col("n"), "loanword_heavy"))
-    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return j.select(*lines.columns, empty("oov_tokens"), empty("variant_mapped_tokens"), F.coalesce(F.nullif(tags, F.lit("")), F.lit("unknown")).alias("tags"))
+    told = errors.told_types(base.types(spark, d), base.combined(spark, d))
+    keyed = lines.withColumn("key", F.struct("unit_key", "line_no")).drop("unit_key", "line_no")
+    return errors.tagged_lines(keyed, told, _refrains(spark, d))
 
 
 @query("error_tags", f"WITH {_ERR} SELECT unit_key, line_no, tags FROM tagged")
 def _(spark, d):
-    return _tagged(spark, d, _line_tokens(spark, d)).select("unit_key", "line_no", "tags")
+    return _tagged(spark, d, _line_tokens(spark, d)).select("key.unit_key", "key.line_no", "tags")
 
 
 #: Lines judged by a fixed rule: prose lines have more words.
@@ -447,12 +433,8 @@ def _(spark, d):
     lines = base.lines(spark, d).where(F.col("unit_type").isin("hymn", "canticle", "liturgical_prose"))
     judged = lines.select("unit_key", "line_no", "line", normalise(F.col("line")).alias("norm"), tokens(F.col("line")).alias("ts"), y.alias("y")).where("size(ts) >= 2")
     wrong = judged.withColumn("yhat", guess).where("y <> yhat").withColumn("score", F.round(1 - 1.0 / F.size("ts"), 6))
-    return export_errors(_tagged(spark, d, wrong), "line_length", "combined")
-
-
-def export_errors(wrong, system: str, condition: str):
-    """The columns of an error export from tagged lines (unit_key, line_no, line, norm, ts, y, yhat, score, tags, ...)."""
-    return wrong.select("unit_key", "line_no", F.col("line").alias("phrase_raw"), F.col("norm").alias("phrase_normalised"), F.col("y").alias("true"), F.col("yhat").alias("predicted"), "score", F.lit(system).alias("system"), F.lit(condition).alias("lexicon_condition"), F.size("ts").alias("phrase_length"), "oov_tokens", "variant_mapped_tokens", F.col("tags").alias("reason_tag"))
+    out = errors.exported(_tagged(spark, d, wrong), "line_length", "combined")
+    return out.select("key.*", *(c for c in out.columns if c != "key"))
 
 
 #: The fractions and seeds of the masking experiment.

@@ -16,7 +16,13 @@ from lexloom.functions.text import stripped
 from lexloom.operators.lexicon import first_entries
 
 LEXICON = "headword string, source string, pos string, gloss string, lemma string, normalised_form string, context string, ord bigint"
-HOUSE_COLUMNS = ("Number", "Word", "Normalized_Ilocano", "Lemma_Root", "UPOS_Tag", "English_Translation", "Context_Example")
+#: What a CSV cell may say for no value.
+NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def known(c: Column) -> Column:
+    """A CSV cell, null where it says that there is no value."""
+    return F.when(~c.isin(*NO_VALUE), c)
 
 
 def decoded(content: Column) -> Column:
@@ -54,7 +60,7 @@ def _files(folder: str, pattern: str) -> list[Path]:
 
 def house_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     """LEXICON rows of all CSV files, in the order of their names; the first entry of a headword stays. Headers may be in
-    any order and spelling; unknown columns are ignored; empty headwords and the literal ``nan`` are dropped."""
+    any order and spelling; unknown columns are ignored; empty headwords and those of NO_VALUE are dropped (in any case: nan)."""
     out = None
     for i, file in enumerate(_files(folder, "*.csv")):
         header = next(csv.reader([_first_line(file)]), [])
@@ -63,7 +69,7 @@ def house_lexicon(spark: SparkSession, folder: str) -> DataFrame:
         for k, h in enumerate(header):
             at.setdefault(house_column(h), f"c{k}")
         rows = spark.read.schema(schema).csv(str(file), header=True, multiLine=True, escape='"', encoding=_encoding(file)).withColumn("_row", F.monotonically_increasing_id())
-        cell = lambda c: F.col(at[c]) if c in at else F.lit(None).cast("string")  # noqa: B023, E731
+        cell = lambda c: known(F.col(at[c])) if c in at else F.lit(None).cast("string")  # noqa: B023, E731
         one = rows.select(F.lower(F.trim(cell("Word"))).alias("headword"), F.lit("house").alias("source"), cell("UPOS_Tag").alias("pos"), cell("English_Translation").alias("gloss"), cell("Lemma_Root").alias("lemma"), F.lower(F.trim(cell("Normalized_Ilocano"))).alias("normalised_form"), cell("Context_Example").alias("context"), (F.lit(i).cast("bigint") * (1 << 40) + F.col("_row")).alias("ord"))
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -119,7 +125,7 @@ def user_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     out = spark.createDataFrame([], LEXICON)
     for file in _files(folder, "*.csv"):
         df = spark.read.csv(str(file), header=True)
-        out = out.unionByName(_lexicon(df, "user_supplied", F.col(f"`{df.columns[0]}`"), F.col(f"`{df.columns[1]}`") if len(df.columns) > 1 else None))
+        out = out.unionByName(_lexicon(df, "user_supplied", known(F.col(f"`{df.columns[0]}`")), known(F.col(f"`{df.columns[1]}`")) if len(df.columns) > 1 else None))
     for file in _files(folder, "*.txt"):
         out = out.unionByName(_lexicon(spark.read.text(str(file)), "user_supplied", F.col("value")))
     return out
@@ -155,6 +161,7 @@ def positive_only(docs: DataFrame) -> bool:
 
 
 def boundaries(spark: SparkSession, path: str) -> DataFrame:
+    """Bounds drawn by hand, as half-open ranges of line numbers; for segments.detect_units."""
     return spark.read.schema("title string, start_line int, end_line int, unit_type string").csv(path, header=True)
 
 
@@ -163,6 +170,16 @@ def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 
 
+def write_refrains(pairs: DataFrame, path: str, block: int = 1000) -> None:
+    """Distinct (line, unit_key) as CSV rows (line, block, song_ids): the ids as a JSON list, in blocks of about that many,
+    so that a line of very many songs is no single row."""
+    sizes = pairs.groupBy("line").agg(F.count("*").alias("n"))
+    top = sizes.agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("unit_key"), F.lit(max(1, -(-top // block))))
+    ids = pairs.groupBy("line", part.alias("block")).agg(F.to_json(F.array_sort(F.collect_list("unit_key"))).alias("song_ids"))
+    write_csv(ids, path)
+
+
 def markdown_table(df: DataFrame, limit: int = 50) -> str:
     """The first rows of a small result as a Markdown table."""
     rows = df.limit(limit).collect()

@@ -72,7 +72,7 @@ def test_folds(spark):
     for y in "ab":
         n = [r["count"] for r in counts if r["y"] == y]
         assert max(n) - min(n) <= 1 and len(n) == 5
-    g = splits.group_folds(rows, "k", "g", 4).groupBy("g").agg(F.count_distinct("fold").alias("n"))
+    g = splits.group_folds(rows, "k", "g", "y", 4).groupBy("g").agg(F.count_distinct("fold").alias("n"))
     assert g.where("n > 1").count() == 0
 
 
@@ -146,50 +146,23 @@ def test_registered_model_parameters(spark, monkeypatch):
     from lexloom.operators import metrics, models
     from lexloom.plans import catalog
 
-    zoo = models.model_zoo(10)
-    assert zoo["logreg"]().getMaxIter() == 1000 and zoo["svm"]().getClassifier().getMaxIter() == 2000 and zoo["rf"]().getNumTrees() == 100
-    seen, of = [], {f: inspect.signature(getattr(m, f)) for m, f in ((models, "cross_validate"), (models, "ablation"), (metrics, "bootstrap_ci"))}
+    of = {k: models._classifier(k, 10, 42) for k in ("logreg", "svm", "rf")}
+    assert of["logreg"].getMaxIter() == 1000 and of["svm"].getClassifier().getMaxIter() == 2000 and (of["rf"].getNumTrees(), of["rf"].getMaxDepth()) == (100, 30)
+    seen = []
+
+    def note(f, *names):
+        sig = inspect.signature(f)
 
-    def note(f, names):
         def run(*a, **kw):
-            args = of[f].bind(*a, **kw)
+            args = sig.bind(*a, **kw)
             args.apply_defaults()
             seen.append(tuple(args.arguments[n] for n in names))
 
         return run
 
-    monkeypatch.setattr(models, "cross_validate", note("cross_validate", ("k", "trees")))
-    monkeypatch.setattr(models, "ablation", note("ablation", ("k",)))
-    monkeypatch.setattr(metrics, "bootstrap_ci", note("bootstrap_ci", ("draws",)))
+    monkeypatch.setattr(models, "cross_validate", note(models.cross_validate, "k"))
+    monkeypatch.setattr(metrics, "bootstrap_ci", note(metrics.bootstrap_ci, "draws"))
     monkeypatch.setattr(models, "score", lambda *a: None)
-    for name in ("cv_logreg", "cv_cnb", "cv_rf", "cv_svm_ovr", "hybrid_logreg", "proxy_task_a", "ablation", "bootstrap_ci"):
+    for name in ("cv_logreg", "cv_cnb", "cv_rf", "cv_svm_ovr", "hybrid_logreg", "bootstrap_ci"):
         catalog.QUERIES[name](spark, SF)
-    assert seen == [(5, 100)] * 6 + [(5,), (1000,)]
-
-
-def test_heavy_keys_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(skew, "LEAST_HEAVY", 10)
-    rows = spark.range(9000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
-    got = skew.join_by_size(rows, classes, ["k"], "n", 9000).withColumn("p", F.spark_partition_id())
-    assert got.count() == 9000 and got.columns == ["k", "id", "n", "m", "p"]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert got.where("k = 0").select("p").distinct().count() > 1
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_checkpoint_folder(spark):
-    from lexloom.session import cut, drop_cut
-
-    df = cut(spark.range(5))
-    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
-    assert df.count() == 5
-    drop_cut(df)
-    drop_cut(spark.range(3))
-    import pathlib
-
-    assert not pathlib.Path(path.removeprefix("file:")).exists()
+    assert seen == [(5,)] * 5 + [(1000,)]
