@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -57,22 +59,50 @@ def group_numbers(groups: DataFrame, key: str) -> DataFrame:
 def similar_pairs(rows: DataFrame, text: str, threshold: int = 85) -> DataFrame:
     """(a, b, ratio), a < b: pairs of distinct normalised texts with an Indel ratio of at least the threshold. Exact.
 
-    For short texts such as titles: texts meet within bands of length only (a text and one of the ratio differ in length
-    by less than a bounded factor), the number of each vowel bounds the distance, and Spark's own bounded Levenshtein
-    distance, which never exceeds the Indel distance, goes ahead of the exact ratio in Python.
+    Texts of n and m characters with that ratio lie within d = (1 - t) (n + m) deletions and insertions, so they share at
+    least max(n, m) - 1 - 2 d pairs of neighbouring letters, counted with repetition. Where that is one or more (for all
+    lengths from a threshold of 85 on), each text is looked up by its rarest letter pairs only, as many as leave no such
+    pair out, a letter pair that very many texts have in blocks of BLOCK texts, and a pair of texts comes up once, at the
+    first letter pair that both share. Lengths, and Spark's own bounded Levenshtein distance, which never exceeds the Indel
+    distance, go ahead of the exact ratio in Python. Texts for which the bound is lower meet by bands of length.
     """
     t = threshold / 100.0
-    vowels = [F.length(F.regexp_replace("v", f"[^{c}]", "")).alias(f"_{c}") for c in "aeiou"]
-    texts = rows.select(normalise(F.col(text)).alias("v")).where("v <> ''").distinct().select("v", F.length("v").alias("n"), *vowels)
-    band = F.floor(F.log("n") / F.log(F.lit((2 - t) / t)))
-    x = texts.select(*(F.col(c).alias(f"x{c}") for c in texts.columns), F.explode(F.array(band, band + 1)).alias("band"))
-    y = texts.select(*(F.col(c).alias(f"y{c}") for c in texts.columns), band.alias("band"))
-    most = F.floor((1 - t) * (F.col("xn") + F.col("yn")) + 1e-9).cast("int")
-    far = sum((F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")) for c in "aeiou"), F.lit(0))
-    longer = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xv") < F.col("yv")))
-    close = x.join(y, (x["band"] == y["band"]) & longer & (F.abs(F.col("xn") - F.col("yn")) <= most) & (far <= most)).where(F.levenshtein("xv", "yv") <= most)
-    found = close.select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).withColumn("ratio", _ratio("a", "b"))
-    return found.where(F.col("ratio") >= threshold).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    texts = cut(rows.select(normalise(F.col(text)).alias("v")).where("v <> ''").distinct().withColumn("n", F.length("v")))
+    most = lambda x, y: F.floor((1 - t) * (x + y) + 1e-9).cast("int")
+    least = F.col("n") - 2 - 2 * most(F.col("n"), F.col("n"))
+    found = _by_letters(texts.where(least >= 0), least, most)
+    if not (loose := texts.where(least < 0)).isEmpty():
+        band = F.floor(F.log("n") / F.log(F.lit((2 - t) / t)))
+        x, y = loose.select(F.col("v").alias("xv"), F.col("n").alias("xn"), band.alias("b")), texts.select(F.col("v").alias("yv"), F.col("n").alias("yn"), F.explode(F.array(band - 1, band, band + 1)).alias("b"))
+        found = found.union(x.join(y, "b").where(F.col("xv") != F.col("yv")).select("xv", "xn", "yv", "yn")).distinct()
+    far = most(F.col("xn"), F.col("yn"))
+    close = found.where((F.abs(F.col("xn") - F.col("yn")) <= far) & (F.levenshtein("xv", "yv") <= far))
+    told = close.select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).distinct().withColumn("ratio", _ratio("a", "b"))
+    return told.where(F.col("ratio") >= threshold).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+#: Texts of one letter pair that are compared in one task.
+BLOCK = 500
+
+
+def _by_letters(texts: DataFrame, least: Column, most: Callable) -> DataFrame:
+    """(xv, xn, yv, yn): pairs of texts (v, n) that share a letter pair among the rarest n - 1 - least of each."""
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring("v", i, 2))
+    grams = texts.where("n > 1").select("v", "n", least.alias("least"), F.explode(pairs).alias("g")).groupBy("v", "n", "least", "g").agg(F.count("*").alias("c"))
+    each = cut(grams.select("v", "n", "least", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat("g", k.cast("string")))).alias("e")))
+    df = cut(each.groupBy("e").agg(F.count("*").alias("df")))
+    ranked = join_by_size(each, df, ["e"], "df", df.agg(F.sum("df")).first()[0] or 0).groupBy("v", "n", "least").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("r"))
+    taken = F.greatest(F.col("n") - 1 - F.greatest("least", F.lit(1)) + 1, F.lit(1))
+    short = cut(ranked.select("v", "n", F.transform(F.slice("r", F.lit(1), taken), lambda x: x["e"]).alias("p")))
+    sizes = cut(short.select(F.explode("p").alias("e")).groupBy("e").agg(F.count("*").alias("f")).where("f > 1").withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("bigint")))
+    keyed = short.select("v", "n", "p", F.posexplode("p").alias("at", "e")).select("v", "n", "e", F.slice("p", F.lit(1), F.col("at")).alias("lower"))
+    held = cut(join_by_size(keyed, sizes, ["e"], "f", sizes.agg(F.sum("f")).first()[0] or 0).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks"))))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    x = held.select("e", F.col("own").alias("i"), other.alias("j"), F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("lower").alias("xl"))
+    y = held.select("e", other.alias("i"), F.col("own").alias("j"), F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("lower").alias("yl"))
+    near = F.abs(F.col("xn") - F.col("yn")) <= most(F.col("xn"), F.col("yn"))
+    both = x.join(y, ["e", "i", "j"]).where((F.col("xv") < F.col("yv")) & near & ~F.arrays_overlap("xl", "yl"))
+    return both.select("xv", "xn", "yv", "yn")
 
 
 def similar_groups(rows: DataFrame, key: str, text: str, threshold: int = 85) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,11 +39,16 @@ class Index:
             self._kept["bm25"] = cut(p.join(p.groupBy("doc").agg(F.sum("n").alias("dl")), "doc"))
             total = p.agg(F.sum("n")).first()[0] or 0
             self.average = total / max(self.n, 1) or 1.0
-            df = p.groupBy("token").agg(F.count("*").alias("df"))
-            self._kept["idf"] = cut(df.select("token", "df", F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")))
+            df = self._kept["bm25"].groupBy("token").agg(F.count("*").alias("df"), F.max(self.part()).alias("top"))
+            self._kept["idf"] = cut(df.select("token", "df", "top", F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")))
         return self._kept["bm25"]
 
+    def part(self) -> Column:
+        """What a posting adds to a score, but for the token's idf."""
+        return F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("dl") / self.average))
+
     def idf(self) -> DataFrame:
+        """(token, df, top, idf): top is the largest part of the token's postings."""
         self.postings()
         return self._kept["idf"]
 
@@ -60,11 +65,41 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """queries (q, text) -> (q, doc, score): the sum over the phrase's token occurrences. Only pairs that share a token
     come up. Postings of tokens that nothing asks for are dropped by the join; those of a very frequent token are spread
     over salts with the phrases that ask for it, and sums for a pair are made before they are shuffled."""
-    postings, idf = index.postings(), index.idf()
-    asked = cut(token_counts(queries, "q", "text").withColumnRenamed("n", "times").join(idf, "token"))
-    part = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("dl") / index.average))
-    total = idf.agg(F.sum("df")).first()[0] or 0
-    return join_by_size(postings.select("doc", "token", part.alias("part")), asked, ["token"], "df", total).groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("part")).alias("score"))
+    asked = cut(token_counts(queries, "q", "text").withColumnRenamed("n", "times").join(index.idf(), "token"))
+    return _scored(index, asked)
+
+
+def _scored(index: Index, asked: DataFrame) -> DataFrame:
+    """asked (q, token, times, df, idf), cut -> (q, doc, score) over these tokens."""
+    total = index.idf().agg(F.sum("df")).first()[0] or 0
+    met = join_by_size(index.postings().select("doc", "token", index.part().alias("part")), asked.select("q", "token", "times", "df", "idf"), ["token"], "df", total)
+    return met.groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("idf") * F.col("part")).alias("score"))
+
+
+#: Tokens of a phrase, those that may add most, whose scores give the first bound of its k best texts.
+SEEDS = 3
+
+
+def bm25_best(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(q, doc, score) as of bm25, but only of texts that may be among the k best of a phrase. Exact for the k best.
+
+    The k-th best score over the few tokens that may add most is a lower bound of the k-th best score. Tokens whose largest
+    possible additions together stay below that bound (the very frequent ones) bring no text up: their postings are only
+    looked up for texts that another token brings up and that may still pass the bound.
+    """
+    asked = token_counts(queries, "q", "text").withColumnRenamed("n", "times").join(index.idf(), "token").withColumn("most", F.col("times") * F.col("idf") * F.col("top"))
+    down, up = W.partitionBy("q").orderBy(F.desc("most"), "token"), W.partitionBy("q").orderBy("most", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = cut(asked.withColumn("place", F.row_number().over(down)).withColumn("below", F.sum("most").over(up)))
+    seeds = _scored(index, ranked.where(F.col("place") <= SEEDS))
+    first = seeds.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "doc"))).where(F.col("r") <= k)
+    bound = first.groupBy("q").agg(F.count("*").alias("c"), (F.min("score") - 1e-5).alias("bound")).where(F.col("c") == k).select("q", "bound")
+    split = cut(ranked.join(bound, "q", "left").withColumn("idle", F.coalesce(F.col("below") < F.col("bound"), F.lit(False))))
+    idle = split.where("idle").groupBy("q").agg(F.collect_list(F.struct("token", (F.col("times") * F.col("idf")).alias("w"))).alias("left"), F.sum("most").alias("most"), F.first("bound").alias("bound"))
+    brought = _scored(index, split.where("not idle")).join(idle, "q", "left").where("bound is null or score + most >= bound")
+    brought = cut(brought.select("q", "doc", "score", "left"))
+    more = brought.where("left is not null").select("q", "doc", F.explode("left").alias("x")).select("q", "doc", "x.token", "x.w")
+    added = more.join(index.postings().select("doc", "token", index.part().alias("part")), ["doc", "token"]).groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("part")).alias("more"))
+    return brought.join(added, ["q", "doc"], "left").select("q", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def cosine(index: Index, queries: DataFrame, kind: str) -> DataFrame:
@@ -125,7 +160,9 @@ METHODS = {"bm25": bm25, "word_tfidf": lambda i, q: cosine(i, q, "word"), "char_
 
 def search(index: Index, queries: DataFrame, k: int, method: str = "combined") -> DataFrame:
     """(q, rank, doc, score) by a method of METHODS; any other gives the first k texts at score 0."""
-    if method in METHODS:
+    if method == "bm25":
+        scores = bm25_best(index, queries, k)
+    elif method in METHODS:
         scores = METHODS[method](index, queries)
     else:
         scores = queries.select("q").join(index.docs.select("doc").limit(0), F.lit(False)).select("q", "doc", F.lit(0.0).alias("score"))

@@ -204,12 +204,18 @@ def _(spark, d):
     return dedup.group_numbers(dedup.exact_groups(table(spark, d, "genre_documents"), "gdoc_key", "text"), "gdoc_key")
 
 
-@query("fuzzy_dup_pairs")
+#: The Indel ratio in SQL: the longest common subsequence by rows of bits (titles are shorter than 120 characters).
+_TITLES = f"titles AS (SELECT DISTINCT {sql.norm('title')} AS v FROM liturgical_units WHERE {sql.norm('title')} <> ''), tp AS (SELECT x.v AS a, y.v AS b FROM titles x JOIN titles y ON x.v < y.v AND abs(length(x.v) - length(y.v)) <= 0.15 * (length(x.v) + length(y.v)) + 1e-9 AND levenshtein(x.v, y.v) <= 0.15 * (length(x.v) + length(y.v)) + 1e-9)"
+_MASKS = "list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substring(a, i, 1) = c THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END))::HUGEINT)"
+_FUZZY = f"{_TITLES}, mk AS (SELECT a, b, ((1::HUGEINT << length(a)::INT) - 1) AS whole, {_MASKS} AS ms FROM tp), lc AS (SELECT a, b, list_reduce(list_prepend(whole, ms), lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole) AS v FROM mk), fz AS (SELECT a, b, 200.0 * (length(a) - bit_count(v)) / (length(a) + length(b)) AS ratio FROM lc), similar_ AS (SELECT * FROM fz WHERE ratio >= 85)"
+
+
+@query("fuzzy_dup_pairs", f"WITH {_FUZZY} SELECT a, b, round(ratio, 6)::DOUBLE AS ratio FROM similar_")
 def _(spark, d):
     return dedup.similar_pairs(table(spark, d, "liturgical_units"), "title")
 
 
-@query("fuzzy_dup_groups")
+@query("fuzzy_dup_groups", f"WITH RECURSIVE {_FUZZY}, both_ AS (SELECT a, b FROM similar_ UNION ALL SELECT b, a FROM similar_), reach AS (SELECT v AS a, v AS b FROM titles UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a), root AS (SELECT a AS v, min(b) AS r FROM reach GROUP BY a UNION ALL SELECT '', '') SELECT unit_key, min(unit_key) OVER (PARTITION BY r) AS group_key FROM liturgical_units JOIN root ON {sql.norm('title')} = v")
 def _(spark, d):
     return dedup.similar_groups(table(spark, d, "liturgical_units"), "unit_key", "title")
 

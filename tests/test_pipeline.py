@@ -90,3 +90,21 @@ def test_more_loaders(spark, tmp_path):
 
     ids = [i for r in out if r["line"] == "x" for i in json.loads(r["song_ids"])]
     assert sorted(ids) == list(range(30)) and max(len(json.loads(r["song_ids"])) for r in out) < 30
+
+
+def test_best_texts_are_exact(spark):
+    """The bounded search gives the k best of the full scores, also where all phrases hold words that most texts hold."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["ti", "a", "nga"]) if rnd.random() < 0.5 else f"w{int(rnd.paretovariate(0.7)) % 200}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rnd.randrange(3, 30)))) for i in range(300)], "doc bigint, text string")
+    qs = spark.createDataFrame([(i, " ".join(word() for _ in range(rnd.randrange(1, 9)))) for i in range(40)] + [(99, "none")], "q int, text string")
+    index = retrieval.Index(docs)
+    full = retrieval.top_k(retrieval.bm25(index, qs), index.docs, qs, 5)
+    got = retrieval.search(index, qs, 5, "bm25")
+    key = lambda df: {(r["q"], r["rank"], r["doc"], r["score"]) for r in df.collect()}
+    assert key(got) == key(full) and got.count() == 41 * 5
+    assert retrieval.bm25_best(index, qs, 5).count() < 0.7 * retrieval.bm25(index, qs).where(F.col("score") > 0).count()

@@ -91,3 +91,29 @@ def test_binary_metrics(spark):
 def test_p_values():
     assert abs(metrics.t_p_value(2.228, 10) - 0.05) < 1e-3 and metrics.t_p_value(0, 5) == 1
     assert metrics.wilcoxon_p_value([1, 2, 3, 4, 5, 6], 0) == 2 / 64
+
+
+def test_similar_pairs_of_short_texts(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    rnd = random.Random(4)
+    texts = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 16))) for _ in range(120)}
+    texts |= {t[: rnd.randrange(len(t) + 1)] + "c" + t[rnd.randrange(len(t) + 1) :] for t in list(texts)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for threshold in (85, 60):
+        want = {(a, b) for a in texts for b in texts if a < b and dedup.indel_ratio(a, b) >= threshold}
+        got = [(r["a"], r["b"]) for r in dedup.similar_pairs(df, "t", threshold).collect()]
+        assert set(got) == want and len(got) == len(want) and want
+
+
+def test_one_letter_words_keep_their_c(spark):
+    assert {x["candidate"] for x in one(spark, "c", tx.modern_candidates)} == {"c"} and "ak" in {x["candidate"] for x in one(spark, "ac", tx.modern_candidates)}
+    assert {x["candidate"] for x in one(spark, "k", tx.old_candidates)} == {"k"}
+
+
+def test_nfc_of_all_kinds(spark):
+    import unicodedata
+
+    for t in ("éx", "plain", "“q” – …", "Å", "각", "ạ̇", "Ω ½"):
+        assert one(spark, t, tx.nfc) == unicodedata.normalize("NFC", t)
