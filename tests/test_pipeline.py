@@ -92,7 +92,7 @@ def test_more_loaders(spark, tmp_path):
     assert sorted(ids) == list(range(30)) and max(len(json.loads(r["song_ids"])) for r in out) < 30
 
 
-def test_best_texts_are_exact(spark):
+def test_best_texts_are_exact(spark, monkeypatch):
     """The bounded search gives the k best of the full scores, also where all phrases hold words that most texts hold."""
     import random
 
@@ -104,6 +104,7 @@ def test_best_texts_are_exact(spark):
     qs = spark.createDataFrame([(i, " ".join(word() for _ in range(rnd.randrange(1, 9)))) for i in range(40)] + [(99, "none")], "q int, text string")
     index = retrieval.Index(docs)
     full = retrieval.top_k(retrieval.bm25(index, qs), index.docs, qs, 5)
+    monkeypatch.setattr(retrieval, "DIRECT", 0)
     got = retrieval.search(index, qs, 5, "bm25")
     key = lambda df: {(r["q"], r["rank"], r["doc"], r["score"]) for r in df.collect()}
     assert key(got) == key(full) and got.count() == 41 * 5
