@@ -13,7 +13,8 @@ from lexloom.operators.components import connected_components
 from lexloom.operators.skew import join_by_size
 from lexloom.session import cut, table
 
-#: Bits of a subset-sum set. Totals beyond it are counted in units of total / BITS rows.
+#: Bits of a subset-sum set. Totals beyond it are counted in units of total / BITS rows, and the rest is settled by groups
+#: of any size that fit.
 BITS = 1 << 22
 
 
@@ -83,13 +84,26 @@ def _closest(counts: Counter, goal: int, unit: int) -> Counter:
     return taken
 
 
+def _settled(taken: Counter, counts: Counter, goal: int) -> Counter:
+    """taken with what rounding to units left over made good by the largest groups that still fit, in or out."""
+    rest = goal - sum(s * n for s, n in taken.items())
+    for size in sorted(counts, reverse=True):
+        n = min(counts[size] - taken[size], rest // size) if rest > 0 else -min(taken[size], -rest // size)
+        taken[size] += n
+        rest -= n * size
+    return taken
+
+
 def choose_counts(sizes: dict[int, int], shares: list[tuple[str, int]]) -> dict[str, Counter]:
     """For each split, how many groups of each size it gets. The split with the largest share takes what is left over."""
     total, whole = sum(s * n for s, n in sizes.items()), sum(p for _, p in shares)
     unit, left, out = max(1, -(-total // BITS)), Counter(sizes), {}
     order = sorted(shares, key=lambda x: (x[1], x[0]))
     for name, pct in order[:-1]:
-        out[name] = _closest(left, round(total * pct / whole) if whole else 0, unit)
+        goal = round(total * pct / whole) if whole else 0
+        out[name] = _closest(left, goal, unit)
+        if unit > 1:
+            out[name] = _settled(out[name], left, goal)
         left = left - out[name]
     if order:
         out[order[-1][0]] = left

@@ -322,6 +322,16 @@ def test_split_totals(spark):
     assert all(len({r["split"] for r in out if r["group_key"] == g}) == 1 for g in {r["group_key"] for r in out})
 
 
+def test_totals_beyond_the_bits(monkeypatch):
+    monkeypatch.setattr(grouped_splits, "BITS", 64)
+    rnd = random.Random(3)
+    sizes = {rnd.randrange(2, 900): rnd.randrange(1, 30) for _ in range(60)} | {1: 500}
+    total = sum(s * n for s, n in sizes.items())
+    chosen = grouped_splits.choose_counts(sizes, [("train", 80), ("validation", 10), ("test", 10)])
+    assert all(abs(sum(s * n for s, n in chosen[k].items()) - total * 0.1) <= 1 for k in ("validation", "test"))
+    assert all(sum(c[s] for c in chosen.values()) == n and min(c[s] for c in chosen.values()) >= 0 for s, n in sizes.items())
+
+
 def test_closest_subset():
     rnd = random.Random(5)
     for _ in range(40):
