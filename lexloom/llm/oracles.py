@@ -52,6 +52,9 @@ _RUNS = f"""iw AS (SELECT item_id, {words('text')} AS ws FROM eval_passages WHER
  dr AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS r FROM (SELECT *, unnest(range(1, len(ws) - 6)) AS i FROM dw WHERE len(ws) >= 8)),
  leak AS (SELECT DISTINCT item_id, doc_id FROM ir JOIN dr USING (r))"""
 
+_LONGEST = """leak_words AS (SELECT item_id, doc_id, i, j, j - i AS shift FROM leak JOIN (SELECT item_id, i, ws[i] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM iw)) USING (item_id) JOIN (SELECT doc_id, j, ws[j] AS w2 FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM dw WHERE doc_id IN (SELECT doc_id FROM leak))) USING (doc_id) WHERE w = w2),
+ run AS (SELECT item_id, doc_id, count(*) AS n, min(j) - 1 AS doc_at, min(i) - 1 AS item_at FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, doc_id, shift ORDER BY i) AS g FROM leak_words) GROUP BY item_id, doc_id, shift, g)"""
+
 ORACLES: dict[str, str] = {
     "p1_terms": f"WITH {_TERMS} SELECT field, term, occurrences, records, mark FROM marked",
     "p1_found": f"WITH {_TERMS} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
@@ -63,5 +66,6 @@ ORACLES: dict[str, str] = {
     "p6_found": f"WITH {_UNITS} SELECT a AS key_a, b AS key_b FROM near",
     "p6_groups": f"WITH RECURSIVE {_UNITS}, both_ AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), reach AS (SELECT unit_key AS k, unit_key AS r FROM liturgical_units UNION SELECT k, b FROM reach JOIN both_ ON r = a), g AS (SELECT k AS unit_key, min(r) AS group_key FROM reach GROUP BY k) SELECT unit_key, group_key, count(*) OVER (PARTITION BY group_key) AS size FROM g",
     "p8_found": f"WITH {_RUNS} SELECT item_id, doc_id FROM leak",
+    "p8_matches": f"WITH {_RUNS}, {_LONGEST} SELECT item_id, doc_id, n::INT AS words, doc_at::INT AS doc_at, item_at::INT AS item_at FROM run QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, doc_at, item_at) = 1",
     "p8_clean": f"WITH {_RUNS} SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leak)",
 }
