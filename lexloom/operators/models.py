@@ -145,7 +145,7 @@ def _classifier(kind: str, n: int, seed: int):
     lr = {"tol": 1e-3, "regParam": 1.0 / max(n, 1), "standardization": False}
     return {
         "logreg": lambda: LogisticRegression(maxIter=ITERATIONS, elasticNetParam=0.0, **lr),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=SVM_ITERATIONS, **lr)),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=SVM_ITERATIONS, **lr), parallelism=4),
         "cnb": lambda: NaiveBayes(modelType="complement"),
         "rf": lambda: RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed),
     }[kind]()
