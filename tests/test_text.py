@@ -117,3 +117,18 @@ def test_nfc_of_all_kinds(spark):
 
     for t in ("éx", "plain", "“q” – …", "Å", "각", "ạ̇", "Ω ½"):
         assert one(spark, t, tx.nfc) == unicodedata.normalize("NFC", t)
+
+
+def test_similar_pairs_of_long_texts_and_many_letters(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedup, "BLOCK", 20)
+    monkeypatch.setattr(dedup, "SLICE", 3)
+    rnd = random.Random(6)
+    letters = [*"abc", *(chr(0x4E00 + i) for i in range(400)), "\U0001f600", "\U0001f601"]
+    texts = {"".join(rnd.choice(letters if k % 2 else "abc") for _ in range(rnd.choice((5, 40, 63, 64, 65, 90)))) for k in range(60)}
+    texts |= {t[:p] + rnd.choice(("", "d", "dc")) + t[p + 1 :] for t in list(texts) for p in (rnd.randrange(len(t)),)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = {(a, b) for a in texts for b in texts if a < b and dedup.indel_ratio(a, b) >= 85}
+    got = [(r["a"], r["b"]) for r in dedup.similar_pairs(df, "t").collect()]
+    assert set(got) == want and len(got) == len(want) >= 40
