@@ -132,3 +132,10 @@ def test_similar_pairs_of_long_texts_and_many_letters(spark, monkeypatch):
     want = {(a, b) for a in texts for b in texts if a < b and dedup.indel_ratio(a, b) >= 85}
     got = [(r["a"], r["b"]) for r in dedup.similar_pairs(df, "t").collect()]
     assert set(got) == want and len(got) == len(want) >= 40
+
+
+def test_similar_groups_need_few_pairs(spark):
+    """Numbered titles are all similar to one another; groups take one link a title, not all pairs."""
+    rows = spark.createDataFrame([(i, f"the very same page {i} block of titles") for i in range(300)], "k bigint, t string")
+    assert dedup._met(dedup._texts(rows, "t"), 85, linked=True).count() == 299
+    assert {r["group_key"] for r in dedup.similar_groups(rows, "k", "t").collect()} == {0}
