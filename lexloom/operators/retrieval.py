@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +180,115 @@ def search(index: Index, queries: DataFrame, k: int, method: str = "combined") -
     return top_k(scores, index.docs, queries, k)
 
 
+#: Postings of one block of texts, and how many pairs of a block of texts and a block of phrases there are at least.
+CHUNK, PAIRED = 8_000_000, 24
+
+
+def own_ranks(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """queries (q, text, doc) -> (q, doc, rank): where the phrase's own text stands among its k best by BM25, the rows that
+    search() would have for it; other ranks are left out. Exact, and no ranking is made.
+
+    The score of the own text bounds what has to be looked at: a token brings texts up only if it and those that may add
+    less can reach that score together; of the others, only postings of texts that still may are looked up. Blocks of
+    phrases meet blocks of texts, and only a count of better texts for each phrase comes back. As in top_k scores are
+    rounded to 6 digits, ties go by doc, and the first k texts stand at score 0 if nothing else.
+    """
+    told = cut(index.idf().withColumn("tid", F.monotonically_increasing_id()))
+    first = [r["doc"] for r in index.docs.select("doc").orderBy("doc").limit(k).collect()]
+    held = index.postings().join(told.select("token", "tid"), "token").groupBy("doc").agg(F.first("dl").alias("dl"), F.collect_list("tid").alias("tids"), F.collect_list(F.col("n").cast("int")).alias("ns"))
+    held = cut(held)
+    asked = token_counts(queries, "q", "text").join(told, "token").select("q", F.struct((-F.col("n") * F.col("idf") * F.col("top")).alias("less"), "tid", (F.col("n") * F.col("idf")).alias("w")).alias("x"))
+    phrases = asked.groupBy("q").agg(F.array_sort(F.collect_list("x")).alias("x")).select("q", F.col("x.tid").alias("asks"), F.col("x.w").alias("ws"), F.transform("x.less", lambda m: -m).alias("mosts"))
+    n = lambda c: c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("dl") / index.average))
+    has = F.map_from_arrays("tids", "ns")
+    sure = F.aggregate(F.zip_with("asks", "ws", lambda t, w: F.coalesce(w * n(F.try_element_at(has, t)), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    scored = queries.select("q", "doc").join(phrases, "q", "left").join(held, "doc", "left").select("q", "doc", "asks", "ws", "mosts", sure.alias("s"), F.arrays_overlap("asks", "tids").alias("met"))
+    met = F.coalesce("met", F.lit(False))
+    wanted = cut(scored.where(met | F.col("doc").isin(first)).select("q", "doc", *(F.coalesce(c, F.array().cast("array<double>" if c != "asks" else "array<bigint>")).alias(c) for c in ("asks", "ws", "mosts")), F.when(met, F.floor(F.col("s") * 1e6 + 0.5)).otherwise(0).cast("bigint").alias("own")))
+    total = held.agg(F.sum(F.size("tids"))).first()[0] or 0
+    chunks = max(math.ceil(total / CHUNK), 1)
+    blocks = max(PAIRED // chunks, 1)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = wanted.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("_b"), every(chunks).alias("_c"), "q", "doc", "asks", "ws", "mosts", "own")
+    right = held.select(every(blocks).alias("_b"), F.pmod(F.xxhash64("doc"), F.lit(chunks)).cast("int").alias("_c"), "doc", "dl", "tids", "ns")
+    average = index.average
+
+    def count(phrases: pa.Table, texts: pa.Table) -> pa.Table:
+        return _better(phrases, texts, average, first)
+
+    kind = wanted.schema["q"].dataType.simpleString()
+    better = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(count, f"q {kind}, better bigint")
+    ranks = better.groupBy("q").agg((F.sum("better") + 1).cast("int").alias("rank")).where(F.col("rank") <= k)
+    return wanted.select("q", "doc").join(ranks, "q").select("q", "doc", "rank")
+
+
+def _better(phrases: pa.Table, texts: pa.Table, average: float, first: list) -> pa.Table:
+    """(q, better): how many of these texts stand before each phrase's own one."""
+    phrases, texts = phrases.combine_chunks(), texts.combine_chunks()
+    flat = lambda t, c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t[c].chunks] or [np.array([])])
+    sizes = lambda t, c: np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in t[c].chunks] or [np.array([], np.int64)]).astype(np.int64)
+    doc, out = texts["doc"].to_numpy(), np.zeros(phrases.num_rows, np.int64)
+    names = np.argsort(doc, kind="stable")
+    doc = doc[names]
+    place = np.empty(len(doc), np.int64)
+    place[names] = np.arange(len(doc))
+    of = np.repeat(place, sizes(texts, "tids"))
+    n, dl = flat(texts, "ns").astype(np.float64), texts["dl"].to_numpy()[names]
+    part = n * (K1 + 1) / (n + K1 * (1 - B + B * dl[of] / average))
+    tids = flat(texts, "tids").astype(np.int64)
+    order = np.lexsort((of, tids))
+    tids, of, part = tids[order], of[order], part[order]
+    keys, starts = np.unique(tids, return_index=True)
+    starts = np.append(starts, len(tids)).astype(np.int64)
+    filler = np.nonzero(np.isin(doc, np.array(first)))[0] if first else np.zeros(0, np.int64)
+
+    asks, ws, mosts = flat(phrases, "asks").astype(np.int64), flat(phrases, "ws"), flat(phrases, "mosts")
+    at = np.searchsorted(keys, asks)
+    known = at < len(keys)
+    known[known] = keys[at[known]] == asks[known]
+    low = np.where(known, starts[np.minimum(at, len(keys))], 0).tolist()
+    high = np.where(known, starts[np.minimum(at + 1, len(keys))], 0).tolist()
+    ends = np.cumsum(sizes(phrases, "asks")).tolist()
+    own, truth = phrases["own"].to_pylist(), np.searchsorted(doc, phrases["doc"].to_numpy())
+    weight, most = ws.tolist(), mosts.tolist()
+    acc, begin = np.zeros(len(doc)), 0
+    for i, end in enumerate(ends):
+        bound = (own[i] - 0.5) / 1e6 - 1e-7
+        rest, stop = 0.0, end
+        while stop > begin and rest + most[stop - 1] < bound:
+            stop -= 1
+            rest += most[stop]
+        lists = []
+        for j in range(begin, stop):
+            d = of[low[j] : high[j]]
+            acc[d] += weight[j] * part[low[j] : high[j]]
+            lists.append(d)
+        touched = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        a = acc[touched]
+        kept = touched[a + rest >= bound]
+        if own[i] <= 0:
+            kept = np.concatenate((kept, filler))
+        kept = np.unique(kept)
+        score = acc[kept]
+        acc[touched] = 0.0
+        for j in range(stop, end):
+            if not len(kept):
+                break
+            d = of[low[j] : high[j]]
+            if len(d):
+                p = np.minimum(np.searchsorted(d, kept), len(d) - 1)
+                score = score + np.where(d[p] == kept, weight[j] * part[low[j] + p], 0.0)
+        key = np.floor(score * 1e6 + 0.5)
+        out[i] = np.count_nonzero((key > own[i]) | ((key == own[i]) & (kept < truth[i])))
+        begin = end
+    return pa.table({"q": phrases["q"], "better": pa.array(out)})
+
+
+def own_metrics(index: Index, queries: DataFrame) -> DataFrame:
+    """retrieval_metrics of the 5 best by BM25 for queries (q, text, doc)."""
+    return retrieval_metrics(own_ranks(index, queries, 5), queries.select("q", "doc"))
+
+
 def held_out(scores: DataFrame, own: DataFrame) -> DataFrame:
     """scores without those of the text that the phrase was taken from: own (q, doc)."""
     return scores.join(own.select("q", "doc"), ["q", "doc"], "left_anti")

@@ -194,3 +194,24 @@ def test_checkpoint_folder(spark):
     import pathlib
 
     assert not pathlib.Path(path.removeprefix("file:")).exists()
+
+
+def test_own_ranks_are_those_of_the_search(spark, monkeypatch):
+    import random
+
+    from lexloom.operators import retrieval
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rnd.choice(words[: rnd.choice((3, 10, 30))]) for _ in range(n))
+    docs = [(i, text(12)) for i in range(80)]
+    docs += [(i + 100, t) for i, t in docs[:20]]
+    own = [(f"{i}:{k}", " ".join(t.split()[k : k + 2 + k]), i) for i, t in docs for k in (0, 3)] + [("a", "zzz", 1), ("b", "zzz", 90), ("c", "", 0), ("d", "w1 zzz", 999), ("e", "w29 w28", 2)]
+    qs = spark.createDataFrame(own, "q string, text string, doc bigint")
+    for chunk in (10**6, 300):
+        monkeypatch.setattr(retrieval, "CHUNK", chunk)
+        index = retrieval.Index(spark.createDataFrame(docs, "doc bigint, text string"))
+        ranked = retrieval.search(index, qs.select("q", "text"), 5, "bm25")
+        want = {(r["q"], r["rank"]) for r in ranked.join(qs.select("q", "doc"), ["q", "doc"]).collect()}
+        assert {(r["q"], r["rank"]) for r in retrieval.own_ranks(index, qs, 5).collect()} == want and len(want) > 60
+        assert retrieval.own_metrics(index, qs).first() == retrieval.retrieval_metrics(ranked, qs.select("q", "doc")).first()
