@@ -47,6 +47,34 @@ def test_vectors_are_the_features(spark):
         assert np.allclose(v[: len(w)], w / (np.linalg.norm(w) or 1)) and np.allclose(v[len(w) :], [*r["loanword"], *r["stats"]])
 
 
+def test_side_by_side_fits_are_those_of_spark(spark, monkeypatch):
+    """oof_predictions, hybrid_logreg, ablation, tasks: with the same vocabularies, scaling, penalty, and classes."""
+    rows = verses(spark, 60).withColumn("y", F.when(F.col("k") % 5 == 4, "c").otherwise(F.col("y")))
+    for rows, kind, near in ((rows, "cnb", 1e-6), (rows, "logreg", 0.05), (rows.where("y <> 'c'"), "logreg", 0.05)):
+        data = models.Dataset(rows, "k", "t", "y", 2, lexicons={"given": lexicon(spark)})
+        blocks = ("word", "char") if kind == "cnb" else models.BLOCKS
+        own = {r["key"]: r for r in models.predict(data, kind, "given", (kind, blocks)).collect()}
+        monkeypatch.setattr(models, "FEW", 0)
+        for r in models.predict(data, kind, "given", (kind, blocks)).collect():
+            assert abs(r["score"] - own[r["key"]]["score"]) < near and r["fold"] == own[r["key"]]["fold"]
+            assert r["yhat"] == own[r["key"]]["yhat"] or kind == "logreg" and r["score"] < 0.5 + near
+        assert len(own) == sum(data.sizes.values())
+        monkeypatch.undo()
+
+
+def test_fits_of_many_rows_begin_with_a_part(spark, monkeypatch):
+    """The start at a part of the rows changes the way, not the optimum; no text is shuffled by term."""
+    from lexloom.operators import linear
+
+    data = models.Dataset(verses(spark, 200), "k", "t", "y", 2)
+    whole = {r["key"]: r["score"] for r in models.predict(data, "x", None, ("logreg", ("word", "char", "stats"))).collect()}
+    monkeypatch.setattr(linear, "MANY", 10)
+    data.found.clear()
+    part = {r["key"]: r["score"] for r in models.predict(data, "x", None, ("logreg", ("word", "char", "stats"))).collect()}
+    assert whole.keys() == part.keys() and max(abs(whole[k] - part[k]) for k in whole) < 0.05
+    assert not data._terms
+
+
 def test_failed_fold_is_null(spark, monkeypatch):
     data = models.Dataset(verses(spark, 20), "k", "t", "y", 2)
     real = models._fold
