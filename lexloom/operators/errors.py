@@ -21,10 +21,11 @@ def tagged_lines(lines: DataFrame, told: DataFrame, shared: DataFrame) -> DataFr
     """lines (key, norm, ts, ...) plus oov_tokens and variant_mapped_tokens, in the order of the line and joined by ``;``,
     and tags. told is of told_types; shared (line) holds the lines that several songs contain.
 
-    Types are looked up once and joined back. Tags, joined by commas: short_phrase (at most 3 tokens), high_oov (more than
+    Types are looked up once and joined back. told and shared are cut, since the driver keeps every version of
+    a plan while it runs, and one plan of all parts took more memory there than the data. Tags, joined by commas: short_phrase (at most 3 tokens), high_oov (more than
     half of the tokens), spelling_variant, shared_refrain, loanword_heavy (more than 0.3 of the tokens); else unknown.
     """
-    lines = cut(lines)
+    lines, told = cut(lines), cut(told)
     each = lines.select("key", F.posexplode("ts").alias("i", "token")).join(told, "token")
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("i", "token")))), lambda x: x["token"]), ";")
     loan = F.sum(F.col("token").isin(*TAG_LOANWORDS).cast("int"))

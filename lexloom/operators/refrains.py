@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import cut
+from lexloom.session import cut, drop_cut
 
 
 def _grams(pieces: DataFrame, n: int) -> DataFrame:
@@ -36,14 +36,14 @@ def shared(lines: DataFrame, texts: DataFrame) -> DataFrame:
 
     parts = F.flatten(F.transform(_lengths(one, F.col("line")), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, n))))
     within = vocab.select(F.explode(F.array_distinct(parts)).alias("line"), "lo", "hi")
-    found = one.select("line").join(within, "line").select("line", "lo", "hi")
+    parts = [cut(one.select("line").join(within, "line").select("line", "lo", "hi"))]
 
     last = _lengths(two.union(three), F.element_at("w", -1))
     begun = vocab.select("t", F.explode(F.array_distinct(F.transform(last, lambda n: F.substring("t", F.lit(1), n)))).alias("end"))
     for n, some in ((2, two), (3, three)):
         ready = some.select("line", "w", F.element_at("w", -1).alias("end")).join(begun, "end").select("line", F.col("w")[0].alias("first"), F.concat(F.slice("w", 2, n - 2), F.array("t")).alias("rest"))
         runs = _grams(pieces, n).select("key", F.col("g")[0].alias("own"), F.slice("g", 2, n - 1).alias("rest"))
-        found = found.union(runs.join(ready, "rest").where(F.endswith("own", "first")).select("line", "key", F.col("key")))
+        parts.append(cut(runs.join(ready, "rest").where(F.endswith("own", "first")).groupBy("line").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))))
 
     def pairs(words: Column, start: int, stop: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(start), stop), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i))))
@@ -51,5 +51,10 @@ def shared(lines: DataFrame, texts: DataFrame) -> DataFrame:
     held = pieces.where(F.size("p") > 1).select("key", F.explode(pairs(F.col("p"), 1, F.size("p") - 1)).alias("h"))
     inner = more.select("id", F.explode(pairs(F.col("w"), 2, F.col("k") - 2)).alias("h"))
     rarest = inner.join(held.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(F.min(F.struct("n", "h")).alias("x")).where("x.n > 1").select("id", F.col("x.h").alias("h"))
+    rarest = cut(rarest)
     sure = held.join(rarest, "h").select("id", "key").join(ls, "id").join(t, "key").where(F.contains("text", "line"))
-    return found.union(sure.select("line", "key", F.col("key"))).groupBy("line").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    found = parts[0].union(parts[1]).union(parts[2]).union(sure.select("line", "key", F.col("key")))
+    out = cut(found.groupBy("line").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"))
+    for x in (t, ls, vocab, rarest, *parts):
+        drop_cut(x)
+    return out

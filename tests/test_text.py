@@ -139,3 +139,16 @@ def test_similar_groups_need_few_pairs(spark):
     rows = spark.createDataFrame([(i, f"the very same page {i} block of titles") for i in range(300)], "k bigint, t string")
     assert dedup._met(dedup._texts(rows, "t"), 85, linked=True).count() == 299
     assert {r["group_key"] for r in dedup.similar_groups(rows, "k", "t").collect()} == {0}
+
+
+def test_tags_run_on_parts_that_are_cut(spark):
+    """error_tags, error_export: what is looked up and shared is cut, so the driver holds no plan of all parts."""
+    from lexloom.operators import errors, refrains
+
+    lines = spark.createDataFrame([(1, "a b c d", ["a", "b", "c", "d"]), (2, "a", ["a"])], "key int, norm string, ts array<string>")
+    told = lines.selectExpr("explode(ts) as token").distinct().selectExpr("token", "int(token = 'd') as oov", "0 as mapped", "0 as varied")
+    shared = refrains.shared(lines.selectExpr("norm as line"), spark.createDataFrame([(1, "a b c d"), (2, "x a b c d")], "key int, text string"))
+    assert shared._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD"
+    out = errors.tagged_lines(lines, told, shared)
+    assert {r["key"]: (r["oov_tokens"], r["tags"]) for r in out.collect()} == {1: ("d", "shared_refrain"), 2: ("", "short_phrase,shared_refrain")}
+    assert "Generate" not in str(out.select("key", "tags")._jdf.queryExecution().analyzed()).replace("Generate posexplode", "")
