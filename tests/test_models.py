@@ -75,6 +75,37 @@ def test_fits_of_many_rows_begin_with_a_part(spark, monkeypatch):
     assert not data._terms
 
 
+def test_words_are_counted_without_rare_pairs(spark, monkeypatch):
+    """hybrid_logreg, leakage_inflation: the most frequent terms are those of word_terms, and a pair that can't be among
+    them is never a row; blocks count each term as word_terms does, and parts of blocks hold their rows as they are."""
+    from lexloom.operators import features as ft
+    from lexloom.operators import linear
+
+    texts = ["ab cd, ab-cd x ab", "x y z", "Éa éa ab cd_1 q cd_1 ab", "", "ef gh ab cd ef gh", "𐐨𐐩 𐐨𐐩 1² ab ab", "rare once ab"]
+    rows = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts * 3)], "key bigint, fold int, text string")
+    whole = collections.Counter()
+    for r in ft.word_terms(rows, "key", "text").join(rows.select("key", "fold"), "key").collect():
+        whole[r["term"], r["fold"]] += r["tf"]
+    got = linear._word_counts(rows, [0, 1, 2], 4)
+    counts = {r["term"]: [r["n0"], r["n1"], r["n2"]] for r in got.collect()}
+    assert all(n == [whole[t, f] for f in range(3)] for t, n in counts.items())
+    assert "ab cd" in counts and "rare" in counts and "rare once" not in counts
+    brute = spark.createDataFrame([(t, *(whole[t, f] for f in range(3))) for t in {t for t, _ in whole}], "term string, n0 bigint, n1 bigint, n2 bigint")
+    (a, b), (c, d) = linear.frequent(got, [0, 1, 2], 4), linear.frequent(brute, [0, 1, 2], 4)
+    assert dict(zip(a, b.T.tolist(), strict=True)) == dict(zip(c, d.T.tolist(), strict=True))
+
+    data = models.Dataset(rows.withColumn("y", F.col("fold").cast("string")), "key", "text", "y", 3)
+    found, made = {}, linear.Blocks(data, ("word", "char"), (), False)
+    for b in made.blocks.collect():
+        _, _, n, place, count, _ = linear._unpack(b["data"])
+        at = np.repeat(np.arange(len(n)), n)
+        found |= {(b["keys"][i], made.terms[int(j >= made.spans["char"][0])][j - made.spans["char"][0] * int(j >= made.spans["char"][0])], int(j >= made.spans["char"][0])): c for i, j, c in zip(at.tolist(), place.tolist(), count.tolist(), strict=True)}
+        whole_rows, part = linear._Rows(b["data"], made._frame()), linear._Rows(linear._part(b["data"], 2), made._frame())
+        assert (part.label == whole_rows.label[::2]).all() and np.allclose(part.length.reshape(-1, 2, 3), whole_rows.length.reshape(-1, 2, 3)[::2])
+    kinds = [{(r["key"], r["term"], i): r["tf"] for r in data.terms(k)[0].collect()} for i, k in enumerate(("word", "char"))]
+    assert found == kinds[0] | kinds[1]
+
+
 def test_failed_fold_is_null(spark, monkeypatch):
     data = models.Dataset(verses(spark, 20), "k", "t", "y", 2)
     real = models._fold
