@@ -190,3 +190,71 @@ def test_statistics(spark):
     none = metrics.paired_stats(t.limit(1), "f").first()
     assert none["t"] is None and none["t_p"] is None and none["w_p"] is None
     assert abs(metrics.signed_rank_p_value([1.5, 1.5, 3.0], 0.0, 3) - math.erfc(3 / (math.sqrt(13.5) / 2) / math.sqrt(2))) < 1e-12
+
+
+def test_forest_splits_are_the_best(spark):
+    """cv_rf: each split is the best by Gini of the columns that its node drew, found by brute force; leaves have no split."""
+    from lexloom.operators import forest
+
+    rnd = np.random.default_rng(3)
+    n, p, classes = 200, 30, 3
+    dense = np.where(rnd.random((n, p)) < 0.2, rnd.integers(1, forest.BINS, (n, p)), 0).astype(np.uint8)
+    dense[7] = 0
+    label, weight = rnd.integers(0, classes, n), rnd.poisson(1.0, n)
+    row, place = np.nonzero(dense)
+    data = forest._Sorted(place.astype(np.uint16), dense[row, place], np.bincount(row, minlength=n).astype(np.int32), p)
+    assert data.groups == 5
+    dense, label, weight = dense[data.order], label[data.order], weight[data.order]
+    trees = forest._Trees(0, np.flatnonzero(weight).astype(np.int32), weight[weight > 0].astype(np.uint8), classes, label, (1, 0))
+    seen = set()
+    gini = lambda on: sum(weight[on & (label == c)].sum() ** 2 for c in range(classes)) / max(weight[on].sum(), 1)
+    at = np.zeros(n, int)
+    for level in range(6):
+        data.deal(np.random.default_rng(level))
+        assert sorted(x for c in data.columns for x in c) == list(range(p)) and min(map(len, data.columns)) >= 6
+        groups = trees.random.bit_generator.state
+        trees.split(data)
+        column, low, child, share = trees.whole()
+        again = np.random.default_rng(0)
+        again.bit_generator.state = groups
+        open_ = [i for i in range(len(column)) if i in set(at[weight > 0]) and i not in seen and len(set(label[(at == i) & (weight > 0)])) > 1]
+        seen |= set(range(max(at) + 1))
+        for i, g in zip(open_, again.integers(data.groups, size=len(open_)), strict=True):
+            on = at == i
+            gain = {(f, b): gini(on & (dense[:, f] >= b)) + gini(on & (dense[:, f] < b)) - gini(on) for f in data.columns[g] for b in range(1, forest.BINS) if weight[on & (dense[:, f] >= b)].sum() and weight[on & (dense[:, f] < b)].sum()}
+            best = max(gain.values(), default=0)
+            assert best < 1e-9 if column[i] < 0 else abs(gain[column[i], low[i]] - best) < 1e-9
+            if column[i] >= 0:
+                at[on] = child[i] + (dense[on, column[i]] >= low[i])
+        for i in set(at[weight > 0]):
+            assert np.allclose(share[i], [weight[(at == i) & (label == c)].sum() / weight[at == i].sum() for c in range(classes)], atol=1e-6)
+    assert (column >= 0).sum() > 10
+
+
+def test_forests_need_no_dense_vectors(spark, monkeypatch):
+    """cv_rf: forests are fitted on the blocks, the same whatever way the rows come, and learn what those of Spark learn."""
+    rows = verses(spark)
+    monkeypatch.setattr(models, "TREES", 20)
+    spec = ("rf", ("word", "stats"))
+    data = models.Dataset(rows, "k", "t", "y", 2)
+    own = {r["key"]: r for r in models.predict(data, "rf", None, spec).collect()}
+    assert not data._terms
+    again = {r["key"]: r for r in models.predict(models.Dataset(rows.repartition(5, F.rand()), "k", "t", "y", 2), "rf", None, spec).collect()}
+    assert len(own) == 120 and {k: (r["fold"], r["y"], r["yhat"]) for k, r in own.items()} == {k: (r["fold"], r["y"], r["yhat"]) for k, r in again.items()}
+    assert max(abs(r["score"] - again[k]["score"]) for k, r in own.items()) < 1e-9 and all(0.5 <= r["score"] <= 1 for r in own.values())
+    monkeypatch.setattr(models, "FEW", 0)
+    whole = {r["key"]: r for r in models.predict(data, "rf", None, spec).collect()}
+    right = [sum(r["y"] == r["yhat"] for r in x.values()) for x in (own, whole)]
+    assert min(right) > 90 and abs(right[0] - right[1]) <= 12, right
+
+
+def test_bins_of_a_column():
+    """cv_rf: all values of a column that has few, quantiles of one that has many; zeros and negative values keep their order."""
+    from lexloom.operators import forest
+
+    few, many = np.array([-2.5, 0.0, -0.0, 1.0, 3.0, 1.0], np.float32), np.linspace(0.01, 1, 310, dtype=np.float32)
+    place = np.repeat(np.array([0, 2], np.uint16), [6, 310])
+    edges = forest._edges(place, np.concatenate((few, many)), 3)
+    b = forest._binned(edges, place, np.concatenate((few, many)))
+    assert b[:6].tolist() == [1, 2, 2, 3, 4, 3] and np.bincount(b[6:])[1:].tolist() == [10] * 31 and np.isinf(edges[1]).all()
+    assert forest._binned(edges, np.array([2, 2], np.uint16), np.array([0.0, 9.0], np.float32)).tolist() == [1, 31]
