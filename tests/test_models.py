@@ -258,3 +258,22 @@ def test_bins_of_a_column():
     b = forest._binned(edges, place, np.concatenate((few, many)))
     assert b[:6].tolist() == [1, 2, 2, 3, 4, 3] and np.bincount(b[6:])[1:].tolist() == [10] * 31 and np.isinf(edges[1]).all()
     assert forest._binned(edges, np.array([2, 2], np.uint16), np.array([0.0, 9.0], np.float32)).tolist() == [1, 31]
+
+
+def test_regimes_are_fitted_side_by_side(spark, monkeypatch):
+    """leakage_inflation: texts become blocks once for both regimes, and each fold of each has the guesses of its own fit."""
+    from lexloom.operators import linear
+
+    rows = verses(spark, 60).where("y is not null and t is not null")
+    dealt = [rows.select("k", (F.col("k") % 3).cast("int").alias("fold")), rows.select("k", (F.col("k") / 20).cast("int").alias("fold"))]
+    made, real = [], linear.Blocks.__init__
+    monkeypatch.setattr(linear.Blocks, "__init__", lambda self, *a: (made.append(1), real(self, *a))[1])
+    fast = experiments.Config(fast_mode=True, fast_n_folds=2)
+    experiments.leakage_inflation(rows, "k", "t", "y", {"none": None}, fast, near=False)
+    assert len(made) == 1
+    both = models.fit_regimes(models.regimes(rows, "k", "t", "y", 3, 42, {}, dealt), "tfidf_logreg")
+    for folds, p in zip(dealt, both, strict=True):
+        alone = {r["key"]: r for r in models.predict(models.Dataset(rows, "k", "t", "y", 3, folds=folds), "tfidf_logreg").collect()}
+        own = {r["key"]: r for r in p.collect()}
+        assert own.keys() == alone.keys() and len(own) == 60
+        assert all(own[k]["fold"] == r["fold"] and own[k]["y"] == r["y"] and (own[k]["yhat"] == r["yhat"] and abs(own[k]["score"] - r["score"]) < 0.05 or r["score"] < 0.55) for k, r in alone.items())
