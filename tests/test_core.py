@@ -230,3 +230,21 @@ def test_own_ranks_are_those_of_the_search(spark, monkeypatch):
         want = {(r["q"], r["rank"]) for r in ranked.join(qs.select("q", "doc"), ["q", "doc"]).collect()}
         assert {(r["q"], r["rank"]) for r in retrieval.own_ranks(index, qs, 5).collect()} == want and len(want) > 60
         assert retrieval.own_metrics(index, qs).first() == retrieval.retrieval_metrics(ranked, qs.select("q", "doc")).first()
+
+
+def test_contained_lines_are_found_either_way(spark, monkeypatch):
+    """error_tags, refrain_containment: lines of all lengths, with few of them broadcast or none; candidates come by runs of
+    three inner words, so a pair that all texts hold makes none."""
+    import random
+
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choice(("ti", "apo", f"w{rnd.randrange(9)}", f"dios{rnd.randrange(3)}x")) for _ in range(n))
+    texts = [(i, text(40)) for i in range(30)]
+    cuts = [(x, t, rnd.randrange(len(t) - 60), rnd.randrange(1, 60)) for _ in range(300) for x, t in [rnd.choice(texts)]]
+    lines = sorted({t[at : at + n].strip() for _, t, at, n in cuts} | {text(k) for k in range(1, 9)})
+    want = {x: (min(k), max(k)) for x in lines for k in [[i for i, t in texts if x in t]] if len(k) > 1}
+    assert all(any(len(x.split(" ")) == k for x in want) for k in (1, 2, 3, 4, 5))
+    for few in (refrains.FEW, 0):
+        monkeypatch.setattr(refrains, "FEW", few)
+        got = refrains.shared(spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame(texts, "key bigint, text string"))
+        assert {r["line"]: (r["lo"], r["hi"]) for r in got.collect()} == want

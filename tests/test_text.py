@@ -152,3 +152,21 @@ def test_tags_run_on_parts_that_are_cut(spark):
     out = errors.tagged_lines(lines, told, shared)
     assert {r["key"]: (r["oov_tokens"], r["tags"]) for r in out.collect()} == {1: ("d", "shared_refrain"), 2: ("", "short_phrase,shared_refrain")}
     assert "Generate" not in str(out.select("key", "tags")._jdf.queryExecution().analyzed()).replace("Generate posexplode", "")
+
+
+def test_words_of_lines_are_not_shuffled(spark, monkeypatch):
+    """error_tags, error_export: few word types are broadcast and lines are cut without their tokens; the same tags either way."""
+    from lexloom.operators import errors, refrains
+
+    texts = ["a b, c 'd' — e", "a ", "", "gloria gloria b", "c, c", None]
+    lines = spark.createDataFrame(list(enumerate(texts)), "key int, norm string").withColumn("ts", tx.split_tokens(F.col("norm")))
+    told = lines.selectExpr("explode(ts) as token").distinct().selectExpr("token", "int(token = 'c') as oov", "int(token = 'b') as mapped", "0 as varied")
+    shared = refrains.shared(lines.selectExpr("norm as line"), spark.createDataFrame([(1, "c, c gloria gloria"), (2, "x gloria gloria b c, c")], "key int, text string"))
+    found = []
+    for few in (errors.FEW, 0):
+        monkeypatch.setattr(errors, "FEW", few)
+        out = errors.tagged_lines(lines, told, shared)
+        found.append({r["key"]: (r["ts"], r["oov_tokens"], r["variant_mapped_tokens"], r["tags"]) for r in out.collect()})
+        assert ("hashpartitioning(word" in out.select("key", "tags")._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+    assert found[0] == found[1] and found[0][0] == (["a", "b", "c", "'d'", "e"], "c", "b", "unknown")
+    assert found[0][4] == (["c", "c"], "c;c", "", "short_phrase,high_oov,shared_refrain") and found[0][5] == (None, "", "", "short_phrase") and found[0][3][3] == "short_phrase,loanword_heavy"
