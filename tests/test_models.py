@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import experiments, metrics, models, splits
@@ -277,3 +278,24 @@ def test_regimes_are_fitted_side_by_side(spark, monkeypatch):
         own = {r["key"]: r for r in p.collect()}
         assert own.keys() == alone.keys() and len(own) == 60
         assert all(own[k]["fold"] == r["fold"] and own[k]["y"] == r["y"] and (own[k]["yhat"] == r["yhat"] and abs(own[k]["score"] - r["score"]) < 0.05 or r["score"] < 0.55) for k, r in alone.items())
+
+
+def failing(monkeypatch, fold=0):
+    """One fold can't be fitted, side by side or alone."""
+    real = models._fold
+    monkeypatch.setattr(models, "_fold", lambda d, f, *a: 1 / 0 if f == fold else real(d, f, *a))
+
+
+def test_ablation_of_a_failed_fold_is_an_error(spark, monkeypatch):
+    """ablation: means of the folds that are left aren't given as those of all, nor is a missing guess a class."""
+    rows = verses(spark, 20)
+    one = {"lexicon_only": (("stats",), None)}
+    assert experiments.ablation(models.Dataset(rows, "k", "t", "y", 2), one).first()["n_folds"] == 2
+    with pytest.raises(ValueError, match="none to learn from"):
+        experiments.ablation(models.Dataset(rows.where("k < 1"), "k", "t", "y", 2), one)
+    p = spark.createDataFrame([("a", "a", 0), ("a", None, 1)], "y string, yhat string, fold int")
+    with pytest.raises(Exception, match="no guess"):
+        metrics.fold_summary(p).collect()
+    failing(monkeypatch)
+    with pytest.raises(RuntimeError, match="fold 0 failed"):
+        experiments.ablation(models.Dataset(rows, "k", "t", "y", 2), one)
