@@ -299,3 +299,13 @@ def test_ablation_of_a_failed_fold_is_an_error(spark, monkeypatch):
     failing(monkeypatch)
     with pytest.raises(RuntimeError, match="fold 0 failed"):
         experiments.ablation(models.Dataset(rows, "k", "t", "y", 2), one)
+
+
+def test_cross_validation_of_a_failed_fold_is_an_error(spark, monkeypatch):
+    """cv_*: a fold that failed isn't scored as wrong guesses of a class without a name."""
+    rows = verses(spark, 20)
+    monkeypatch.setattr(models, "TREES", 2)
+    assert models.cross_validate(rows, "k", "t", "y", "rf", 2, blocks=("stats",)).where("yhat is null").count() == 0
+    failing(monkeypatch, 1)
+    with pytest.raises(RuntimeError, match="fold 1 failed"):
+        models.cross_validate(rows, "k", "t", "y", "rf", 2, blocks=("stats",))
