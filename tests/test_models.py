@@ -309,3 +309,12 @@ def test_cross_validation_of_a_failed_fold_is_an_error(spark, monkeypatch):
     failing(monkeypatch, 1)
     with pytest.raises(RuntimeError, match="fold 1 failed"):
         models.cross_validate(rows, "k", "t", "y", "rf", 2, blocks=("stats",))
+
+
+def test_fits_without_a_finite_loss_are_an_error(spark):
+    """hybrid_logreg: a feature that is no number doesn't leave weights of zero, whose guesses look like others."""
+    data = models.Dataset(verses(spark, 20), "k", "t", "y", 2)
+    data._fixed[None] = data.fixed(None).withColumn("stats", F.transform("stats", lambda x: x * float("nan")))
+    with pytest.raises(RuntimeError, match="fold 0 failed") as e:
+        models.predict(data, "x", None, ("logreg", ("word", "stats")), whole=True)
+    assert "finite" in str(e.value.__cause__)
