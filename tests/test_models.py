@@ -318,3 +318,15 @@ def test_fits_without_a_finite_loss_are_an_error(spark):
     with pytest.raises(RuntimeError, match="fold 0 failed") as e:
         models.predict(data, "x", None, ("logreg", ("word", "stats")), whole=True)
     assert "finite" in str(e.value.__cause__)
+
+
+def test_rows_without_a_guess_are_an_error(spark, monkeypatch):
+    """oof_predictions: neither a row that got lost, nor one whose guess is null or no number, is passed on."""
+    rows, real = verses(spark, 20), models._fold
+    cv = lambda: models.cross_validate(rows, "k", "t", "y", "cnb", 2, blocks=("word", "char"))
+    assert cv().count() == 20
+    nan = F.when(F.col("key") == 3, float("nan")).otherwise(F.col("score"))
+    for spoil in (lambda p: p.where("key <> 3"), lambda p: p.withColumn("yhat", F.when(F.col("key") != 3, F.col("yhat"))), lambda p: p.withColumn("score", nan)):
+        monkeypatch.setattr(models, "_fold", lambda *a, spoil=spoil: spoil(real(*a)))
+        with pytest.raises(RuntimeError, match="19 of 20 rows"):
+            cv()
