@@ -330,3 +330,18 @@ def test_rows_without_a_guess_are_an_error(spark, monkeypatch):
         monkeypatch.setattr(models, "_fold", lambda *a, spoil=spoil: spoil(real(*a)))
         with pytest.raises(RuntimeError, match="19 of 20 rows"):
             cv()
+
+
+def test_leakage_of_failed_fits_is_an_error(spark, monkeypatch):
+    """leakage_inflation: neither means without the folds that failed, nor guesses of a fit on no rows."""
+    rows, fast = verses(spark, 20).where("y is not null and t is not null"), experiments.Config(fast_mode=True, fast_n_folds=2)
+    run = lambda rows: experiments.leakage_inflation(rows, "k", "t", "y", {"none": None}, fast, near=False)
+    with pytest.raises(ValueError, match="none to learn from"):
+        run(rows.withColumn("t", F.lit("ka1 to1")))
+    real = models._together
+    monkeypatch.setattr(models, "_together", lambda *a: real(*a).where("fold <> 0"))
+    with pytest.raises(RuntimeError, match="of 20 rows have a guess"):
+        run(rows)
+    monkeypatch.setattr(models, "_together", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run(rows)
