@@ -345,3 +345,15 @@ def test_leakage_of_failed_fits_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(models, "_together", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         run(rows)
+
+
+def test_task_of_a_failed_fold_is_an_error(spark, monkeypatch):
+    """proxy_task_a_grouped, task_a: no means over the folds that are left, and no fits one by one where those side by side failed."""
+    lines = verses(spark, 40).where("y is not null and t is not null").select("k", "t", (F.col("k") % 10).alias("u"), F.when(F.col("y") == "a", "hymn").otherwise("liturgical_prose").alias("kind"))
+    run = lambda: experiments.proxy_task_a(lines, "k", "t", "u", "kind", {"none": None}, experiments.Config(fast_mode=True, fast_n_folds=2), grouped=True)
+    failing(monkeypatch)
+    with pytest.raises(RuntimeError, match="fold 0 failed"):
+        run()
+    monkeypatch.setattr(models, "_together", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run()
