@@ -357,3 +357,17 @@ def test_task_of_a_failed_fold_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(models, "_together", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         run()
+
+
+def test_proxy_task_is_registered_as_a_whole(spark, monkeypatch):
+    """proxy_task_a: ten models and ten folds, as published, not the three of fast mode."""
+    from lexloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(models, "Dataset", lambda rows, key, text, label, k, *a: seen.append(k))
+    monkeypatch.setattr(experiments, "evaluate", lambda data, named, fast, positive: seen.append(sorted(models.zoo(True, fast))))
+    catalog.QUERIES["proxy_task_a"](spark, "/root/testdata/sf0.01")
+    assert seen[-1] == sorted(models.ZOO) and len(seen[-1]) == 10
+    monkeypatch.setattr(experiments, "proxy_task_a", lambda *a: seen.append(a[-1].folds))
+    catalog.QUERIES["proxy_task_a"](spark, "/root/testdata/sf0.01")
+    assert seen[-1] == 10
